@@ -53,15 +53,13 @@ def decide_each(df: DataFrame, p: str = "prediction", value: str | None = "custo
     return df.withColumns({"action": action, "expected_value": best})
 
 
-def discount_quota(s: DecisionSettings, df: DataFrame) -> int | DataFrame | None:
-    """How many discounts may be given: by budget if one is set, else by rate, else none. None means no limit."""
+def discount_limit(s: DecisionSettings) -> dict | None:
+    """How many discounts may be given: by budget if one is set, else a share of the rows, else none. None means no limit."""
     if s.max_discount_budget:
-        if s.cost_discount == 0:
-            return None
-        return int(s.max_discount_budget // s.cost_discount)
+        return {"k": int(s.max_discount_budget // s.cost_discount)} if s.cost_discount else None
     if s.max_discount_rate:
-        return df.agg(F.floor(F.count("*") * s.max_discount_rate).cast("bigint").alias("k"))
-    return 0
+        return {"share": s.max_discount_rate}
+    return {"k": 0}
 
 
 def decide_batch(
@@ -88,11 +86,11 @@ def decide_batch(
             "all_actions": action_values(score, worth, s),
         }
     ).withColumn("_gain", F.col("_discount") - F.col("_fallback"))
-    quota = discount_quota(s, df)
-    if quota is None:
+    limit = discount_limit(s)
+    if limit is None:
         flagged = valued.withColumn("_chosen", F.col("_gain") > 0)
     else:
-        flagged = top_flag(valued, "_gain", identity, quota, "_chosen")
+        flagged = top_flag(valued, "_gain", identity, "_chosen", **limit)
     return flagged.withColumns(
         {
             "action": F.when(F.col("_chosen"), "offer_discount").otherwise(F.col("_fallback_action")),

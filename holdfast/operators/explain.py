@@ -10,21 +10,13 @@ from pyspark.sql import functions as F
 NEGLIGIBLE = 1e-6
 
 
-def linear_contributions(df: DataFrame, identity: str, coefficients: dict[str, float], background: DataFrame) -> DataFrame:
-    """(id, feature, value, impact) with impact = coefficient x (value - background mean), one row per feature."""
-    features = list(coefficients)
-    means = background.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"_m{i}") for i, c in enumerate(features)])
-    parts = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.col(f"`{c}`").cast("double").alias("value"),
-                ((F.col(f"`{c}`").cast("double") - F.col(f"_m{i}")) * float(coefficients[c])).alias("impact"),
-            )
-            for i, c in enumerate(features)
-        ]
-    )
-    return df.join(F.broadcast(means)).select(identity, F.explode(parts).alias("r")).select(identity, "r.*")
+def linear_impacts(df: DataFrame, identity: str, coefficients: dict[str, float], background: DataFrame) -> DataFrame:
+    """One impact column per feature: coefficient x (value - background mean)."""
+    means = background.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"_m{i}") for i, c in enumerate(coefficients)])
+    impacts = [
+        ((F.col(f"`{c}`").cast("double") - F.col(f"_m{i}")) * float(w)).alias(c) for i, (c, w) in enumerate(coefficients.items())
+    ]
+    return df.join(F.broadcast(means)).select(identity, *impacts)
 
 
 def top_reasons(wide: DataFrame, identity: str, impacts: Sequence[str], top_n: int = 5) -> DataFrame:

@@ -85,3 +85,18 @@ def quality_status(
         .otherwise("ok")
     )
     return joined.withColumn("quality_status", status)
+
+
+def quality_by_batch(current: DataFrame, known: DataFrame, features: Sequence[str], batch: str, columns: Sequence[str]) -> DataFrame:
+    """Row count, columns with gaps, unseen values and status of every request batch at once."""
+    gaps = [F.max(F.col(f"`{c}`").isNull().cast("int")) for c in columns]
+    total = gaps[0]
+    for g in gaps[1:]:
+        total = total + g
+    rows = current.groupBy(batch).agg(F.count("*").alias("row_count"), total.cast("bigint").alias("columns_with_gaps"))
+    values = long_text(current, features, keep=[batch]).where("value IS NOT NULL").distinct()
+    unseen = values.join(known, ["feature", "value"], "left_anti").groupBy(batch).agg(F.count("*").alias("unseen_values"))
+    status = F.when((F.col("columns_with_gaps") > 0) | (F.col("unseen_values") > 0), "warning").otherwise("ok")
+    return rows.join(unseen, batch, "left").withColumn("unseen_values", F.coalesce("unseen_values", F.lit(0)).cast("bigint")).withColumn(
+        "quality_status", status
+    )

@@ -19,49 +19,47 @@ HEAP_LIMIT = 10_000
 _CELL_SHIFT = 48
 
 
-def _crossing(df: DataFrame, key: str, limit: DataFrame) -> DataFrame:
-    """The key at which the running count reaches ``k``, and how many of its own rows are still wanted."""
-    ranked = running_totals(collapse(df, key, {"_n": F.lit(1)}), key, ["_n"])
-    reached = (F.col("cum__n") >= F.col("k")) & (F.col("cum__n") - F.col("_n") < F.col("k"))
-    return ranked.join(F.broadcast(limit)).where(reached).select(
-        F.col(key).alias("cut"), (F.col("k") - F.col("cum__n") + F.col("_n")).alias("k")
-    )
-
-
-def top_flag(df: DataFrame, value: str, identity: str, k: int | DataFrame, flag: str, positive_only: bool = True) -> DataFrame:
-    """Add a boolean that marks the ``k`` largest rows by ``value`` with ties in ``identity`` order.
-
-    ``identity`` must be unique. ``k`` is a number, or a one-row frame with a column ``k`` when it depends on the data.
-    With ``positive_only`` rows at or below zero are never marked (they still cannot outrank a positive row).
+def _crossing(keys: DataFrame, key: str, wanted: Column):
+    """Driver-side row (or None): the key at which the running count reaches ``wanted``, its rows, and how many are still wanted."""
+    ranked = running_totals(collapse(keys, key, {"_n": F.lit(1)}), key, ["_n"])
+    reached = (F.col("cum__n") >= wanted) & (F.col("cum__n") - F.col("_n") < wanted)
+    need = wanted - F.col("cum__n") + F.col("_n")
+    found = ranked.where(reached & (wanted > 0)).select(F.col(key).alias("cut"), F.col("_n").alias("tied"), need.alias("need"))
+    return found.first()
+
+
+def top_flag(
+    df: DataFrame, value: str, identity: str, flag: str, k: int | None = None, share: float | None = None, positive_only: bool = True
+) -> DataFrame:
+    """Add a boolean that marks the ``k`` largest rows by ``value`` (or that share of all rows), ties in ``identity`` order.
+
+    ``identity`` must be unique. With ``positive_only`` rows at or below zero take part in the ranking but are
+    never marked. A small ``k`` is found lazily with bounded heaps; otherwise one job (two if the cut falls into
+    a tie) finds the last row, and only that row reaches the driver.
     """
-    pool = df.where(F.col(value) > 0) if positive_only else df.where(F.col(value).isNotNull())
-    keys = pool.select((-F.col(value)).alias("_neg"), F.col(identity).alias("_id"))
-    if isinstance(k, int) and k <= 0:
+    eligible = (F.col(value) > 0) if positive_only else F.col(value).isNotNull()
+    neg = -F.col(value)
+    if k is not None and k <= 0:
         return df.withColumn(flag, F.lit(False))
-    if isinstance(k, int) and k <= HEAP_LIMIT:
+    keys = df.where(F.col(value).isNotNull()).select(neg.alias("_neg"), F.col(identity).alias("_id"))
+    if k is not None and k <= HEAP_LIMIT:
         head = keys.orderBy("_neg", "_id").limit(k)
-        last = head.agg(F.max(F.struct("_neg", "_id")).alias("last")).select("last._neg", "last._id")
-        cut = last.select(F.col("_neg").alias("_cut"), F.col("_id").alias("_cut_id"))
-    else:
-        limit = k if isinstance(k, DataFrame) else df.sparkSession.range(1).select(F.lit(k).cast("bigint").alias("k"))
-        first = _crossing(keys, "_neg", limit)
-        tied = keys.join(F.broadcast(first)).where(F.col("_neg") == F.col("cut")).select("_id")
-        second = _crossing(tied, "_id", first.select("k")).select(F.col("cut").alias("_cut_id"))
-        total = keys.agg(F.count("*").alias("_total"))
-        fits = total.join(F.broadcast(limit)).select((F.col("_total") <= F.col("k")).alias("_fits"), "k")
-        cut = (
-            fits.join(F.broadcast(first.select(F.col("cut").alias("_cut"))), F.lit(True), "left")
-            .join(F.broadcast(second), F.lit(True), "left")
-            .select(
-                F.when(F.col("k") <= 0, F.lit(float("-inf"))).when(~F.col("_fits"), F.col("_cut")).alias("_cut"),
-                "_cut_id",
-            )
-        )
-    joined = df.join(F.broadcast(cut), F.lit(True), "left")
-    neg = -F.col(value)
-    inside = F.col("_cut").isNull() | (neg < F.col("_cut")) | ((neg == F.col("_cut")) & (F.col(identity) <= F.col("_cut_id")))
-    base = (F.col(value) > 0) if positive_only else F.col(value).isNotNull()
-    return joined.withColumn(flag, F.coalesce(base & inside, F.lit(False))).drop("_cut", "_cut_id")
+        last = head.agg(F.max(F.struct("_neg", "_id")).alias("last"))
+        cut = last.select(F.col("last._neg").alias("_cut"), F.col("last._id").alias("_cut_id"))
+        inside = (neg < F.col("_cut")) | ((neg == F.col("_cut")) & (F.col(identity) <= F.col("_cut_id")))
+        marked = df.join(F.broadcast(cut)).withColumn(flag, F.coalesce(eligible & inside, F.lit(False)))
+        return marked.drop("_cut", "_cut_id")
+
+    wanted = F.lit(k) if k is not None else F.floor(F.col("all__n") * share).cast("bigint")
+    first = _crossing(keys, "_neg", wanted)
+    if first is None:
+        # Nothing is wanted, or more than there is.
+        return df.withColumn(flag, F.lit(False) if k is None else F.coalesce(eligible, F.lit(False)))
+    inside = neg <= first.cut
+    if first.need < first.tied and not (positive_only and first.cut >= 0):
+        second = _crossing(keys.where(F.col("_neg") == first.cut).select("_id"), "_id", F.lit(first.need))
+        inside = (neg < first.cut) | ((neg == first.cut) & (F.col(identity) <= F.lit(second.cut)))
+    return df.withColumn(flag, F.coalesce(eligible & inside, F.lit(False)))
 
 
 def stratified_split(df: DataFrame, identity: str, stratum: str, test_size: float, seed: int, flag: str = "is_validation") -> DataFrame:

@@ -18,8 +18,22 @@ TIE_BREAK = ("l_linenumber", "l_partkey", "l_suppkey")
 AS_OF = "2000-06-30"
 
 
+# Declared types, so that opening a table needs no job to look at its files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def customers(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,6 +138,7 @@ def labeled_scores(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("prediction_id"),
         (((F.col("o_orderkey") * 7919) % 1000) / 1000.0).alias("churn_probability"),
         F.substring("o_orderpriority", 1, 1).alias("model_version"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"),
     )
     return labeled_predictions(scores, labels(spark, sf))
 
@@ -218,7 +233,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "pairs": (
         ("labels",),
         """SELECT o_orderkey AS prediction_id, ((o_orderkey * 7919) % 1000) / 1000.0::DOUBLE AS p, churn AS y,
-        substr(o_orderpriority, 1, 1) AS model_version FROM orders JOIN labels ON prediction_id = o_orderkey""",
+        substr(o_orderpriority, 1, 1) AS model_version, strftime(o_orderdate, '%Y-%m') AS month FROM orders JOIN labels ON prediction_id = o_orderkey""",
     ),
     "requests": (
         (),

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from holdfast.plans import metric_queries, schema_queries  # noqa: F401
+from holdfast.plans import decision_queries, label_queries, metric_queries, schema_queries  # noqa: F401
 from holdfast.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
