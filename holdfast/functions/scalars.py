@@ -75,6 +75,12 @@ def clip(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
+def round_even(value: Column, digits: int) -> Column:
+    """Half-even rounding of the binary value to some digits (``F.round`` works on the decimal text, half up)."""
+    scale = 10.0**digits
+    return F.bround(value * scale, 0) / scale
+
+
 def over_threshold(score: Column, threshold: float | Column) -> Column:
     return (score >= threshold).cast("int")
 

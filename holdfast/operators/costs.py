@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.config import CostSettings
-from holdfast.functions.scalars import to_number_or_zero
+from holdfast.functions.scalars import round_even, to_number_or_zero
 
 
 def with_run_cost(runs: DataFrame, duration: str = "training_duration_seconds", s: CostSettings = CostSettings()) -> DataFrame:
@@ -15,8 +15,8 @@ def with_run_cost(runs: DataFrame, duration: str = "training_duration_seconds",
     cost = hours * s.estimated_hourly_rate if s.enabled else F.lit(0.0)
     return runs.withColumns(
         {
-            duration: F.round(F.col(duration), 3),
-            "estimated_training_cost": F.round(cost, 6),
+            duration: round_even(F.col(duration), 3),
+            "estimated_training_cost": round_even(cost, 6),
             "cost_currency": F.lit(s.currency),
         }
     )
@@ -44,10 +44,10 @@ def cost_window(
     return recent.agg(
         F.lit(int(window_days)).alias("window_days"),
         n.alias("run_count"),
-        F.round(total_cost, 6).alias("total_training_cost"),
-        F.round(total_time, 3).alias("total_training_duration_seconds"),
-        F.round(F.coalesce(F.try_divide(total_cost, n), F.lit(0.0)), 6).alias("avg_training_cost"),
-        F.round(F.coalesce(F.try_divide(total_time, n), F.lit(0.0)), 3).alias("avg_training_duration_seconds"),
+        round_even(total_cost, 6).alias("total_training_cost"),
+        round_even(total_time, 3).alias("total_training_duration_seconds"),
+        round_even(F.coalesce(F.try_divide(total_cost, n), F.lit(0.0)), 6).alias("avg_training_cost"),
+        round_even(F.coalesce(F.try_divide(total_time, n), F.lit(0.0)), 3).alias("avg_training_duration_seconds"),
         F.coalesce(newest, F.lit(s.currency)).alias("currency"),
     )
 
@@ -60,7 +60,7 @@ def monthly_scenarios(window: DataFrame, s: CostSettings = CostSettings()) -> Da
             F.struct(
                 F.lit(name).alias("scenario"),
                 F.lit(runs).alias("runs_per_month"),
-                F.round(F.col("avg_training_cost") * runs, 6).alias("estimated_monthly_cost"),
+                round_even(F.col("avg_training_cost") * runs, 6).alias("estimated_monthly_cost"),
             )
             for name, runs in plans
         ]
@@ -70,7 +70,7 @@ def monthly_scenarios(window: DataFrame, s: CostSettings = CostSettings()) -> Da
 
 def cost_band(window: DataFrame, s: CostSettings = CostSettings()) -> DataFrame:
     """How heavy daily retraining would be: none, low (below 1 a month), moderate (below 20) or material."""
-    monthly = F.round(F.col("avg_training_cost") * s.daily_runs, 6)
+    monthly = round_even(F.col("avg_training_cost") * s.daily_runs, 6)
     band = (
         F.when(F.col("run_count") == 0, "none").when(monthly < 1, "low").when(monthly < 20, "moderate").otherwise("material")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.config import DecisionSettings
-from holdfast.functions.scalars import over_threshold, to_number_or_zero
+from holdfast.functions.scalars import first_filled, over_threshold, round_even, to_number_or_zero
 from holdfast.operators.selection import top_flag
 
 NEW_CUSTOMER_MONTHS = 12
@@ -119,9 +119,9 @@ def decision_kpis(decided: DataFrame) -> DataFrame:
     """Business summary of a set of decisions in one row."""
     expected = F.coalesce(F.sum("expected_value"), F.lit(0.0))
     return decided.agg(
-        F.round(expected, 2).alias("total_expected_value"),
-        F.round(F.coalesce(F.try_divide(expected, F.count("*")), F.lit(0.0)), 2).alias("avg_expected_value"),
-        F.round(F.coalesce(F.sum("customer_value"), F.lit(0.0)), 2).alias("total_customer_value"),
+        round_even(expected, 2).alias("total_expected_value"),
+        round_even(F.coalesce(F.try_divide(expected, F.count("*")), F.lit(0.0)), 2).alias("avg_expected_value"),
+        round_even(F.coalesce(F.sum("customer_value"), F.lit(0.0)), 2).alias("total_customer_value"),
         _count("offer_discount").alias("discounts_selected"),
         _count("send_email").alias("emails_selected"),
         _count("no_action").alias("no_action_selected"),
@@ -146,9 +146,9 @@ def campaign_rollup(decided: DataFrame, name: str = "retention_campaign") -> Dat
         F.lit(name).alias("campaign"),
         F.count("*").alias("targeted_customers"),
         F.count_if(F.col("action") != "no_action").alias("actionable_customers"),
-        F.round(expected, 2).alias("total_expected_value"),
-        F.round(F.coalesce(F.try_divide(expected, F.count("*")), F.lit(0.0)), 2).alias("avg_expected_value"),
-        F.round(F.coalesce(F.sum("customer_value"), F.lit(0.0)), 2).alias("total_customer_value"),
+        round_even(expected, 2).alias("total_expected_value"),
+        round_even(F.coalesce(F.try_divide(expected, F.count("*")), F.lit(0.0)), 2).alias("avg_expected_value"),
+        round_even(F.coalesce(F.sum("customer_value"), F.lit(0.0)), 2).alias("total_customer_value"),
         counts.alias("action_counts"),
     )
 
@@ -159,7 +159,5 @@ def action_distribution(decided: DataFrame) -> DataFrame:
 
 def attach_customer_id(df: DataFrame) -> DataFrame:
     """``customer_id`` from the first filled id spelling present."""
-    from holdfast.functions.scalars import first_filled
-
     present = [c for c in ("customerID", "customer_id", "customerid") if c in df.columns]
     return df.withColumn("customer_id", first_filled(*[F.col(c) for c in present]))

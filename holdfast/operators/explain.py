@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.functions.scalars import round_even
+
 NEGLIGIBLE = 1e-6
 
 
@@ -45,7 +47,7 @@ def top_reasons(wide: DataFrame, identity: str, impacts: Sequence[str], top_n: i
         F.col("e.feature").alias("feature"),
         F.col("e.impact").alias("impact"),
         F.when(F.col("e.impact") > 0, "increases_churn").otherwise("reduces_churn").alias("direction"),
-        F.round(F.col("e.size") / F.col("_total") * 100, 2).alias("impact_pct"),
+        round_even(F.col("e.size") / F.col("_total") * 100, 2).alias("impact_pct"),
     )
 
 

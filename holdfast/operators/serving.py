@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from holdfast.config import ServingSettings
-from holdfast.functions.scalars import is_success, tracked_path
+from holdfast.functions.scalars import is_success, round_even, tracked_path
 
 PERCENTILES = (0.5, 0.95, 0.99)
 
@@ -17,7 +17,7 @@ PERCENTILES = (0.5, 0.95, 0.99)
 def tracked_requests(events: DataFrame, s: ServingSettings = ServingSettings()) -> DataFrame:
     """Requests that count: ignored paths dropped, untracked ones named 'other', methods in upper case."""
     return events.where(~F.col("path").isin(*s.ignored_paths)).withColumns(
-        {"path": tracked_path(F.col("path"), s.track_paths), "method": F.upper("method"), "latency_ms": F.round("latency_ms", 2)}
+        {"path": tracked_path(F.col("path"), s.track_paths), "method": F.upper("method"), "latency_ms": round_even(F.col("latency_ms"), 2)}
     )
 
 
@@ -74,18 +74,18 @@ def sliding_summary(events: DataFrame, ts: str = "ts", window_seconds: int = 900
 
     def percentile(p: float) -> Column:
         place = F.bround((F.col("total") - 1) * F.lit(p)).cast("bigint")
-        return F.round(F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place), F.col("latency_ms"))), 2)
+        return round_even(F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place), F.col("latency_ms"))), 2)
 
     n, good = F.sum("n"), F.sum("ok")
     return ranked.groupBy("window_start").agg(
         n.alias("requests_total"),
         good.alias("success_total"),
         (n - good).alias("error_total"),
-        F.round(good / n, 4).alias("success_rate"),
-        F.round((n - good) / n, 4).alias("error_rate"),
+        round_even(good / n, 4).alias("success_rate"),
+        round_even((n - good) / n, 4).alias("error_rate"),
         *[percentile(p).alias(f"p{round(p * 100)}") for p in PERCENTILES],
-        F.round(F.sum(F.col("latency_ms") * F.col("n")) / n, 2).alias("avg_ms"),
-        F.round(F.max("latency_ms"), 2).alias("max_ms"),
+        round_even(F.sum(F.col("latency_ms") * F.col("n")) / n, 2).alias("avg_ms"),
+        round_even(F.max("latency_ms"), 2).alias("max_ms"),
     )
 
 

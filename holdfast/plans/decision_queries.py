@@ -18,7 +18,7 @@ decided AS (SELECT *, CASE WHEN rn <= {limit} AND v_discount - fallback > 0 THEN
 CASE WHEN rn <= {limit} AND v_discount - fallback > 0 THEN v_discount ELSE fallback END AS expected_value FROM ranked)"""
 _BY_BUDGET = _BATCH.format(limit="20")
 _BY_RATE = _BATCH.format(limit="floor(n * 0.2)")
-_KPIS = """round(sum(expected_value), 2) AS total_expected_value, round(sum(expected_value) / count(*), 2) AS avg_expected_value, round(sum(customer_value), 2) AS total_customer_value"""
+_KPIS = """round_even(sum(expected_value), 2) AS total_expected_value, round_even(sum(expected_value) / count(*), 2) AS avg_expected_value, round_even(sum(customer_value), 2) AS total_customer_value"""
 
 
 def _decided(spark, sf, s=B.SETTINGS):
@@ -212,7 +212,7 @@ kept AS (SELECT *, abs(impact) AS size FROM imp WHERE abs(impact) > 1e-6)"""
 @query(
     "top_reasons",
     f"""WITH {_SAMPLE_SQL} SELECT c_custkey, row_number() OVER w AS rank, feature, round(impact, 6) AS impact, CASE WHEN impact > 0 THEN 'increases_churn' ELSE 'reduces_churn' END AS direction,
-        round(size / sum(size) OVER (PARTITION BY c_custkey) * 100, 2) AS impact_pct FROM kept WINDOW w AS (PARTITION BY c_custkey ORDER BY size DESC, feature)""",
+        round_even(size / sum(size) OVER (PARTITION BY c_custkey) * 100, 2) AS impact_pct FROM kept WINDOW w AS (PARTITION BY c_custkey ORDER BY size DESC, feature)""",
 )
 def top_reasons(spark, sf):
     """Contributions of a linear model against a seeded background sample, ranked inside each row."""
