@@ -84,7 +84,8 @@ def sliding_summary(events: DataFrame, ts: str = "ts", window_seconds: int = 900
         round_even(good / n, 4).alias("success_rate"),
         round_even((n - good) / n, 4).alias("error_rate"),
         *[percentile(p).alias(f"p{round(p * 100)}") for p in PERCENTILES],
-        round_even(F.sum(F.col("latency_ms") * F.col("n")) / n, 2).alias("avg_ms"),
+        # Whole hundredths add up exactly, whatever the order of rows.
+        round_even(F.sum(F.bround(F.col("latency_ms") * 100).cast("bigint") * F.col("n")) / n / 100, 2).alias("avg_ms"),
         round_even(F.max("latency_ms"), 2).alias("max_ms"),
     )
 

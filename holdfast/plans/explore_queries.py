@@ -223,7 +223,7 @@ FROM (SELECT *, latency_ms AS value FROM requests) CROSS JOIN range(3) r(s)))"""
         """SELECT w AS window_start, count(*) AS requests_total, count(*) FILTER (status_code < 300) AS success_total, count(*) FILTER (status_code >= 300) AS error_total,
         round_even(count(*) FILTER (status_code < 300)::DOUBLE / count(*), 4) AS success_rate, round_even(count(*) FILTER (status_code >= 300)::DOUBLE / count(*), 4) AS error_rate,
         max(latency_ms) FILTER (i = CAST(round_even((n - 1) * 0.5, 0) AS BIGINT)) AS p50, max(latency_ms) FILTER (i = CAST(round_even((n - 1) * 0.95, 0) AS BIGINT)) AS p95,
-        max(latency_ms) FILTER (i = CAST(round_even((n - 1) * 0.99, 0) AS BIGINT)) AS p99, round_even(avg(latency_ms), 2) AS avg_ms, max(latency_ms) AS max_ms
+        max(latency_ms) FILTER (i = CAST(round_even((n - 1) * 0.99, 0) AS BIGINT)) AS p99, round_even(sum(CAST(round_even(latency_ms * 100, 0) AS BIGINT))::DOUBLE / count(*) / 100, 2) AS avg_ms, max(latency_ms) AS max_ms
         FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY latency_ms) - 1 AS i, count(*) OVER (PARTITION BY w) AS n FROM win) GROUP BY w""",
         _SLIDING,
     ),
