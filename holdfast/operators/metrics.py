@@ -20,8 +20,8 @@ from holdfast.operators.validation import require_columns
 
 # Fixed value: distance from 0 and 1 at which log loss clips a probability.
 LOG_LOSS_EPS = 2.220446049250313e-16
-# 81 candidate thresholds, 0.10 + i * 0.01 in double arithmetic.
-THRESHOLD_GRID = tuple(0.10 + i * 0.01 for i in range(81))
+# 81 candidate thresholds from 0.10 to 0.90, as numpy's arange spaces them in double arithmetic.
+THRESHOLD_GRID = tuple(0.10 + i * ((0.10 + 0.01) - 0.10) for i in range(81))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

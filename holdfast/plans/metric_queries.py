@@ -158,7 +158,7 @@ def one_class_guard(spark, sf):
         SELECT model_version, t, f1, row_number() OVER (PARTITION BY model_version ORDER BY f1 DESC, t) AS rn FROM (
         SELECT model_version, t, CASE WHEN sum(h) + sum(y) = 0 THEN 0 ELSE 2.0 * sum(h * y) / (sum(h) + sum(y)) END AS f1
         FROM (SELECT model_version, t, y, CASE WHEN p >= t THEN 1 ELSE 0 END AS h FROM pairs CROSS JOIN grid) GROUP BY model_version, t)) WHERE rn = 1""",
-        "grid AS (SELECT 0.1::DOUBLE + i * 0.01::DOUBLE AS t FROM range(81) r(i))",
+        "grid AS (SELECT 0.1::DOUBLE + i * ((0.1::DOUBLE + 0.01::DOUBLE) - 0.1::DOUBLE) AS t FROM range(81) r(i))",
     ),
 )
 def best_threshold(spark, sf):
