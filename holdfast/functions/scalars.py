@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Spellings of a binary target.
 POSITIVE_WORDS = ("yes", "y", "true", "1", "churn")
@@ -27,6 +28,15 @@ def to_number_or_zero(value: Column) -> Column:
     return F.coalesce(to_number(value), F.lit(0.0))
 
 
+def number_column(df: DataFrame, name: str) -> Column:
+    """Number or NULL of a column; a column that already is numeric is not sent through text."""
+    value = F.col(f"`{name}`")
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return drop_nan(value) if isinstance(kind, (T.DoubleType, T.FloatType)) else value.cast("double")
+    return to_number(value)
+
+
 def drop_nan(value: Column) -> Column:
     """Keep a double column's numbers and turn NaN into NULL."""
     return F.nanvl(value.cast("double"), F.lit(None).cast("double"))

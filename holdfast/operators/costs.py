@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.config import CostSettings
-from holdfast.functions.scalars import round_even, to_number_or_zero
+from holdfast.functions.scalars import number_column, round_even
 
 
 def with_run_cost(runs: DataFrame, duration: str = "training_duration_seconds", s: CostSettings = CostSettings()) -> DataFrame:
@@ -34,8 +34,8 @@ def cost_window(
 ) -> DataFrame:
     """Runs, totals and averages of the last ``window_days``. No runs give a row of zeros."""
     recent = runs.where(F.col(start) >= as_of - F.expr(f"INTERVAL {int(window_days)} DAYS"))
-    spent = to_number_or_zero(F.col(cost)) if cost in runs.columns else F.lit(0.0)
-    took = to_number_or_zero(F.col(duration)) if duration in runs.columns else F.lit(0.0)
+    spent = F.coalesce(number_column(runs, cost), F.lit(0.0)) if cost in runs.columns else F.lit(0.0)
+    took = F.coalesce(number_column(runs, duration), F.lit(0.0)) if duration in runs.columns else F.lit(0.0)
     newest = (
         F.max_by(F.col(currency), F.when(F.col(currency).isNotNull(), F.col(start))) if currency in runs.columns else F.lit(None).cast("string")
     )

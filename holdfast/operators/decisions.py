@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.config import DecisionSettings
-from holdfast.functions.scalars import first_filled, over_threshold, round_even, to_number_or_zero
+from holdfast.functions.scalars import first_filled, number_column, over_threshold, round_even
 from holdfast.operators.selection import top_flag
 
 NEW_CUSTOMER_MONTHS = 12
@@ -21,9 +21,10 @@ def customer_value(df: DataFrame, default: float, monthly: str = "monthlycharges
         return F.lit(float(default))
     months: Column = F.lit(OLD_CUSTOMER_HORIZON)
     if tenure in df.columns:
-        is_new = to_number_or_zero(F.col(tenure)) < NEW_CUSTOMER_MONTHS
+        is_new = F.coalesce(number_column(df, tenure), F.lit(0.0)) < NEW_CUSTOMER_MONTHS
         months = F.when(is_new, NEW_CUSTOMER_HORIZON).otherwise(OLD_CUSTOMER_HORIZON)
-    return F.greatest(to_number_or_zero(F.col(monthly)) * months, F.lit(default * VALUE_FLOOR_SHARE))
+    charges = F.coalesce(number_column(df, monthly), F.lit(0.0))
+    return F.greatest(charges * months, F.lit(default * VALUE_FLOOR_SHARE))
 
 
 def discount_value(p: Column, value: Column, s: DecisionSettings) -> Column:

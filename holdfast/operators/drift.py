@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.config import DriftSettings
-from holdfast.functions.scalars import to_number
+from holdfast.functions.scalars import number_column
 from holdfast.functions.stats import chi_square_tail, kolmogorov_tail
-from holdfast.operators.features import long_text
+from holdfast.operators.features import long_rows, long_text, names_frame
 from holdfast.operators.ordering import collapse, running_totals
 
 SIDE = "is_reference"
@@ -45,8 +45,7 @@ def numeric_drift(sides: DataFrame, features: Sequence[str], s: DriftSettings =
 
     Drift needs a small p-value and a large distance. Values that are not numbers are left out.
     """
-    numbers = sides.select(SIDE, *[to_number(F.col(f"`{c}`")).alias(c) for c in features])
-    rows = numbers.unpivot([SIDE], [f"`{c}`" for c in features], "feature", "value").where("value IS NOT NULL")
+    rows = long_rows(sides, {c: number_column(sides, c) for c in features}, keep=[SIDE])
     counted = collapse(rows, "value", {"ref": F.col(SIDE).cast("int"), "cur": (~F.col(SIDE)).cast("int")}, ["feature"])
     ranked = running_totals(counted, "value", ["ref", "cur"], ["feature"])
     gap = F.abs(F.try_divide(F.col("cum_ref"), F.col("all_ref")) - F.try_divide(F.col("cum_cur"), F.col("all_cur")))
@@ -54,8 +53,7 @@ def numeric_drift(sides: DataFrame, features: Sequence[str], s: DriftSettings =
         F.max(gap).alias("statistic"), F.max("all_ref").alias("reference_n"), F.max("all_cur").alias("current_n")
     )
     # A feature without a single number still gets its row.
-    names = sides.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-    tests = names.join(tests, "feature", "left").select(
+    tests = names_frame(sides.sparkSession, features).join(tests, "feature", "left").select(
         "feature",
         F.coalesce("statistic", F.lit(0.0)).alias("statistic"),
         F.coalesce("reference_n", F.lit(0)).cast("bigint").alias("reference_n"),
@@ -81,7 +79,8 @@ def categorical_drift(sides: DataFrame, features: Sequence[str], s: DriftSetting
     )
     part = (F.col("cur") - expected) * (F.col("cur") - expected) / expected
     tests = (
-        counts.join(totals, "feature")
+        # One row per feature the caller named.
+        counts.join(F.broadcast(totals), "feature")
         .groupBy("feature")
         .agg(
             F.sum(part).alias("statistic"),

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.scalars import drop_nan
-from holdfast.operators.features import long_text
+from holdfast.operators.joins import few
+from holdfast.operators.features import long_rows, long_text
 from holdfast.operators.ordering import collapse, exact_quantiles, running_totals
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -34,8 +35,7 @@ def grouped_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max); quartiles are exact and interpolated."""
-    numbers = df.select(*[drop_nan(F.col(f"`{c}`")).alias(c) for c in columns])
-    rows = numbers.unpivot([], [f"`{c}`" for c in columns], "column", "value").where("value IS NOT NULL")
+    rows = long_rows(df, {c: drop_nan(F.col(f"`{c}`")) for c in columns}, "column").where("value IS NOT NULL")
     basic = rows.groupBy("column").agg(
         F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
@@ -114,8 +114,7 @@ def density(df: DataFrame, value: str, group: str, points: int = 200, cut: float
     width = F.col("sd") * F.pow(F.col("total").cast("double"), F.lit(-0.2))
     grids = stats.where("sd > 0").select(group, "total", width.alias("bw"), (F.col("low") - cut * width).alias("start"),
                                          ((F.col("high") - F.col("low") + 2 * cut * width) / (points - 1)).alias("step"))
-    # One small row per group; the join's side is picked from its size.
-    placed = counted.join(grids, group).select(
+    placed = counted.join(few(grids, "groups"), group).select(
         group, "v", "n", "total", "bw", "start", "step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
     )
     x: Column = F.col("start") + F.col("i") * F.col("step")

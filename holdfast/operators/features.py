@@ -6,11 +6,11 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.config import DEFAULT_STEPS, FeatureSettings
-from holdfast.functions.scalars import drop_nan, to_number_or_zero
+from holdfast.functions.scalars import drop_nan, number_column
 from holdfast.operators.naming import drop_present, feature_names
 
 # A column with more levels than this is not a category; encoding it would make a table of that many columns.
@@ -48,10 +48,24 @@ class OneHotModel:
         return df.select(*rest, *coded)
 
 
+def long_rows(df: DataFrame, values: dict[str, Column], name: str = "feature", value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., name, value) rows of several expressions of one type, read in one pass.
+
+    ``unpivot`` would do the same, but copies of its plan do not compare as equal, so a shuffle after it could
+    not be shared between the branches of a query.
+    """
+    entries = F.array(*[F.struct(F.lit(n).alias(name), c.alias(value)) for n, c in values.items()])
+    return df.select(*keep, F.inline(entries))
+
+
 def long_text(df: DataFrame, columns: Sequence[str], name: str = "feature", value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., feature, text value) rows of several columns, read in one pass."""
-    texts = df.select(*keep, *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-    return texts.unpivot(list(keep), [f"`{c}`" for c in columns], name, value)
+    """(keep..., name, text value) rows of several columns."""
+    return long_rows(df, {c: F.col(f"`{c}`").cast("string") for c in columns}, name, value, keep)
+
+
+def names_frame(spark: SparkSession, names: Sequence[str], column: str = "feature") -> DataFrame:
+    """One row per name, made in the JVM."""
+    return spark.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias(column))
 
 
 def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> OneHotModel:
@@ -68,7 +82,7 @@ def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> OneHotModel:
 
 def cast_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     present = [c for c in columns if c in df.columns]
-    return df.withColumns({c: to_number_or_zero(F.col(c)) for c in present}) if present else df
+    return df.withColumns({c: F.coalesce(number_column(df, c), F.lit(0.0)) for c in present}) if present else df
 
 
 def cast_encoded_to_bool(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.functions.scalars import label_target, over_threshold, to_number, to_number_or_zero
+from holdfast.functions.scalars import label_target, number_column, over_threshold
 from holdfast.operators.joins import join_unique
 from holdfast.operators.naming import to_log_id
 
@@ -79,9 +79,9 @@ def ground_truth_rows(rows: DataFrame, batch_id: str, released_day: Column, targ
 
 def score_predictions(log: DataFrame, threshold: float = 0.5, prediction: str = "prediction") -> DataFrame:
     """Prediction log as monitoring reads it: probability, class, filled money fields and action flag."""
-    expected = to_number_or_zero(F.col("expected_value")) if "expected_value" in log.columns else F.lit(0.0)
+    expected = F.coalesce(number_column(log, "expected_value"), F.lit(0.0)) if "expected_value" in log.columns else F.lit(0.0)
     action = F.col("action") if "action" in log.columns else F.lit("no_action")
-    score = to_number(F.col(prediction))
+    score = number_column(log, prediction)
     return log.withColumns(
         {
             "churn_probability": score,

@@ -45,28 +45,38 @@ def _boundaries(collapsed: DataFrame, key: str, groups: list[str], buckets: int)
     return ordered.select(*groups, every.alias("_bounds"))
 
 
-def _bucket(key: str, buckets: int) -> Column:
-    """Number of boundaries below the key, by binary search in the boundary array."""
-    steps = [1 << i for i in range((2 * buckets).bit_length(), -1, -1)]
-    bounds = F.col("_bounds")
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda low, step: F.when(
-            (low + step <= F.size(bounds)) & (F.get(bounds, low + step - 1) < F.col(key)), low + step
-        ).otherwise(low),
-    )
-    return F.coalesce(found, F.lit(0))
+def _with_bucket(tagged: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Add ``_bucket``, the number of boundaries below the key, and drop the boundary array.
+
+    Binary search as a chain of columns, one per halving step. Each refers to the one before it, so the planner
+    keeps them apart and compiles the whole chain; a higher-order function would be interpreted for every row.
+    """
+    bounds, value = F.col("_bounds"), F.col(key)
+    low, chain = F.lit(0), []
+    for i in range((2 * buckets).bit_length(), -1, -1):
+        step = 1 << i
+        above = (low + step <= F.size(bounds)) & (F.get(bounds, low + (step - 1)) < value)
+        chain.append((low + F.when(above, step).otherwise(0)).alias(f"_low{i}"))
+        low = F.col(f"_low{i}")
+    kept = [c for c in tagged.columns if c != "_bounds"]
+    return tagged.select(*kept, "_bounds", *chain).select(*kept, low.alias("_bucket"))
 
 
 def collapse(df: DataFrame, key: str, sums: dict[str, Column], groups: Sequence[str] = ()) -> DataFrame:
-    """One row per (group, key) with the given sums. Keys with nothing but zeros are left out."""
-    totals = df.groupBy(*groups, key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    """One row per (group, key) with the given sums. Missing groups and keys, and keys with nothing but zeros, are left out.
+
+    The filters are stated here, before the shuffle, because the planner would otherwise add them to some of the
+    branches that read it and make the shuffle once more for those.
+    """
+    present = F.lit(True)
+    for name in (*groups, key):
+        present = present & F.col(name).isNotNull()
+    totals = df.where(present).groupBy(*groups, key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     # Asking for every sum keeps the shuffle identical in all branches that read it, so it is made once.
     some = F.lit(False)
     for name in sums:
         some = some | (F.col(name) != 0)
-    return totals.where(F.col(key).isNotNull() & some)
+    return totals.where(some)
 
 
 def running_totals(
@@ -84,7 +94,7 @@ def running_totals(
     else:
         bounds = _boundaries(collapsed, key, groups, buckets)
         tagged = collapsed.join(F.broadcast(bounds))
-    tagged = tagged.withColumn("_bucket", _bucket(key, buckets)).drop("_bounds")
+    tagged = _with_bucket(tagged, key, buckets)
 
     by_bucket = [*groups, "_bucket"]
     inside = W.partitionBy(*by_bucket).orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)

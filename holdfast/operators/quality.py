@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from holdfast.operators.features import long_text
+from holdfast.operators.features import long_text, names_frame
 
 MAX_LISTED = 20
 
@@ -47,9 +47,9 @@ def unseen_categories(current: DataFrame, known: DataFrame, features: Sequence[s
     rank = F.row_number().over(W.partitionBy("feature").orderBy("value"))
     listed = unseen.select("feature", "value", rank.alias("r")).where(F.col("r") <= MAX_LISTED)
     names = listed.groupBy("feature").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("names"))
-    present = current.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     return (
-        present.join(counts, "feature", "left")
+        names_frame(current.sparkSession, features)
+        .join(counts, "feature", "left")
         .join(names, "feature", "left")
         .select(
             "feature",

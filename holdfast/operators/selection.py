@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from holdfast.functions.scalars import order_hash
+from holdfast.operators.joins import few
 from holdfast.operators.ordering import collapse, running_totals
 
 # Up to this many rows a bounded heap per task is cheaper than two rounds of running totals.
 HEAP_LIMIT = 10_000
-# Coarse cells of a 60-bit hash: 2**12 per group.
-_CELL_SHIFT = 48
+# Coarse cells of a 60-bit hash: 2**16 per class.
+_CELL_SHIFT = 44
 
 
 def _crossing(keys: DataFrame, key: str, wanted: Column):
@@ -90,13 +91,13 @@ def stratified_split(df: DataFrame, identity: str, stratum: str, test_size: floa
         .select(stratum, "_cell", (F.col("_quota") - F.col("_before")).alias("_take"))
     )
     inside = hashed.select(stratum, cell.alias("_cell"), "_h", F.col(identity).alias("_id")).join(
-        F.broadcast(crossing), [stratum, "_cell"]
+        few(crossing, "classes"), [stratum, "_cell"]
     )
     rank = F.row_number().over(W.partitionBy(stratum).orderBy("_h", "_id"))
     cuts = inside.select(stratum, "_h", "_id", "_take", rank.alias("_rank")).where("_rank = _take").select(
         stratum, F.col("_h").alias("_cut"), F.col("_id").alias("_cut_id")
     )
-    tagged = hashed.join(F.broadcast(cuts), stratum, "left")
+    tagged = hashed.join(few(cuts, "classes"), stratum, "left")
     taken = (F.col("_h") < F.col("_cut")) | ((F.col("_h") == F.col("_cut")) & (F.col(identity) <= F.col("_cut_id")))
     return tagged.withColumn(flag, F.coalesce(taken, F.lit(False))).select(*df.columns, flag)
 
@@ -123,10 +124,8 @@ def remainder(df: DataFrame, batch: DataFrame, identity: str) -> DataFrame:
 def class_shares(df: DataFrame, label: str, groups: list[str] | None = None) -> DataFrame:
     """Rows and share of each class (inside each group, if given)."""
     groups = groups or []
+    # Only counts per class reach the window.
     counted = df.groupBy(*groups, label).agg(F.count("*").alias("n"))
     whole = W.partitionBy(*groups)
     return counted.withColumn("share", F.col("n") / F.sum("n").over(whole))
 
-
-def flagged_share(flag: Column) -> Column:
-    return F.avg(flag.cast("double"))

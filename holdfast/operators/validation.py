@@ -134,8 +134,9 @@ def batch_verdicts(checked: DataFrame, batch: str, failed: str = "failed_rules")
 
 def split_batches(checked: DataFrame, batch: str, failed: str = "failed_rules") -> tuple[DataFrame, DataFrame]:
     """(accepted rows, quarantined rows): one bad row sends its whole batch to quarantine."""
-    verdicts = batch_verdicts(checked, batch, failed).select(batch, "accepted")
-    judged = join_unique(checked, verdicts, batch)
+    verdicts = batch_verdicts(checked, batch, failed)
+    counts = verdicts.select(batch, F.col("n_rows").alias("_rows"))
+    judged = join_unique(checked, verdicts.select(batch, "accepted"), batch, counts=counts)
     columns = checked.columns
     return judged.where("accepted").select(*columns), judged.where("NOT accepted").select(*columns)
 
