@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -81,7 +82,8 @@ def train(
     began = time.perf_counter()
     model = fit(train_rows, features, target, s)
     seconds = time.perf_counter() - began
-    scored = score(model, validation, features)
+    # Two readers: the threshold search and the metrics at the threshold found.
+    scored = score(model, validation, features).select(target, "churn_probability").persist(StorageLevel.DISK_ONLY)
     labeled = labeled_rows(scored, target, "churn_probability", numeric_target=True)
     chosen = best_threshold(labeled).first()
     metrics = classification_metrics(scored, target, "churn_probability", chosen.best_threshold, numeric_target=True)
@@ -98,7 +100,9 @@ def train(
         F.lit(round(seconds / 3600.0 * costs.estimated_hourly_rate if costs.enabled else 0.0, 6)).alias("estimated_training_cost"),
         F.lit(costs.currency).alias("cost_currency"),
     )
-    return model, spark.createDataFrame(run.collect(), run.schema)
+    rows = run.collect()
+    scored.unpersist()
+    return model, spark.createDataFrame(rows, run.schema)
 
 
 def linear_coefficients(model: PipelineModel, features: Sequence[str]) -> dict[str, float]:

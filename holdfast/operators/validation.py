@@ -112,11 +112,27 @@ def require_rows(df: DataFrame, message: str = "Inference input is empty.") -> D
 
 
 def validate_or_fail(df: DataFrame, contract: Sequence[FieldRule] = CUSTOMER_CONTRACT) -> DataFrame:
-    """Coerced frame; the job fails on the first row that breaks a rule."""
-    checked = apply_contract(df, contract)
-    broken = F.raise_error(F.concat(F.lit("Validation failed: "), F.array_join("failed_rules", ", ")))
-    ok = F.when(F.size("failed_rules") == 0, True).otherwise(broken.cast("boolean"))
-    return checked.where(ok).drop("failed_rules")
+    """Coerced frame; the job fails on a value that breaks a rule.
+
+    Each column carries its own check, so a column is checked wherever it is read, and all of them when the frame
+    is written. One filter over all rules would do the same, but the planner derives a constraint from it for every
+    combination of coerced columns, which grows without bound.
+    """
+    require_columns(df, [rule.name for rule in contract if rule.required])
+    rules = {rule.name: rule for rule in contract if rule.name in df.columns}
+    coerced = df.select("*", *[_coerced(r, df.schema[n].dataType).alias(f"_c_{n}") for n, r in rules.items()])
+
+    def checked(name: str) -> Column:
+        if name not in rules:
+            return F.col(f"`{name}`")
+        value = F.col(f"`_c_{name}`")
+        outcome = None
+        for bad, text in _failures(rules[name]):
+            problem = F.raise_error(F.lit(f"Validation failed: {text}")).cast(rules[name].dtype)
+            outcome = F.when(bad, problem) if outcome is None else outcome.when(bad, problem)
+        return outcome.otherwise(value).alias(name)
+
+    return coerced.select(*[checked(n) for n in df.columns])
 
 
 def validation_report(checked: DataFrame, failed: str = "failed_rules") -> DataFrame:

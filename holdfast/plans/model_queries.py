@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from holdfast import jobs
 from holdfast.config import ModelSettings
 from holdfast.functions.scalars import to_number_or_zero
 from holdfast.operators import learning, validation
-from holdfast.operators.selection import stratified_split
 from holdfast.plans import bindings as B
 from holdfast.plans.bindings import sql_over
 from holdfast.plans.registry import query
@@ -26,8 +26,8 @@ def _matrix(spark, sf):
 
 
 def _parts(spark, sf):
-    rows = stratified_split(_matrix(spark, sf), "customerID", "Churn", 0.2, 42)
-    return rows.where("NOT is_validation"), rows.where("is_validation")
+    """Training and validation parts, written once as the hand-over between the split and the model job."""
+    return jobs.split_job(spark, _matrix(spark, sf), work_dir(spark, "splits"), "customerID", "Churn")
 
 
 @query("gbt_scores")
