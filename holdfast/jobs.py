@@ -15,7 +15,7 @@ from holdfast.operators.features import OneHotModel, build_features, fit_one_hot
 from holdfast.operators.learning import score, train
 from holdfast.operators.naming import feature_names, normalize_raw
 from holdfast.operators.selection import stratified_split
-from holdfast.operators.validation import TARGET, apply_contract, split_batches, validate_or_fail
+from holdfast.operators.validation import TARGET, apply_contract, store_batches, validate_or_fail
 from holdfast.sources.tables import path_exists
 
 SEED = 42
@@ -35,9 +35,9 @@ def ingest_job(spark: SparkSession, base: DataFrame, batches: DataFrame | None,
         parts.where("is_validation").drop("is_validation").write.parquet(holdout)
     merged = parts.where("NOT is_validation").drop("is_validation")
     if batches is not None:
-        good, bad = split_batches(apply_contract(normalize_raw(batches)), batch)
-        bad.write.mode("overwrite").parquet(f"{folder}/quarantine")
-        merged = merged.unionByName(good.drop("failed_rules", batch), allowMissingColumns=True)
+        store_batches(apply_contract(normalize_raw(batches)), batch, f"{folder}/accepted", f"{folder}/quarantine")
+        good = spark.read.parquet(f"{folder}/accepted").drop(batch)
+        merged = merged.unionByName(good, allowMissingColumns=True)
     merged.write.mode("overwrite").parquet(f"{folder}/validated")
     return spark.read.parquet(f"{folder}/validated")
 

@@ -116,25 +116,31 @@ def _count(action: str) -> Column:
     return F.count_if(F.col("action") == action)
 
 
-def decision_kpis(decided: DataFrame) -> DataFrame:
-    """Business summary of a set of decisions in one row."""
+def kpi_columns() -> list[Column]:
+    """Business summary of a set of decisions."""
     expected = F.coalesce(F.sum("expected_value"), F.lit(0.0))
-    return decided.agg(
+    return [
         round_even(expected, 2).alias("total_expected_value"),
         round_even(F.coalesce(F.try_divide(expected, F.count("*")), F.lit(0.0)), 2).alias("avg_expected_value"),
         round_even(F.coalesce(F.sum("customer_value"), F.lit(0.0)), 2).alias("total_customer_value"),
         _count("offer_discount").alias("discounts_selected"),
         _count("send_email").alias("emails_selected"),
         _count("no_action").alias("no_action_selected"),
-    )
+    ]
 
 
-def expected_value_per_action(decided: DataFrame) -> DataFrame:
-    """Mean expected value of the rows that get an action; NULL if none does."""
+def action_columns() -> list[Column]:
+    """Number of actions and their mean expected value; NULL if there is none."""
     acted = F.col("action") != "no_action"
-    return decided.agg(
-        F.count_if(acted).alias("actions_count"), F.avg(F.when(acted, F.col("expected_value"))).alias("expected_value_per_action")
-    )
+    return [
+        F.count_if(acted).alias("actions_count"),
+        F.avg(F.when(acted, F.col("expected_value"))).alias("expected_value_per_action"),
+    ]
+
+
+def decision_kpis(decided: DataFrame) -> DataFrame:
+    """Both summaries in one row, from one pass."""
+    return decided.agg(*kpi_columns(), *action_columns())
 
 
 def campaign_rollup(decided: DataFrame, name: str = "retention_campaign") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,15 +149,30 @@ def batch_verdicts(checked: DataFrame, batch: str, failed: str = "failed_rules")
     )
 
 
-def split_batches(checked: DataFrame, batch: str, failed: str = "failed_rules") -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, quarantined rows): one bad row sends its whole batch to quarantine."""
+def judge_batches(checked: DataFrame, batch: str, failed: str = "failed_rules") -> DataFrame:
+    """Rows with ``accepted``: one bad row rejects its whole batch. A batch may hold any share of the rows."""
     verdicts = batch_verdicts(checked, batch, failed)
     counts = verdicts.select(batch, F.col("n_rows").alias("_rows"))
-    judged = join_unique(checked, verdicts.select(batch, "accepted"), batch, counts=counts)
+    return join_unique(checked, verdicts.select(batch, "accepted"), batch, counts=counts)
+
+
+def split_batches(checked: DataFrame, batch: str, failed: str = "failed_rules") -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, quarantined rows)."""
+    judged = judge_batches(checked, batch, failed)
     columns = checked.columns
     return judged.where("accepted").select(*columns), judged.where("NOT accepted").select(*columns)
 
 
+def store_batches(checked: DataFrame, batch: str, accepted: str, quarantine: str, failed: str = "failed_rules") -> None:
+    """Write accepted and quarantined rows to their tables; the judged rows are computed once for both."""
+    judged = judge_batches(checked, batch, failed).persist(StorageLevel.DISK_ONLY)
+    try:
+        judged.where("accepted").drop("accepted", failed).write.mode("overwrite").parquet(accepted)
+        judged.where("NOT accepted").drop("accepted").write.mode("overwrite").parquet(quarantine)
+    finally:
+        judged.unpersist()
+
+
 def release_columns(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
     """Exactly the raw training columns in order, totals as text."""
     require_columns(df, columns)

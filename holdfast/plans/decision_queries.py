@@ -64,10 +64,7 @@ def rate_discounts(spark, sf):
     ),
 )
 def decision_kpis(spark, sf):
-    decided = _decided(spark, sf)
-    flags = decided.select("action", "expected_value", "customer_value")
-    kpis = D.decision_kpis(flags)
-    return rounded(kpis.join(F.broadcast(D.expected_value_per_action(flags))))
+    return rounded(D.decision_kpis(_decided(spark, sf)))
 
 
 @query(

@@ -27,9 +27,9 @@ def validate_rules(spark, sf):
     ),
 )
 def quarantine_batches(spark, sf):
-    good, bad = validation.split_batches(validation.apply_contract(B.contract_rows(spark, sf)), "batch_id")
-    rows = good.select("batch_id", F.lit("accepted").alias("verdict")).unionByName(bad.select("batch_id", F.lit("quarantined").alias("verdict")))
-    return rows.groupBy("batch_id", "verdict").agg(F.count("*").alias("n"))
+    judged = validation.judge_batches(validation.apply_contract(B.contract_rows(spark, sf)), "batch_id")
+    verdict = F.when(F.col("accepted"), "accepted").otherwise("quarantined")
+    return judged.groupBy("batch_id", verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
 _SPLIT_SQL = """counted AS (SELECT "Churn", count(*) AS c FROM customers GROUP BY 1),

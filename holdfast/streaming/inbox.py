@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from holdfast.operators.validation import CUSTOMER_CONTRACT, FieldRule, apply_contract, split_batches
+from holdfast.operators.validation import CUSTOMER_CONTRACT, FieldRule, apply_contract, store_batches
 
 
 def read_inbox(
@@ -39,10 +39,8 @@ def ingest_inbox(
     """
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        checked = apply_contract(rows, contract)
-        good, bad = split_batches(checked, batch)
-        good.drop("failed_rules").write.mode("overwrite").parquet(f"{accepted}/micro_batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{quarantine}/micro_batch={batch_id}")
+        part = f"micro_batch={batch_id}"
+        store_batches(apply_contract(rows, contract), batch, f"{accepted}/{part}", f"{quarantine}/{part}")
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
