@@ -7,16 +7,18 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from holdfast.config import FeatureSettings, ModelSettings
+from holdfast.config import DecisionSettings, FeatureSettings, ModelSettings
 from holdfast.functions.scalars import training_target
 from holdfast.operators import rules
 from holdfast.operators.features import OneHotModel, build_features, fit_one_hot
 from holdfast.operators.learning import score, train
+from holdfast.operators.metrics import business_metrics, classification_metrics
 from holdfast.operators.naming import feature_names, normalize_raw
 from holdfast.operators.selection import stratified_split
 from holdfast.operators.validation import TARGET, apply_contract, store_batches, validate_or_fail
-from holdfast.sources.tables import path_exists
+from holdfast.sources.tables import append_history, path_exists, read_table
 
 SEED = 42
 TEST_SIZE = 0.2
@@ -77,6 +79,28 @@ def training_job(
     return model, run
 
 
+def evaluate_batch(
+    spark: SparkSession,
+    path: str,
+    history: str | None = None,
+    y_true: str = "Churn",
+    y_score: str = "churn_probability",
+    action: str | None = "action",
+    threshold: float = 0.5,
+    s: DecisionSettings = DecisionSettings(),
+    schema: T.StructType | str | None = None,
+) -> DataFrame:
+    """Metric row of a labeled batch file, with business fields when it has actions; appended to a history if one is named."""
+    batch = read_table(spark, path, schema=schema)
+    row = classification_metrics(batch, y_true, y_score, threshold)
+    if action and action in batch.columns:
+        money = business_metrics(batch, y_true, y_score, action, settings=s)
+        money = money.select(*[F.col(c).alias(f"business_{c}") for c in money.columns])
+        row = row.join(F.broadcast(money))
+    row = row.withColumnRenamed("f1", "f1_score")
+    return append_history(row, history) if history else row
+
+
 def register(spark: SparkSession, folder: str, run_id: str, alias: str, at: Column | None = None) -> None:
     """Give a run an alias; the newest assignment counts."""
     if alias not in ("champion", "challenger"):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from holdfast.config import CostSettings, ModelSettings
 from holdfast.operators.metrics import best_threshold, classification_metrics, labeled_rows
@@ -54,6 +55,25 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str], output:
     return scored.withColumn(output, probability_of_one()).select(*df.columns, output)
 
 
+def score_with(
+    df: DataFrame, load: Callable[[], Callable], features: Sequence[str], output: str = "churn_probability"
+) -> DataFrame:
+    """Score with a model Spark does not know: ``load`` gives a function of a pandas frame, once per task.
+
+    The only place where rows pass through Python, in Arrow batches.
+    """
+    names = list(features)
+
+    def run(batches):
+        predict = load()
+        for pdf in batches:
+            pdf[output] = [float(v) for v in predict(pdf[names])]
+            yield pdf
+
+    schema = T.StructType([*df.schema.fields, T.StructField(output, T.DoubleType())])
+    return df.mapInPandas(run, schema)
+
+
 def soft_vote(df: DataFrame, models: Sequence[PipelineModel], features: Sequence[str], output: str = "churn_probability") -> DataFrame:
     """Mean of the models' probabilities."""
     names = [f"_p{i}" for i in range(len(models))]

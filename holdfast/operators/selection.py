@@ -58,8 +58,12 @@ def top_flag(
         return df.withColumn(flag, F.lit(False) if k is None else F.coalesce(eligible, F.lit(False)))
     inside = neg <= first.cut
     if first.need < first.tied and not (positive_only and first.cut >= 0):
-        second = _crossing(keys.where(F.col("_neg") == first.cut).select("_id"), "_id", F.lit(first.need))
-        inside = (neg < first.cut) | ((neg == first.cut) & (F.col(identity) <= F.lit(second.cut)))
+        tied = keys.where(F.col("_neg") == first.cut).select("_id")
+        if first.need <= HEAP_LIMIT:
+            last_id = tied.orderBy("_id").limit(first.need).agg(F.max("_id").alias("cut")).first().cut
+        else:
+            last_id = _crossing(tied, "_id", F.lit(first.need)).cut
+        inside = (neg < first.cut) | ((neg == first.cut) & (F.col(identity) <= F.lit(last_id)))
     return df.withColumn(flag, F.coalesce(eligible & inside, F.lit(False)))
 
 

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+LOCAL_MEMORY = "8g"
+
+
 def get_session(app_name: str = "holdfast", master: str | None = None, cores: int | None = None) -> SparkSession:
     """Build a session. On a cluster the launcher's own settings win; only semantics are pinned here."""
     builder = (
@@ -20,6 +23,9 @@ def get_session(app_name: str = "holdfast", master: str | None = None, cores: in
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # One process does all the work; the default heap is meant for a driver that only plans.
+            builder = builder.config("spark.driver.memory", LOCAL_MEMORY)
     if cores:
         builder = (
             builder.config("spark.sql.shuffle.partitions", str(cores))

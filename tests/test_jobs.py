@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdfast import jobs
 from holdfast.config import CostSettings, ModelSettings, ServingSettings
-from holdfast.operators import costs, labels, learning, rules, serving
+
+from holdfast.operators import costs, explain, labels, learning, rules, serving
 from holdfast.sources import prediction_log, snapshots, tables
 from holdfast.streaming import inbox, monitoring, requests
 from holdfast.streaming import labels as label_streams
@@ -200,6 +202,22 @@ def test_models(spark):
     row = run.first()
     assert row.metrics["f1"] > 0.9 and row.n_features == 2 and 0.1 <= row.decision_threshold <= 0.9
     assert set(learning.linear_coefficients(model, ["a", "b"])) == {"a", "b"}
+    forest = learning.fit(df, ["a", "b"], "y", ModelSettings(kind="random_forest", n_estimators=3))
+    ranked = explain.importance_table(forest.stages[-1].featureImportances.toArray(), ["a", "b"], spark).collect()
+    assert [r.feature for r in ranked] == ["a", "b"]
+    foreign = learning.score_with(df, lambda: lambda pdf: pdf.a / 10.0, ["a"]).where("churn_probability <> a / 10")
+    assert foreign.count() == 0
+
+
+def test_evaluate_batch(spark, tmp_path):
+    rows = [("Yes", 0.9, "send_email", 100.0), ("No", 0.2, None, 50.0), ("No", 0.6, "no_action", 50.0)]
+    df = spark.createDataFrame(rows, "Churn string, churn_probability double, action string, customer_value double")
+    tables.write_table(df, f"{tmp_path}/b.parquet")
+    row = jobs.evaluate_batch(spark, f"{tmp_path}/b.parquet", f"{tmp_path}/history").first()
+    assert (row.n_samples, row.business_n_samples, row.business_realized_profit) == (3, 2, 8.0)
+    assert tables.read_history(spark, f"{tmp_path}/history").first().f1_score == row.f1_score
+    bare = jobs.evaluate_batch(spark, f"{tmp_path}/b.parquet", action=None)
+    assert not [c for c in bare.columns if c.startswith("business_")]
 
 
 # --- streams -----------------------------------------------------------------------------------------------
