@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.config import DecisionSettings
-from holdfast.functions.scalars import first_filled, number_column, over_threshold, round_even
+from holdfast.functions.scalars import drop_nan, first_filled, number_column, over_threshold, round_even
 from holdfast.operators.selection import top_flag
 
 NEW_CUSTOMER_MONTHS = 12
@@ -46,8 +46,8 @@ def action_values(p: Column, value: Column, s: DecisionSettings) -> Column:
 
 def decide_each(df: DataFrame, p: str = "prediction", value: str | None = "customer_value", s: DecisionSettings = DecisionSettings()) -> DataFrame:
     """Best action of each row on its own: discount before e-mail before none, and none unless it pays."""
-    score = F.col(p)
-    worth = F.coalesce(F.col(value), F.lit(s.customer_value)) if value else F.lit(s.customer_value)
+    score = drop_nan(F.col(p))
+    worth = F.coalesce(drop_nan(F.col(value)), F.lit(s.customer_value)) if value else F.lit(s.customer_value)
     discount, email = discount_value(score, worth, s), email_value(score, worth, s)
     best = F.greatest(discount, email, F.lit(0.0))
     action = F.when(best <= 0, "no_action").when(discount == best, "offer_discount").otherwise("send_email")
@@ -76,8 +76,8 @@ def decide_batch(
     The fallback is an e-mail when it does not lose money, else nothing. Only rows with a positive gain can get
     a discount; ties go to the smaller id.
     """
-    score = F.col(p)
-    worth = F.coalesce(F.col(value), F.lit(s.customer_value)) if value else F.lit(s.customer_value)
+    score = drop_nan(F.col(p))
+    worth = F.coalesce(drop_nan(F.col(value)), F.lit(s.customer_value)) if value else F.lit(s.customer_value)
     discount, email = discount_value(score, worth, s), email_value(score, worth, s)
     valued = df.withColumns(
         {

@@ -35,7 +35,13 @@ def join_unique(
     hot = counts.join(F.broadcast(limit)).where(F.col("_rows") > F.col("_limit")).select(on, F.lit(True).alias("_hot"))
 
     hashable = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")).otherwise(0)
+    row_hash = F.xxhash64(*hashable)
+    spread = (
+        F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salts)).cast("int"))
+        # A missing key matches nothing, so its rows may go anywhere.
+        .when(F.col(on).isNull(), F.pmod(row_hash, F.lit(1 << 20)).cast("int"))
+        .otherwise(0)
+    )
     salted = left.join(F.broadcast(hot), on, "left").select(*left.columns, spread.alias("_salt"))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     copied = right.join(F.broadcast(hot), on, "left").select(*right.columns, F.explode(copies).alias("_salt"))

@@ -113,3 +113,12 @@ def test_top_reasons_and_rollup(spark):
     assert [(r.id, r.rank, r.feature, r.direction, r.impact_pct) for r in rows] == [(1, 1, "b", "reduces_churn", 60.0), (1, 2, "a", "increases_churn", 20.0)]
     summed = explain.sum_by_source(wide, {"a": "x", "b": "x", "d": "y", "gone": "z"}, ["id"]).collect()
     assert summed[0].x == -1.0 and summed[0].y == 0.5
+
+
+def test_missing_scores_and_values(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, nan, 100.0), (2, None, 100.0), (3, 0.9, nan), (4, 0.9, None)], "id long, prediction double, customer_value double")
+    for decided in (D.decide_each(df), D.decide_batch(df, "id", s=DecisionSettings(max_discount_budget=1000.0))):
+        rows = {r.id: (r.action, r.expected_value) for r in decided.collect()}
+        assert rows[1] == rows[2] == ("no_action", 0.0)
+        assert rows[3] == rows[4] == ("offer_discount", pytest.approx(17.0))
