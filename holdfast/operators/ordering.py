@@ -53,9 +53,11 @@ def _with_bucket(tagged: DataFrame, key: str, buckets: int) -> DataFrame:
     """
     bounds, value = F.col("_bounds"), F.col(key)
     low, chain = F.lit(0), []
-    for i in range((2 * buckets).bit_length(), -1, -1):
+    # Enough steps for twice the wanted number of boundaries; keys beyond would share the last bucket.
+    for i in range((2 * buckets).bit_length() - 1, -1, -1):
         step = 1 << i
-        above = (low + step <= F.size(bounds)) & (F.get(bounds, low + (step - 1)) < value)
+        # Past the end of the array there is no value, and the comparison does not hold.
+        above = F.get(bounds, low + (step - 1)) < value
         chain.append((low + F.when(above, step).otherwise(0)).alias(f"_low{i}"))
         low = F.col(f"_low{i}")
     kept = [c for c in tagged.columns if c != "_bounds"]
