@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from holdfast.llm.common import map_texts
 
 #: Words whose ids a task keeps; beyond, it starts anew.
 CACHE_WORDS = 400_000
@@ -145,32 +146,36 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         bpe = _tokenizer(shared.value)
-        for batch in batches:
-            ids = [bpe.encode(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "n_tokens": [len(x) for x in ids], "decoded": [bpe.decode(x) for x in ids]})
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInPandas(work, "doc_id bigint, ids array<int>, n_tokens bigint, decoded string")
+        def run(texts: list) -> list:
+            ids = [bpe.encode(t or "") for t in texts]
+            return [ids, [len(x) for x in ids], [bpe.decode(x) for x in ids]]
+
+        return run
+
+    fields = [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64()), ("decoded", "string", pa.string())]
+    return map_texts(docs, id_col, text_col, make, fields)
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``encode_decode``, but with digests in place of ids and text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
+    def make():
         bpe = _tokenizer(shared.value)
-        for batch in batches:
+
+        def run(texts: list) -> list:
             counts, of_ids, of_text = [], [], []
-            for text in batch["text"]:
-                ids = bpe.encode(text)
+            for text in texts:
+                ids = bpe.encode(text or "")
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
                 of_text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts, "ids_sha256": of_ids, "decoded_sha256": of_text})
+            return [counts, of_ids, of_text]
+
+        return run
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInPandas(work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    fields = [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
+    return map_texts(docs, id_col, text_col, make, fields)

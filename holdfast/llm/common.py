@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import holdfast
 from holdfast.session import work_dir
 
 #: White space as the contracts of the queries mean it: blank, tab, line feed, vertical tab, form feed, return.
@@ -43,3 +48,33 @@ def labelled_sample(labelled: DataFrame, key: str, limit: int, columns: list[str
     if share < 1.0:
         labelled = labelled.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000))
     return labelled.select(*columns)
+
+
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers import this package where it lies at the driver's path and is not installed.
+
+    Where the path does not exist, the launcher must ship the package, as with any other one.
+    """
+    root, environment = os.path.dirname(os.path.dirname(os.path.abspath(holdfast.__file__))), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def map_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list], list]], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """doc_id and the ``fields`` (name, Spark type, Arrow type) that a function makes of each batch of texts, where the texts are read.
+
+    ``make`` builds that function once per task. Ids pass by untouched, so large ones and missing ones stay what they are.
+    """
+    workers_import(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), *[(name, kind) for name, _, kind in fields]])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = make()
+        for batch in batches:
+            columns = run(batch.column(1).to_pylist())
+            arrays = [pa.array(values, type=kind) for values, (_, _, kind) in zip(columns, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], schema=schema)
+
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(work, ", ".join(["doc_id bigint", *[f"{name} {kind}" for name, kind, _ in fields]]))
