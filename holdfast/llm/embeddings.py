@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import stored, workers_import
-from holdfast.llm.components import components
+from holdfast.llm.components import forest, resolve_links
 
 #: The index is fitted on so many vectors at most, and numbers in them; all vectors are indexed.
 SAMPLE_VECTORS = 20_000
@@ -114,29 +114,6 @@ class Index:
         return i[keep], j[keep]
 
 
-def forest(ids: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """For positions joined by ``pairs``: the smallest id in reach of each."""
-    root = ids.copy()
-    order = np.argsort(ids, kind="stable")
-    place = np.empty(len(ids), np.int64)
-    place[order] = np.arange(len(ids))
-    low = place.copy()  # rank of the smallest id so far
-    i, j = pairs
-    while True:
-        was = low.copy()
-        np.minimum.at(low, i, low[j])
-        np.minimum.at(low, j, low[i])
-        low = low[order][low]  # follow the smallest one's own
-        if (low == was).all():
-            break
-    root = ids[order[low]]
-    return root
-
-
-def _doubles(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.float64) for x in column.to_pylist()])
-
-
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors with a cosine of at least ``least``), component_id, kept (smallest id of its component).
 
@@ -158,8 +135,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.select("vec_id", "v", sound.alias("sound"), *keys)
     known = rows.where("sound").select("vec_id", "h1", "h2", F.size("v").alias("dim"), "v")
     # Equal vectors become one; ids of a class are counted, never gathered.
-    ids = known.select("vec_id", "h1", "h2", "dim").distinct()
-    classes = ids.groupBy("h1", "h2", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    ids = known.select(F.col("vec_id").alias("id"), "h1", "h2", "dim").distinct()
+    classes = ids.groupBy("h1", "h2", "dim").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     one_each = known.select("h1", "h2", "v").groupBy("h1", "h2").agg(F.first("v").alias("v"))
     reps = stored(classes.join(one_each, ["h1", "h2"]), "vectors")
 
@@ -168,18 +145,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     for dim, count in sorted((r["dim"], r["n"]) for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         part = _links(reps.where(F.col("dim") == dim), count, dim, least)
         found = part if found is None else found.unionAll(part)
-    if found is None:
-        return vectors.select(F.col(id_col).cast("bigint").alias("vec_id")).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    # An id with two vectors stands for both, in links and in components.
-    links = stored(found, "near")
-    joined = classes.join(links.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").select("h1", "h2", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    by_id = ids.join(joined, ["h1", "h2"])
-    reach = components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")).unionAll(by_id.where("vec_id != rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))))
-    sums = by_id.groupBy("vec_id").agg(F.sum("n_links").alias("n_links")).join(reach, F.col("vec_id") == F.col("node"), "left")
-    sums = sums.select(F.col("vec_id").alias("id"), "n_links", "component")
-    out = rows.select("vec_id", "sound").join(sums, F.col("vec_id") == F.col("id"), "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    none = spark.createDataFrame([], "rep bigint, n bigint, other bigint")
+    links = none if found is None else stored(found, "near")
+    return resolve_links(rows.select(F.col("vec_id").alias("id")), ids, classes, links).withColumnRenamed("id", "vec_id")
 
 
 def _links(reps: DataFrame, count: int, dim: int, least: float) -> DataFrame:
