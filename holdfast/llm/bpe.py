@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from holdfast.llm.common import map_texts
+from holdfast.llm.common import add_by_text, map_texts
 
 #: Words whose ids a task keeps; beyond, it starts anew.
 CACHE_WORDS = 400_000
@@ -159,6 +159,23 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     return map_texts(docs, id_col, text_col, make, fields)
 
 
+def encode_rows(docs: DataFrame, tokenizer: str, text_col: str = "text", drop: tuple[str, ...] = ("text",)) -> DataFrame:
+    """``docs`` without the columns in ``drop``, with ids, n_tokens, and whether the ids decode to the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+
+    def make():
+        bpe = _tokenizer(shared.value)
+
+        def run(texts: list) -> list:
+            ids = [bpe.encode(t or "") for t in texts]
+            return [ids, [len(x) for x in ids], [bpe.decode(x) == (t or "") for x, t in zip(ids, texts)]]
+
+        return run
+
+    fields = [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64()), ("round_trip", "boolean", pa.bool_())]
+    return add_by_text(docs, text_col, make, fields, drop)
+
+
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``encode_decode``, but with digests in place of ids and text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)

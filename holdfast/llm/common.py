@@ -61,20 +61,32 @@ def workers_import(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
-def map_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list], list]], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    """doc_id and the ``fields`` (name, Spark type, Arrow type) that a function makes of each batch of texts, where the texts are read.
+Field = tuple[str, str, pa.DataType]
 
-    ``make`` builds that function once per task. Ids pass by untouched, so large ones and missing ones stay what they are.
+
+def add_by_text(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list], list]], fields: list[Field], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` and the ``fields`` (name, Spark type, Arrow type) that a function makes of each batch of texts, where the texts are read.
+
+    ``make`` builds that function once per task. Other columns pass by untouched, so large ids and missing values stay what they are; those
+    in ``drop`` end here.
     """
     workers_import(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), *[(name, kind) for name, _, kind in fields]])
+    at = docs.columns.index(text_col)
+    stay = [i for i, name in enumerate(docs.columns) if name not in drop]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = make()
         for batch in batches:
-            columns = run(batch.column(1).to_pylist())
-            arrays = [pa.array(values, type=kind) for values, (_, _, kind) in zip(columns, fields, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], schema=schema)
+            made = run(batch.column(at).to_pylist())
+            arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=kind) for x, (_, _, kind) in zip(made, fields, strict=True)]
+            schema = pa.schema([*[batch.schema.field(i) for i in stay], *[(name, kind) for name, _, kind in fields]])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], *arrays], schema=schema)
+
+    kinds = [f"`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}" for i in stay]
+    return docs.mapInArrow(work, ", ".join([*kinds, *[f"{name} {kind}" for name, kind, _ in fields]]))
+
 
+def map_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list], list]], fields: list[Field]) -> DataFrame:
+    """doc_id and the ``fields`` that a function makes of each batch of texts; see ``add_by_text``."""
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(work, ", ".join(["doc_id bigint", *[f"{name} {kind}" for name, kind, _ in fields]]))
+    return add_by_text(source, "text", make, fields, drop=("text",))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import labelled_sample, map_texts
+from holdfast.llm.common import add_by_text, labelled_sample, map_texts
 
 #: First and last code point of the scripts that narrow the candidates.
 SCRIPTS = (
@@ -211,14 +211,8 @@ def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
     return [{"lang": langs[path[a]], "start": place[a][0], "end": place[b][1]} for a, b in zip(firsts, lasts)]
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Language of every whole text: doc_id, lang_pred, score, n_words, spans (language, first and last place, in code points).
-
-    The language with most words on the best path wins; ties go to the language that was more frequent in training. The score is its share of the words times its
-    probability against the other languages, 0 to 1. A text that is missing or has no letter is ``und`` with score 0 and no
-    spans. Words in scripts that no learned language uses count for the language around them. Other columns are not read; repeated
-    rows give equal results; an empty table gives no rows. The model is at most ``MAX_GRAMS`` rows, sent to each executor once. No shuffle.
-    """
+def _labeller(model: LanguageModel, docs: DataFrame):
+    """What makes the language columns of a batch of texts, and those columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -231,21 +225,23 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             scorer.settle()
             scores, letters = scorer.scores, scorer.letters
             paths = best_paths(numbers, scores, prior) if langs else numbers
-            names, values, counts, spans = [], [], [], []
+            names, values, shares, counts, spans = [], [], [], [], []
             for text, found, path in zip(texts, numbers, paths):
                 known = bool(len(found)) and bool(letters[found].any())
-                name, value, places = UNDETERMINED, 0.0, []
+                name, value, share, places = UNDETERMINED, 0.0, 0.0, []
                 if known:
                     votes = np.bincount(path, minlength=len(langs))
                     best = int(votes.argmax())
                     total = scores[found].sum(axis=0, dtype=np.float64)
                     odds = np.exp(np.minimum(total - total[best], 50.0)).sum()
-                    name, value, places = langs[best], float(votes[best] / len(path) / max(1.0, odds)), _spans(text, path, langs)
+                    share = float(votes[best] / len(path))
+                    name, value, places = langs[best], share / max(1.0, float(odds)), _spans(text, path, langs)
                 names.append(name)
                 values.append(value)
+                shares.append(share)
                 counts.append(len(path) if known else 0)
                 spans.append(places)
-            return [names, values, counts, spans]
+            return [names, values, shares, counts, spans]
 
         return run
 
@@ -253,7 +249,32 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     fields = [
         ("lang_pred", "string", pa.string()),
         ("score", "double", pa.float64()),
+        ("share", "double", pa.float64()),
         ("n_words", "bigint", pa.int64()),
         ("spans", "array<struct<lang: string, start: int, end: int>>", pa.list_(span)),
     ]
+    return make, fields
+
+
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Language of every whole text: doc_id, lang_pred, score, share, n_words, spans (language, first and last place, in code points).
+
+    The language with most words on the best path wins; ties go to the language that was more frequent in training. ``share`` is its share of the
+    words, and the score is that times its probability against the other languages, 0 to 1. A text that is missing or has no letter is ``und`` with
+    score 0 and no spans. Words in scripts that no learned language uses count for the language around them. Other columns are not read; repeated rows
+    give equal results; an empty table gives no rows. The model is at most ``MAX_GRAMS`` rows, sent to each executor once. No shuffle.
+    """
+    make, fields = _labeller(model, docs)
     return map_texts(docs, id_col, text_col, make, fields)
+
+
+def keep_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang", least_share: float = 0.5) -> DataFrame:
+    """The documents with a language that holds at least ``least_share`` of their words, with their columns; a missing ``lang_col`` is filled in.
+
+    Texts without a letter are left out.
+    """
+    make, fields = _labeller(model, docs)
+    renamed = [(f"_language_{name}", kind, arrow) for name, kind, arrow in fields]
+    found = add_by_text(docs, text_col, make, renamed).where((F.col("_language_lang_pred") != UNDETERMINED) & (F.col("_language_share") >= least_share))
+    filled = F.coalesce(F.col(lang_col), F.col("_language_lang_pred")).alias(lang_col)
+    return found.select(*[filled if c == lang_col else F.col(f"`{c}`") for c in docs.columns])

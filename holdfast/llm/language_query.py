@@ -20,4 +20,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, learned(docs))
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words", "spans")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "share", "n_words", "spans")

@@ -46,7 +46,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20, whole_docs: bool = False) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, epochs (whole uses), part (words of the last, partial use).
+    """One row per document: doc_id, source, text_hash, size, source_size, target, taken, epochs (whole uses), part (words of the last, partial use).
 
     Each source first takes all its documents ``floor(target / size)`` times. The rest of its budget goes to documents in the order
     of Efraimidis-Spirakis keys, -ln(u) / quality with u from a hash of seed, id and text: their sizes are summed up in that order until the
@@ -68,6 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(source_col).alias("source"),
         # The same as a name that is never missing, for joins.
         F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col))).alias("of"),
+        F.xxhash64(text).alias("text_hash"),
         F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"),
         (-F.log(chance) / quality(text)).alias("key"),
     )
@@ -99,10 +100,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         use = F.greatest(F.lit(0), F.least(F.col("words"), F.col("room_here")))
     used = filled.select("of", "key", (use / F.greatest(F.lit(1), F.col("ties"))).cast("bigint").alias("use"))
     cut = inside.join(used, ["of", "key"])
-    columns = ["doc_id", "source", "size", "source_size", "target", "epochs"]
+    columns = ["doc_id", "source", "text_hash", "size", "source_size", "target", "epochs"]
     outside = placed.where(F.col("end_cell").isNull() | (F.col("cell") != F.col("end_cell")))
     early = F.when(F.col("cell") < F.col("end_cell"), F.col("size")).otherwise(F.lit(0))
     parts = cut.select(*columns, F.least("use", "size").alias("part")).unionAll(outside.select(*columns, early.cast("bigint").alias("part")))
     return parts.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "epochs", "part"
+        "doc_id", "source", "text_hash", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "epochs", "part"
     )
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20) -> DataFrame:
+    """The mix itself: each document as many times as it is taken, whole, with all its columns."""
+    uses = mix(docs, id_col, text_col, source_col, seed, whole_docs=True)
+    uses = uses.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of")).agg(F.max(F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)).alias("_uses"))
+    # Documents of size 0 add no words and are not taken.
+    keyed = docs.withColumn("_hash", F.xxhash64(text_of(text_col))).where(F.regexp_like(text_of(text_col), F.lit(WORD)))
+    same = keyed[id_col].cast("bigint").eqNullSafe(uses["_id"]) & (keyed["_hash"] == uses["_of"])
+    joined = keyed.join(uses.where("_uses > 0"), same)
+    return joined.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -12,4 +12,4 @@ SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "text_hash")
