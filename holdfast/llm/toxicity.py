@@ -11,14 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import labelled_sample, map_texts
+from holdfast.llm.common import map_texts, stored
 
 BUCKETS = 1 << 17
 DIM = 8
 PARTS = (3, 4, 5)
-#: Labelled documents and characters that the model learns from at most, per class.
+#: Labelled documents that the model learns from, of each class, about and at most.
 SAMPLE_DOCS = 3_000
-SAMPLE_CHARS = 12_000_000
 EPOCHS = 150
 RATE = 0.05
 #: The average is scaled up by this much before the softmax: a text may be toxic by one word in a thousand.
@@ -70,25 +69,20 @@ class ToxicityModel:
     bias: float
 
 
+def constant(share: float) -> ToxicityModel:
+    """What is left without examples of both classes: everyone gets the share of toxic ones."""
+    return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 0.01) / (1.01 - share))))
+
+
 def train(index: np.ndarray, weight: np.ndarray, ends: np.ndarray, toxic: np.ndarray, share: float, seed: int = 7) -> ToxicityModel:
     """Vectors and softmax weights by Adam on the whole sample at each step.
 
-    ``ends`` closes each document's part of ``index`` and ``weight``. Both classes weigh the same while learning; ``share``
+    Both classes must occur. ``ends`` closes each document's part of ``index`` and ``weight``. Both classes weigh the same while learning; ``share``
     is the real share of toxic documents, and moves the start of the log odds afterwards.
     """
-    if not len(toxic) or toxic.min() == toxic.max():
-        rate = float(toxic.mean()) if len(toxic) else 0.0
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log((rate + 0.01) / (1.01 - rate))))
     rng = np.random.default_rng(seed)
     doc = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
     n_toxic, n_clean = toxic.sum(), (1 - toxic).sum()
-    with_it = np.bincount(index, minlength=BUCKETS)
-    toxic_with = np.bincount(index, toxic[doc], minlength=BUCKETS)
-    rate = with_it / len(toxic)
-    gap = toxic_with / n_toxic - (with_it - toxic_with) / n_clean
-    tells = np.abs(gap) >= MIN_Z * np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n_toxic + 1 / n_clean))
-    stay = tells[index] & (rate[index] < 1)
-    index, weight, doc = index[stay], weight[stay], doc[stay]
     used, local = np.unique(index, return_inverse=True)
     vectors = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
     softmax = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
@@ -120,38 +114,63 @@ def train(index: np.ndarray, weight: np.ndarray, ends: np.ndarray, toxic: np.nda
     return ToxicityModel(adds, float(bias[1] - bias[0] + np.log(share / (1 - share))))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", key: str = "doc_id") -> ToxicityModel:
+def _telling(bags: DataFrame, n_toxic: int, n_clean: int) -> list[int]:
+    """Buckets whose share of documents differs between the classes by at least ``MIN_Z`` standard errors, some of ``BUCKETS``."""
+    counts = bags.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    rate = F.col("n") / F.lit(n_toxic + n_clean)
+    gap = F.abs(F.col("t") / F.lit(n_toxic) - (F.col("n") - F.col("t")) / F.lit(n_clean))
+    error = F.sqrt(rate * (F.lit(1.0) - rate) * F.lit(1 / n_toxic + 1 / n_clean))
+    return sorted(r["bucket"] for r in counts.where((rate < 1) & (gap >= F.lit(MIN_Z) * error)).select("bucket").collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn from labelled documents (label 0 or 1; others and missing texts are left out), a bounded sample of each class.
 
-    Bags of buckets are made in Spark; the driver trains on them.
+    The sample is drawn from the labels, so texts are not shuffled. Bags are made and the telling buckets are found in Spark; the driver
+    gets only those buckets of each sampled document, and trains on them. An id that is labelled more than once counts as toxic if one label says so.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
-    size = {r[0]: (r[1], r[2]) for r in rows.groupBy(label_col).agg(F.count("*"), F.avg(F.length(text_col))).collect()}
-    parts = []
-    for label in sorted(size):
-        limit = int(min(SAMPLE_DOCS, SAMPLE_CHARS / max(size[label][1], 1)))
-        parts.append(labelled_sample(rows.where(F.col(label_col) == label), key, limit, [F.col(label_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")]))
-    if not parts:
-        return train(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, int), np.zeros(0, int), 0.5)
-    sample = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    marks = marks.groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.max(label_col).cast("bigint").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if set(sizes) != {0, 1}:
+        return constant(float(set(sizes) == {1}))
+    share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE_DOCS / sizes[1])).otherwise(min(1.0, SAMPLE_DOCS / sizes[0]))
+    chosen = marks.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
+    # About 2 * SAMPLE_DOCS ids at most, by the shares above.
+    sample = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("id")).select("toxic", F.col(text_col).alias("text"))
 
     def make():
         def run(texts: list) -> list:
             known = _Parts()
             bags = [bag(t, known) for t in texts]
-            return [[i.tobytes() for i, _ in bags], [w.tobytes() for _, w in bags]]
+            return [[i for i, _ in bags], [w for _, w in bags]]
 
         return run
 
-    fields = [("buckets", "binary", pa.binary()), ("weights", "binary", pa.binary())]
-    got = map_texts(sample, "doc_id", "text", make, fields).collect()
+    fields = [("buckets", "array<int>", pa.list_(pa.int32())), ("weights", "array<float>", pa.list_(pa.float32()))]
+    bags = stored(map_texts(sample, "toxic", "text", make, fields).withColumnRenamed("doc_id", "toxic"), "bags")
+    seen = {r["toxic"]: r["n"] for r in bags.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if set(seen) != {0, 1}:
+        return constant(sizes[1] / (sizes[0] + sizes[1]))
+    telling = np.array(_telling(bags, seen[1], seen[0]), np.int32)
+
+    def pick(batches):
+        for batch in batches:
+            rows = []
+            for index, weight in zip(batch.column(1), batch.column(2)):
+                index, weight = index.values.to_numpy(zero_copy_only=False), weight.values.to_numpy(zero_copy_only=False)
+                keep = np.isin(index, telling)
+                rows.append((index[keep].tobytes(), weight[keep].tobytes()))
+            columns = [pa.array(c, pa.binary()) for c in (zip(*rows) if rows else ((), ()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["toxic", "buckets", "weights"])
+
+    got = bags.select("toxic", "buckets", "weights").mapInArrow(pick, "toxic bigint, buckets binary, weights binary").collect()
     # A fixed order, so that sums and with them the model do not depend on which task came first.
-    got.sort(key=lambda r: (r["doc_id"], zlib.crc32(r["buckets"]), bytes(r["buckets"])))
+    got.sort(key=lambda r: (r["toxic"], bytes(r["buckets"]), bytes(r["weights"])))
     index = [np.frombuffer(r["buckets"], np.int32) for r in got]
     weight = [np.frombuffer(r["weights"], np.float32) for r in got]
-    toxic = np.array([r["doc_id"] for r in got])
-    share = size[1][0] / sum(n for n, _ in size.values()) if 1 in size else 0.0
-    return train(np.concatenate(index), np.concatenate(weight), np.cumsum([len(x) for x in index]), toxic, share)
+    ends, toxic = np.cumsum([len(x) for x in index]), np.array([r["toxic"] for r in got])
+    return train(np.concatenate(index), np.concatenate(weight), ends, toxic, sizes[1] / (sizes[0] + sizes[1]))
 
 
 class _Adds(dict):

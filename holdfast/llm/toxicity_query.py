@@ -15,6 +15,6 @@ SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0).select("doc_id", "toxic")
-    found = score(docs, fit(docs.join(labels, "doc_id")))
+    found = score(docs, fit(docs, labels))
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
