@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import WORD, stored, text_of
+from holdfast.llm.common import WORD, fresh, stored, text_of
 
 #: Weights that the sources take in turn, share of all words that the mix takes, and how often a document is used at most.
 WEIGHTS = (3, 1, 2)
@@ -38,9 +38,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     total = F.sum("source_size").over(whole) * F.lit(float(share))
     left = total - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
     ranked = listed.select("*", (left / F.sum("weight").over(after)).alias("_level"))
-    # The level if this source and all later ones are not full: right at the first source that it leaves below its cap.
-    open_at = F.min(F.when(F.col("_level") * F.col("weight") < F.col("_cap"), F.struct(F.col("_cap") / F.col("weight"), "_level"))).over(whole)
-    level = open_at["_level"]
+    # The level if this source and all later ones are not full. The first that it leaves below its cap has the right one, and the highest:
+    # each later one takes a cap off that is more than the source's share.
+    level = F.max(F.when(F.col("_level") * F.col("weight") < F.col("_cap"), F.col("_level"))).over(whole)
     target = F.when(level.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), level * F.col("weight")))
     return ranked.select(*sizes.columns, target.alias("target"))
 
@@ -111,10 +111,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20) -> DataFrame:
     """The mix itself: each document as many times as it is taken, whole, with all its columns."""
+    doc, of, n, digest, use = fresh(docs, "_id", "_of", "_n", "_hash", "_use")
     uses = mix(docs, id_col, text_col, source_col, seed, whole_docs=True)
-    uses = uses.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of")).agg(F.max(F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)).alias("_uses"))
+    times = F.max(F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)).alias(n)
+    uses = uses.groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(of)).agg(times).where(F.col(n) > 0)
     # Documents of size 0 add no words and are not taken.
-    keyed = docs.withColumn("_hash", F.xxhash64(text_of(text_col))).where(F.regexp_like(text_of(text_col), F.lit(WORD)))
-    same = keyed[id_col].cast("bigint").eqNullSafe(uses["_id"]) & (keyed["_hash"] == uses["_of"])
-    joined = keyed.join(uses.where("_uses > 0"), same)
-    return joined.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumn(digest, F.xxhash64(text_of(text_col))).where(F.regexp_like(text_of(text_col), F.lit(WORD)))
+    joined = keyed.join(uses, keyed[id_col].cast("bigint").eqNullSafe(uses[doc]) & (keyed[digest] == uses[of]))
+    return joined.withColumn(use, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
