@@ -160,7 +160,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
 
 def encode_rows(docs: DataFrame, tokenizer: str, text_col: str = "text", drop: tuple[str, ...] = ("text",)) -> DataFrame:
-    """``docs`` without the columns in ``drop``, with ids, n_tokens, and whether the ids decode to the text."""
+    """``docs`` without the columns in ``drop``, with ids, n_tokens, and round_trip (whether the ids decode to the text). Columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def make():
@@ -173,7 +173,7 @@ def encode_rows(docs: DataFrame, tokenizer: str, text_col: str = "text", drop: t
         return run
 
     fields = [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64()), ("round_trip", "boolean", pa.bool_())]
-    return add_by_text(docs, text_col, make, fields, drop)
+    return add_by_text(docs, text_col, make, fields, (*drop, *[name for name, _, _ in fields]))
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

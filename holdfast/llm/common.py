@@ -26,6 +26,16 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have yet."""
+    found = []
+    for name in names:
+        while name in df.columns:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def remainder(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a missing id."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus

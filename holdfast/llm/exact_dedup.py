@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import SPACE, text_of
+from holdfast.llm.common import SPACE, fresh, text_of
 
 _MAX_ID = 9223372036854775807
 _ID_SPAN = "100000000000000000000"
@@ -60,13 +60,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, one per group, with all their columns."""
     text = text_of(text_col)
-    keys = {
-        "_id": F.col(id_col).cast("bigint"),
-        "_points": F.length(text).cast("bigint"),
-        "_sha": F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256),
-    }
+    doc, points, sha = fresh(docs, "_id", "_points", "_sha")
     kept = exact_groups(docs, id_col, text_col).where("kept")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("n_points").alias("_points"), F.col("text_sha256").alias("_sha")).distinct()
-    left = docs.select("*", *[c.alias(n) for n, c in keys.items()])
-    same = left["_id"].eqNullSafe(kept["_id"]) & (left["_points"] == kept["_points"]) & (left["_sha"] == kept["_sha"])
-    return left.join(kept, same, "left_semi").dropDuplicates(list(keys)).select(*docs.columns)
+    kept = kept.select(F.col("doc_id").alias("id"), F.col("n_points").alias("n"), F.col("text_sha256").alias("digest")).distinct()
+    left = docs.select(
+        "*",
+        F.col(id_col).cast("bigint").alias(doc),
+        F.length(text).cast("bigint").alias(points),
+        F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256).alias(sha),
+    )
+    same = left[doc].eqNullSafe(kept["id"]) & (left[points] == kept["n"]) & (left[sha] == kept["digest"])
+    return left.join(kept, same, "left_semi").dropDuplicates([doc, points, sha]).drop(doc, points, sha)

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import map_texts, stored, workers_import
+from holdfast.llm.common import fresh, map_texts, stored, workers_import
 from holdfast.llm.components import components, forest, resolve_links
 
 WORDS = 5
@@ -311,5 +311,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay: one of each group of near copies, with all columns."""
-    gone = near_copies(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("bigint") == gone["_gone"], "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = near_copies(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("bigint") == gone[name], "left_anti")
