@@ -60,9 +60,10 @@ def binary_target(value: Column) -> Column:
 def strict_binary_target(value: Column, numeric: bool = False) -> Column:
     """Like :func:`binary_target`, but an unknown spelling fails the job and names the value."""
     if numeric:
-        return value.cast("int")
-    known = binary_target(value)
-    problem = F.raise_error(F.concat(F.lit("Unknown target values: "), value.cast("string")))
+        known = F.when(value.isin(0, 1), value.cast("int"))
+    else:
+        known = binary_target(value)
+    problem = F.raise_error(F.concat(F.lit("Neither a yes nor a no: "), value.cast("string")))
     return F.when(value.isNull(), F.lit(None).cast("int")).when(known.isNotNull(), known).otherwise(problem.cast("int"))
 
 

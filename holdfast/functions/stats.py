@@ -43,19 +43,28 @@ def _erfc(z: Column) -> Column:
     return F.when(z < 2.5, 1.0 - 2.0 / root_pi * gauss * series).otherwise(gauss / (root_pi * fraction))
 
 
-def chi_square_tail(statistic: Column, dof: Column) -> Column:
-    """P(X > statistic) for a chi-square with whole ``dof``; 1 when dof is 0.
+# Up to this many degrees the finite sum is used; beyond, the uniform expansion, whose error falls with the degrees.
+_SUM_DEGREES = 200
+# Taylor coefficients of the first two terms of the uniform expansion of the incomplete gamma ratio around its middle.
+_FIRST_TERM = (-1 / 3, 1 / 12, -2 / 135, 1 / 864, 1 / 2835, -139 / 777600)
+_SECOND_TERM = (-1 / 540, -1 / 288, 1 / 378, -77 / 77760)
 
-    The upper incomplete gamma of a half-integer is a finite sum: start from exp(-x) or erfc(sqrt x) and
-    add x^a e^-x / Gamma(a + 1) for a below dof / 2. Terms are built by their ratio, so nothing overflows
-    before the exponential has reached zero.
-    """
-    x = statistic / 2.0
+
+def _polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
+    value = F.lit(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        value = value * x + F.lit(c)
+    return value
+
+
+def _sum_tail(x: Column, dof: Column) -> Column:
+    """Upper gamma ratio of a half-integer as a finite sum: start from exp(-x) or erfc(sqrt x) and add x^a e^-x / Gamma(a + 1)
+    for a below dof / 2. With so few degrees the exponential is zero only where the tail is."""
     even = dof % 2 == 0
     first_a = F.when(even, 1.0).otherwise(0.5)
     first_term = F.when(even, x * F.exp(-x)).otherwise(F.sqrt(x) * F.exp(-x) * (2.0 / math.sqrt(math.pi)))
     base = F.when(even, F.exp(-x)).otherwise(_erfc(F.sqrt(x)))
-    steps = F.when(even, dof / 2 - 1).otherwise((dof - 1) / 2).cast("int")
+    steps = F.least(F.when(even, dof / 2 - 1).otherwise((dof - 1) / 2), F.lit(_SUM_DEGREES)).cast("int")
     summed = F.aggregate(
         F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")),
         F.struct(first_term.alias("term"), F.lit(0.0).alias("total"), first_a.alias("a")),
@@ -64,4 +73,28 @@ def chi_square_tail(statistic: Column, dof: Column) -> Column:
         ),
         lambda acc: acc.total,
     )
-    return F.when(dof <= 0, 1.0).when(x <= 0, 1.0).otherwise(F.least(base + summed, F.lit(1.0)))
+    return base + summed
+
+
+def _uniform_tail(x: Column, dof: Column) -> Column:
+    """Upper gamma ratio for many degrees: erfc of a transformed distance from the mean, and two terms of the correction."""
+    a = dof.cast("double") / 2.0
+    step = x / a - 1.0
+    # step - ln(1 + step), which cancels near zero, from its own series there.
+    near = step * step * (0.5 - step / 3.0 + step * step / 4.0 - step * step * step / 5.0 + F.pow(step, F.lit(4)) / 6.0 - F.pow(step, F.lit(5)) / 7.0)
+    half_square = F.when(F.abs(step) < 0.005, near).otherwise(step - F.log1p(step))
+    eta = F.signum(step) * F.sqrt(2.0 * half_square)
+    first = F.when(F.abs(eta) < 0.2, _polynomial(eta, _FIRST_TERM)).otherwise(1.0 / step - 1.0 / eta)
+    second = F.when(F.abs(eta) < 0.2, _polynomial(eta, _SECOND_TERM)).otherwise(
+        F.pow(eta, F.lit(-3)) - F.pow(step, F.lit(-3)) - F.pow(step, F.lit(-2)) - 1.0 / (12.0 * step)
+    )
+    z = F.abs(eta) * F.sqrt(a / 2.0)
+    main = F.when(eta >= 0, _erfc(z) / 2.0).otherwise(1.0 - _erfc(z) / 2.0)
+    return main + F.exp(-a * half_square) / F.sqrt(2.0 * math.pi * a) * (first + second / a)
+
+
+def chi_square_tail(statistic: Column, dof: Column) -> Column:
+    """P(X > statistic) for a chi-square with whole ``dof``; 1 when dof is 0. The work does not depend on ``dof``."""
+    x = statistic / 2.0
+    tail = F.when(dof <= _SUM_DEGREES, _sum_tail(x, dof)).otherwise(_uniform_tail(x, dof))
+    return F.when(dof <= 0, 1.0).when(x <= 0, 1.0).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -18,41 +19,52 @@ from holdfast.config import CostSettings, ModelSettings
 from holdfast.operators.metrics import best_threshold, classification_metrics, labeled_rows
 
 
-def build_model(s: ModelSettings, label: str = "label", features: str = "features"):
+# Names of the columns that models read and write. None of them is a name of the input.
+_LABEL, _FEATURES = "_label", "_features"
+
+
+def _number(name: str) -> str:
+    return f"_number_{name}"
+
+
+def build_model(s: ModelSettings, label: str = _LABEL, features: str = _FEATURES):
     """Estimator by kind; an unknown kind is an error."""
+    estimator = _estimator(s, {"labelCol": label, "featuresCol": features, **s.extra})
+    return estimator.setPredictionCol("_prediction").setProbabilityCol("_probability").setRawPredictionCol("_raw")
+
+
+def _estimator(s: ModelSettings, names: dict):
     if s.kind == "gradient_boosting":
-        return GBTClassifier(labelCol=label, featuresCol=features, maxIter=s.n_estimators, maxDepth=s.max_depth,
-                             stepSize=s.learning_rate, seed=s.seed, **s.extra)
+        return GBTClassifier(maxIter=s.n_estimators, maxDepth=s.max_depth, stepSize=s.learning_rate, seed=s.seed, **names)
     if s.kind == "random_forest":
-        return RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=s.n_estimators, maxDepth=s.max_depth,
-                                      seed=s.seed, **s.extra)
+        return RandomForestClassifier(numTrees=s.n_estimators, maxDepth=s.max_depth, seed=s.seed, **names)
     if s.kind == "logistic_regression":
-        return LogisticRegression(labelCol=label, featuresCol=features, **s.extra)
+        return LogisticRegression(**names)
     if s.kind == "decision_tree":
-        return DecisionTreeClassifier(labelCol=label, featuresCol=features, maxDepth=s.max_depth, seed=s.seed, **s.extra)
-    raise ValueError(f"Unsupported model type: {s.kind}")
+        return DecisionTreeClassifier(maxDepth=s.max_depth, seed=s.seed, **names)
+    raise ValueError(f"No estimator is known for kind {s.kind!r}.")
 
 
 def _prepared(df: DataFrame, features: Sequence[str], target: str | None) -> DataFrame:
-    numbers = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features}
-    df = df.withColumns(numbers)
-    return df.withColumn("label", F.col(target).cast("double")) if target else df
+    """``df`` with the features as numbers beside it, missing ones as 0."""
+    df = df.withColumns({_number(c): F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in features})
+    return df.withColumn(_LABEL, F.col(target).cast("double")) if target else df
 
 
 def fit(train: DataFrame, features: Sequence[str], target: str, s: ModelSettings = ModelSettings()) -> PipelineModel:
     """Assemble and fit. ``target`` holds 0 and 1."""
-    stages = [VectorAssembler(inputCols=list(features), outputCol="features"), build_model(s)]
+    stages = [VectorAssembler(inputCols=[_number(c) for c in features], outputCol=_FEATURES), build_model(s)]
     return Pipeline(stages=stages).fit(_prepared(train, features, target))
 
 
-def probability_of_one(column: str = "probability") -> Column:
+def probability_of_one(column: str = "_probability") -> Column:
     return F.get(vector_to_array(F.col(column)), 1)
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str], output: str = "churn_probability") -> DataFrame:
-    """Input columns plus the probability of class 1. Scoring is a map over rows: no shuffle."""
+    """Input columns, unchanged, plus the probability of class 1. Scoring is a map over rows: no shuffle."""
     scored = model.transform(_prepared(df, features, None))
-    return scored.withColumn(output, probability_of_one()).select(*df.columns, output)
+    return scored.withColumn(output, probability_of_one()).select(*[F.col(f"`{c}`") for c in df.columns if c != output], output)
 
 
 def score_with(
@@ -67,7 +79,7 @@ def score_with(
     def run(batches):
         predict = load()
         for pdf in batches:
-            pdf[output] = [float(v) for v in predict(pdf[names])]
+            pdf[output] = np.asarray(predict(pdf[names]), dtype=float)
             yield pdf
 
     schema = T.StructType([*df.schema.fields, T.StructField(output, T.DoubleType())])

@@ -134,7 +134,7 @@ def classification_report_row(
         "false_negatives": F.sum(F.when(~high, F.col("pos")).otherwise(0)),
         "true_positives": F.sum(F.when(high, F.col("pos")).otherwise(0)),
     }
-    missing = F.raise_error(F.lit("No rows available after dropping missing values.")).cast("bigint")
+    missing = F.raise_error(F.lit("Every row lacks a label or a score.")).cast("bigint")
     rows = ranked.groupBy(*groups).agg(
         F.when(n > 0, n).otherwise(missing).alias("n_samples"),
         F.lit(float(threshold)).alias("threshold"),

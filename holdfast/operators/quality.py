@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -14,18 +14,17 @@ from holdfast.operators.features import long_text, names_frame
 MAX_LISTED = 20
 
 
+def is_missing(df: DataFrame, column: str) -> Column:
+    """NULL, or NaN in a floating column."""
+    value = F.col(f"`{column}`")
+    floating = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    return value.isNull() | F.isnan(value) if floating else value.isNull()
+
+
 def missing_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, missing_rate) for all columns from one aggregate; NaN counts as missing."""
     columns = list(columns or df.columns)
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-
-    def missing(c: str):
-        value = F.col(f"`{c}`")
-        if isinstance(kinds[c], (T.DoubleType, T.FloatType)):
-            return value.isNull() | F.isnan(value)
-        return value.isNull()
-
-    rates = df.agg(*[F.avg(missing(c).cast("double")).alias(c) for c in columns])
+    rates = df.agg(*[F.avg(is_missing(df, c).cast("double")).alias(c) for c in columns])
     return rates.unpivot([], [f"`{c}`" for c in columns], "column", "missing_rate")
 
 
@@ -88,7 +87,7 @@ def quality_status(
 
 def quality_by_batch(current: DataFrame, known: DataFrame, features: Sequence[str], batch: str, columns: Sequence[str]) -> DataFrame:
     """Row count, columns with gaps, unseen values and status of every request batch at once."""
-    gaps = [F.max(F.col(f"`{c}`").isNull().cast("int")) for c in columns]
+    gaps = [F.max(is_missing(current, c).cast("int")) for c in columns]
     total = gaps[0]
     for g in gaps[1:]:
         total = total + g
