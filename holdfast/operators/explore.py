@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.scalars import drop_nan
-from holdfast.operators.joins import few
 from holdfast.operators.features import long_rows, long_text
+from holdfast.operators.joins import join_unique
 from holdfast.operators.ordering import collapse, exact_quantiles, running_totals
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -36,17 +36,19 @@ def grouped_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max); quartiles are exact and interpolated."""
     rows = long_rows(df, {c: drop_nan(F.col(f"`{c}`")) for c in columns}, "column").where("value IS NOT NULL")
-    basic = rows.groupBy("column").agg(
-        F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    return basic.join(wide_quartiles(rows, "value", ["column"]), "column").select(
-        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
-    )
-
-
-def wide_quartiles(rows: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
-    q = exact_quantiles(rows, value, QUARTILES, groups)
+    # All figures come from one row per distinct value, and the table is read once.
+    counted = collapse(rows, "value", {"_n": F.lit(1)}, ["column"])
+    n, value = F.col("_n"), F.col("value")
+    basic = counted.groupBy("column").agg(F.sum("_n").alias("count"), (F.sum(value * n) / F.sum("_n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    centred = counted.join(basic.select("column", F.col("mean").alias("_mean")), "column")
+    square = (value - F.col("_mean")) * (value - F.col("_mean")) * n
+    spread = centred.groupBy("column").agg(F.when(F.sum("_n") > 1, F.sqrt(F.sum(square) / (F.sum("_n") - 1))).alias("std"))
+    quartiles = wide_quartiles(counted, "value", ["column"], weight=n)
+    return basic.join(spread, "column").join(quartiles, "column").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def wide_quartiles(rows: DataFrame, value: str, groups: Sequence[str], weight: Column | None = None) -> DataFrame:
+    q = exact_quantiles(rows, value, QUARTILES, groups, weight=weight)
     return q.groupBy(*groups).agg(
         *[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(f"q{round(p * 100)}") for p in QUARTILES]
     )
@@ -85,9 +87,9 @@ def first_seen_codes(df: DataFrame, columns: Sequence[str], order: str) -> DataF
 
 
 def encode(df: DataFrame, codes: DataFrame, column: str, alias: str) -> DataFrame:
-    """Replace a column by its code. The lookup is small or not; the planner decides how to join from its size."""
-    table = codes.where(F.col("column") == column).select(F.col("value").alias(column), F.col("code").alias(alias))
-    return df.join(table, column, "left")
+    """Replace a column by its code. A hot value is spread, whatever the size of the lookup."""
+    table = codes.where((F.col("column") == column) & F.col("value").isNotNull()).select(F.col("value").alias(column), F.col("code").alias(alias))
+    return join_unique(df, table, column, "left")
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -103,8 +105,8 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def density(df: DataFrame, value: str, group: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density of a value by group on an even grid, with Scott's bandwidth.
 
-    Values are collapsed first; each distinct value then adds to every grid point, and the sums are combined on
-    the map side, so the shuffle holds groups x points rows.
+    Values are collapsed first. One aggregate then keeps a sum per grid point, so no row is copied and the shuffle holds one row per
+    group and task.
     """
     rows = df.select(group, drop_nan(F.col(value)).alias("v")).where("v IS NOT NULL")
     counted = rows.groupBy(group, "v").agg(F.count("*").alias("n"))
@@ -114,10 +116,15 @@ def density(df: DataFrame, value: str, group: str, points: int = 200, cut: float
     width = F.col("sd") * F.pow(F.col("total").cast("double"), F.lit(-0.2))
     grids = stats.where("sd > 0").select(group, "total", width.alias("bw"), (F.col("low") - cut * width).alias("start"),
                                          ((F.col("high") - F.col("low") + 2 * cut * width) / (points - 1)).alias("step"))
-    placed = counted.join(few(grids, "groups"), group).select(
-        group, "v", "n", "total", "bw", "start", "step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
-    )
-    x: Column = F.col("start") + F.col("i") * F.col("step")
-    z = (x - F.col("v")) / F.col("bw")
-    kernel = F.exp(-0.5 * z * z) * F.col("n") / (F.col("bw") * F.col("total") * math.sqrt(2 * math.pi))
-    return placed.groupBy(group, "i").agg(F.min(x).alias("x"), F.sum(kernel).alias("density"))
+    placed = counted.join(grids, group)
+
+    def point(i: Column | int) -> Column:
+        return F.col("start") + i * F.col("step")
+
+    def kernel(i: int) -> Column:
+        z = (point(i) - F.col("v")) / F.col("bw")
+        return F.exp(-0.5 * z * z) * F.col("n") / (F.col("bw") * F.col("total") * math.sqrt(2 * math.pi))
+
+    sums = placed.groupBy(group).agg(F.first("start").alias("start"), F.first("step").alias("step"), *[F.sum(kernel(i)).alias(f"k{i}") for i in range(points)])
+    cells = F.posexplode(F.array(*[F.col(f"k{i}") for i in range(points)])).alias("i", "density")
+    return sums.select(group, "start", "step", cells).select(group, "i", point(F.col("i")).alias("x"), "density")

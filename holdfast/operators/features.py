@@ -13,9 +13,6 @@ from holdfast.config import DEFAULT_STEPS, FeatureSettings
 from holdfast.functions.scalars import drop_nan, number_column
 from holdfast.operators.naming import drop_present, feature_names
 
-# A column with more levels than this is not a category; encoding it would make a table of that many columns.
-MAX_LEVELS = 10_000
-
 
 @dataclass(frozen=True)
 class OneHotModel:
@@ -68,12 +65,15 @@ def names_frame(spark: SparkSession, names: Sequence[str], column: str = "featur
     return spark.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias(column))
 
 
-def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> OneHotModel:
-    """Levels of all columns in one job. Only distinct levels reach the driver, and their number is checked."""
+def fit_one_hot(df: DataFrame, columns: Sequence[str], most: int | None = None) -> OneHotModel:
+    """Levels of all columns in one job. Each level becomes a column of the encoded table, so the driver gets as many values as that
+    table has columns. ``most`` makes it an error if a column has more levels; such a column is better coded by ``explore.label_codes``."""
     levels = long_text(df, columns).where("value IS NOT NULL").distinct()
-    found = levels.limit(MAX_LEVELS + 1).collect()
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"More than {MAX_LEVELS} category levels over {list(columns)}.")
+    if most is not None:
+        wide = levels.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") > most).orderBy("feature").first()
+        if wide:
+            raise ValueError(f"{wide.feature} has {wide.n} levels, more than {most}.")
+    found = levels.collect()
     by_column: dict[str, list[str]] = {c: [] for c in columns}
     for row in found:
         by_column[row.feature].append(row.value)
@@ -120,7 +120,7 @@ def build_features(
         names = DEFAULT_STEPS
     unknown = [n for n in names if n not in STEPS]
     if unknown:
-        raise ValueError(f"Unknown feature step configured: {unknown[0]}")
+        raise ValueError(f"There is no feature step named {unknown[0]!r}.")
     for name in names:
         df = STEPS[name](df, settings, model)
     return df

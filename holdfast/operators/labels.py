@@ -33,7 +33,7 @@ def attach_labels(predictions: DataFrame, labels: DataFrame | None, key: str = "
     """All predictions, with a label where there is one; unchanged if either side lacks the columns."""
     if labels is None or key not in predictions.columns or not {key, label} <= set(labels.columns):
         return predictions
-    return predictions.drop(label).join(labels.select(key, label), key, "left")
+    return join_unique(predictions.drop(label), labels.select(key, label), key, "left")
 
 
 def pending_labels(
@@ -48,7 +48,7 @@ def pending_labels(
     taken = {c for c in logged.columns if c != key}
     raw = raw.select(key, *[F.col(c).alias(c + suffix if c in taken else c) for c in raw.columns if c != key])
     joined = join_unique(logged, raw, key, "left")
-    bad = F.raise_error(F.lit("Ground truth contains invalid churn labels.")).cast("int")
+    bad = F.raise_error(F.lit("A delivered label is neither yes nor no.")).cast("int")
     return joined.withColumns(
         {
             "churn": F.coalesce(label_target(F.col(target)), bad),

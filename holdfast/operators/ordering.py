@@ -8,7 +8,7 @@ feature has the same flaw when there are only a few of them. The shape used here
 2. cut the value range at boundaries taken from a sample of the collapsed keys, chosen by a hash of the key,
    so the same data always gives the same boundaries, whichever task or retry computes them;
 3. running totals inside each (group, bucket), in parallel;
-4. add the totals of earlier buckets, a table of at most ``max_buckets`` rows plus one per group.
+4. add the totals of earlier buckets, a table of one row per bucket and group.
 
 The collapse is the only shuffle that depends on the input size; the later branches reuse its files.
 """
@@ -26,8 +26,8 @@ _OVERSAMPLING = 8
 
 
 def default_buckets(spark: SparkSession) -> int:
-    """Buckets for a global order: a few per shuffle partition, bounded so that boundaries stay small."""
-    return max(16, min(2048, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Buckets for a global order: a few per shuffle partition, however many there are."""
+    return max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _boundaries(collapsed: DataFrame, key: str, groups: list[str], buckets: int) -> DataFrame:

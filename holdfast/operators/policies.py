@@ -135,6 +135,20 @@ def best_row(table: DataFrame, value: str, order: Sequence[str]) -> DataFrame:
 
 
 def trend(history: DataFrame, moment: str, metrics: Sequence[str]) -> DataFrame:
-    """Metrics over time with the change since the previous check. History has one row per check."""
-    w = W.orderBy(moment)
-    return history.select("*", *[(F.col(m) - F.lag(m).over(w)).alias(f"{m}_delta") for m in metrics])
+    """Metrics over time with the change since the previous check. History has one row per check.
+
+    Checks are ordered within months, in parallel. The first of a month takes its predecessor from the last row of the
+    latest earlier month that has any, a table of one row per month.
+    """
+    month = F.date_trunc("month", F.col(moment))
+    rows = history.withColumn("_month", month)
+    inside = W.partitionBy("_month").orderBy(moment)
+    last = rows.groupBy("_month").agg(F.max(F.struct(moment, *[F.col(m).alias(f"_v_{m}") for m in metrics])).alias("_last"))
+    before = last.select("_month", F.lag("_last").over(W.orderBy("_month")).alias("_before"))
+    placed = rows.withColumns({"_first": F.row_number().over(inside) == 1, **{f"_p_{m}": F.lag(m).over(inside) for m in metrics}})
+    joined = placed.join(before, placed["_month"].eqNullSafe(before["_month"]), "left")
+
+    def change(m: str) -> Column:
+        return F.col(m) - F.when(F.col("_first"), F.col(f"_before._v_{m}")).otherwise(F.col(f"_p_{m}"))
+
+    return joined.select(*[F.col(f"`{c}`") for c in history.columns], *[change(m).alias(f"{m}_delta") for m in metrics])

@@ -11,60 +11,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from holdfast.functions.scalars import order_hash
-from holdfast.operators.joins import few
 from holdfast.operators.ordering import collapse, running_totals
 
-# Up to this many rows a bounded heap per task is cheaper than two rounds of running totals.
-HEAP_LIMIT = 10_000
 # Coarse cells of a 60-bit hash: 2**16 per class.
 _CELL_SHIFT = 44
 
 
-def _crossing(keys: DataFrame, key: str, wanted: Column):
-    """Driver-side row (or None): the key at which the running count reaches ``wanted``, its rows, and how many are still wanted."""
-    ranked = running_totals(collapse(keys, key, {"_n": F.lit(1)}), key, ["_n"])
-    reached = (F.col("cum__n") >= wanted) & (F.col("cum__n") - F.col("_n") < wanted)
-    need = wanted - F.col("cum__n") + F.col("_n")
-    found = ranked.where(reached & (wanted > 0)).select(F.col(key).alias("cut"), F.col("_n").alias("tied"), need.alias("need"))
-    return found.first()
-
-
 def top_flag(
     df: DataFrame, value: str, identity: str, flag: str, k: int | None = None, share: float | None = None, positive_only: bool = True
 ) -> DataFrame:
     """Add a boolean that marks the ``k`` largest rows by ``value`` (or that share of all rows), ties in ``identity`` order.
 
     ``identity`` must be unique. With ``positive_only`` rows at or below zero take part in the ranking but are
-    never marked. A small ``k`` is found lazily with bounded heaps; otherwise one job (two if the cut falls into
-    a tie) finds the last row, and only that row reaches the driver.
+    never marked. A share is taken of all rows, also of those without a value, which are never marked. Any ``k`` and any share take
+    one way: running totals over (value, id) find the last row, a one-row frame, and a filter marks the rows up to it. Nothing
+    runs before the result is asked for.
     """
     eligible = (F.col(value) > 0) if positive_only else F.col(value).isNotNull()
-    neg = -F.col(value)
-    if k is not None and k <= 0:
-        return df.withColumn(flag, F.lit(False))
-    keys = df.where(F.col(value).isNotNull()).select(neg.alias("_neg"), F.col(identity).alias("_id"))
-    if k is not None and k <= HEAP_LIMIT:
-        head = keys.orderBy("_neg", "_id").limit(k)
-        last = head.agg(F.max(F.struct("_neg", "_id")).alias("last"))
-        cut = last.select(F.col("last._neg").alias("_cut"), F.col("last._id").alias("_cut_id"))
-        inside = (neg < F.col("_cut")) | ((neg == F.col("_cut")) & (F.col(identity) <= F.col("_cut_id")))
-        marked = df.join(F.broadcast(cut)).withColumn(flag, F.coalesce(eligible & inside, F.lit(False)))
-        return marked.drop("_cut", "_cut_id")
-
-    wanted = F.lit(k) if k is not None else F.floor(F.col("all__n") * share).cast("bigint")
-    first = _crossing(keys, "_neg", wanted)
-    if first is None:
-        # Nothing is wanted, or more than there is.
-        return df.withColumn(flag, F.lit(False) if k is None else F.coalesce(eligible, F.lit(False)))
-    inside = neg <= first.cut
-    if first.need < first.tied and not (positive_only and first.cut >= 0):
-        tied = keys.where(F.col("_neg") == first.cut).select("_id")
-        if first.need <= HEAP_LIMIT:
-            last_id = tied.orderBy("_id").limit(first.need).agg(F.max("_id").alias("cut")).first().cut
-        else:
-            last_id = _crossing(tied, "_id", F.lit(first.need)).cut
-        inside = (neg < first.cut) | ((neg == first.cut) & (F.col(identity) <= F.lit(last_id)))
-    return df.withColumn(flag, F.coalesce(eligible & inside, F.lit(False)))
+    place = F.struct((-F.col(value)).alias("value"), F.col(identity).alias("id"))
+    keys = df.where(F.col(value).isNotNull()).select(place.alias("_place"))
+    ranked = running_totals(collapse(keys, "_place", {"_n": F.lit(1)}), "_place", ["_n"])
+    if k is None:
+        rows = df.agg(F.floor(F.count("*") * F.lit(float(share))).cast("bigint").alias("_wanted"))
+    else:
+        rows = df.sparkSession.range(0, 1, 1, 1).select(F.lit(int(k)).cast("bigint").alias("_wanted"))
+    wanted = F.least(F.col("_wanted"), F.col("all__n"))
+    last = (wanted > 0) & (F.col("cum__n") >= wanted) & (F.col("cum__n") - F.col("_n") < wanted)
+    cut = ranked.join(F.broadcast(rows)).where(last).select(F.col("_place").alias("_cut"))
+    marked = df.join(F.broadcast(cut), F.lit(True), "left")
+    return marked.withColumn(flag, F.coalesce(eligible & (place <= F.col("_cut")), F.lit(False))).drop("_cut")
 
 
 def stratified_split(df: DataFrame, identity: str, stratum: str, test_size: float, seed: int, flag: str = "is_validation") -> DataFrame:
@@ -72,38 +47,38 @@ def stratified_split(df: DataFrame, identity: str, stratum: str, test_size: floa
 
     The part has ceil(test_size * n) rows, shared over the classes by largest remainder. In each class the rows
     with the smallest (hash of id and seed, id) are taken. Classes are few, so their counts are a small table;
-    the cut of a class is found by counting coarse hash cells and then ordering one cell of it.
+    the cut of a class is found by counting coarse hash cells and then ordering one cell of it. Rows without a class form one.
     """
-    hashed = df.withColumn("_h", order_hash(F.col(identity), seed))
+    # The class as a name that is never missing, so that rows without a class are a class of their own in the joins.
+    name = F.when(F.col(stratum).isNull(), "").otherwise(F.concat(F.lit("="), F.col(stratum).cast("string")))
+    hashed = df.withColumn("_h", order_hash(F.col(identity), seed)).withColumn("_k", name)
     cell = F.shiftright("_h", _CELL_SHIFT)
-    cells = hashed.groupBy(stratum, cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    cells = hashed.groupBy("_k", cell.alias("_cell")).agg(F.count("*").alias("_n"))
 
-    sizes = cells.groupBy(stratum).agg(F.sum("_n").alias("_class"))
+    sizes = cells.groupBy("_k").agg(F.sum("_n").alias("_class"))
     every = W.partitionBy()
     wanted = F.ceil(F.sum("_class").over(every) * test_size)
     share = F.col("_class") * wanted / F.sum("_class").over(every)
-    shares = sizes.select(stratum, wanted.alias("_wanted"), F.floor(share).alias("_floor"), (share - F.floor(share)).alias("_rest"))
+    shares = sizes.select("_k", wanted.alias("_wanted"), F.floor(share).alias("_floor"), (share - F.floor(share)).alias("_rest"))
     left_over = F.col("_wanted") - F.sum("_floor").over(every)
-    order = F.row_number().over(W.orderBy(F.desc("_rest"), F.col(stratum)))
-    quotas = shares.select(stratum, (F.col("_floor") + F.when(order <= left_over, 1).otherwise(0)).alias("_quota"))
+    order = F.row_number().over(W.orderBy(F.desc("_rest"), F.col("_k")))
+    quotas = shares.select("_k", (F.col("_floor") + F.when(order <= left_over, 1).otherwise(0)).alias("_quota"))
 
-    before = F.sum("_n").over(W.partitionBy(stratum).orderBy("_cell")) - F.col("_n")
+    before = F.sum("_n").over(W.partitionBy("_k").orderBy("_cell")) - F.col("_n")
     crossing = (
-        cells.select(stratum, "_cell", "_n", before.alias("_before"))
-        .join(quotas, stratum)
+        cells.select("_k", "_cell", "_n", before.alias("_before"))
+        .join(quotas, "_k")
         .where((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_n") >= F.col("_quota")))
-        .select(stratum, "_cell", (F.col("_quota") - F.col("_before")).alias("_take"))
-    )
-    inside = hashed.select(stratum, cell.alias("_cell"), "_h", F.col(identity).alias("_id")).join(
-        few(crossing, "classes"), [stratum, "_cell"]
+        .select("_k", "_cell", (F.col("_quota") - F.col("_before")).alias("_take"))
     )
-    rank = F.row_number().over(W.partitionBy(stratum).orderBy("_h", "_id"))
-    cuts = inside.select(stratum, "_h", "_id", "_take", rank.alias("_rank")).where("_rank = _take").select(
-        stratum, F.col("_h").alias("_cut"), F.col("_id").alias("_cut_id")
+    inside = hashed.select("_k", cell.alias("_cell"), "_h", F.col(identity).alias("_id")).join(crossing, ["_k", "_cell"])
+    rank = F.row_number().over(W.partitionBy("_k").orderBy("_h", "_id"))
+    cuts = inside.select("_k", "_h", "_id", "_take", rank.alias("_rank")).where("_rank = _take").select(
+        "_k", F.col("_h").alias("_cut"), F.col("_id").alias("_cut_id")
     )
-    tagged = hashed.join(few(cuts, "classes"), stratum, "left")
+    tagged = hashed.join(cuts, "_k", "left")
     taken = (F.col("_h") < F.col("_cut")) | ((F.col("_h") == F.col("_cut")) & (F.col(identity) <= F.col("_cut_id")))
-    return tagged.withColumn(flag, F.coalesce(taken, F.lit(False))).select(*df.columns, flag)
+    return tagged.withColumn(flag, F.coalesce(taken, F.lit(False))).select(*[F.col(f"`{c}`") for c in df.columns], flag)
 
 
 def seeded_sample(df: DataFrame, identity: str, n: int, seed: int = 42) -> DataFrame:

@@ -63,7 +63,7 @@ def inference_contract(contract: Sequence[FieldRule] = CUSTOMER_CONTRACT) -> tup
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
-        raise KeyError(f"Missing required columns: {missing}")
+        raise KeyError(f"The table lacks the columns {missing}.")
 
 
 def _coerced(rule: FieldRule, dtype: T.DataType) -> Column:
@@ -105,7 +105,7 @@ def apply_contract(df: DataFrame, contract: Sequence[FieldRule] = CUSTOMER_CONTR
     )
 
 
-def require_rows(df: DataFrame, message: str = "Inference input is empty.") -> DataFrame:
+def require_rows(df: DataFrame, message: str = "There is no row to score.") -> DataFrame:
     """Fail on an empty frame. Looks at one row only."""
     if df.isEmpty():
         raise ValueError(message)

@@ -61,25 +61,27 @@ def _stream(spark, sf, name):
 
 @query(
     "stream_labels",
-    """SELECT o_orderkey AS prediction_id, o_orderkey % 2 AS churn, 25 + o_orderkey % 41 AS waited FROM orders WHERE 25 + o_orderkey % 41 BETWEEN 30 AND 60""",
+    """SELECT o_orderkey AS prediction_id, o_orderkey % 2 AS churn, 25 + o_orderkey % 41 AS waited,
+    CASE WHEN 25 + o_orderkey % 41 BETWEEN 30 AND 60 THEN 'stream' ELSE 'reconciled' END AS found_by FROM orders""",
 )
 def stream_labels(spark, sf):
-    """Predictions joined with labels that arrive 25 to 65 days later; only 30 to 60 days match."""
-    orders = _stream(spark, sf, "orders")
-    predicted_at = F.col("o_orderdate").cast("timestamp")
-    predictions = orders.select(F.col("o_orderkey").alias("prediction_id"), predicted_at.alias("predicted_at"))
-    waited = (F.lit(25) + F.col("o_orderkey") % 41).cast("int")
-    delivered = orders.select(
-        F.col("o_orderkey").alias("prediction_id"),
-        (F.col("o_orderkey") % 2).alias("churn"),
-        (predicted_at + F.make_interval(days=waited)).alias("labeled_at"),
-    )
+    """Predictions joined with labels that arrive 25 to 65 days later: 30 to 60 days match in the stream, the rest is reconciled."""
+
+    def both(orders):
+        predicted_at = F.col("o_orderdate").cast("timestamp")
+        waited = (F.lit(25) + F.col("o_orderkey") % 41).cast("int")
+        key = F.col("o_orderkey").alias("prediction_id")
+        delivered = orders.select(key, (F.col("o_orderkey") % 2).alias("churn"), (predicted_at + F.make_interval(days=waited)).alias("labeled_at"))
+        return orders.select(key, predicted_at.alias("predicted_at")), delivered
+
     out = work_dir(spark, "stream-labels")
-    matched = labels.match_labels(predictions, delivered)
+    matched = labels.match_labels(*both(_stream(spark, sf, "orders")))
     stream = matched.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
     stream.trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{out}/rows")
-    return rows.select("prediction_id", "churn", F.datediff("labeled_at", "predicted_at").cast("bigint").alias("waited"))
+    rest = labels.reconcile_labels(*both(B.table(spark, sf, "orders")), rows)
+    found = rows.withColumn("found_by", F.lit("stream")).unionByName(rest.withColumn("found_by", F.lit("reconciled")))
+    return found.select("prediction_id", "churn", F.datediff("labeled_at", "predicted_at").cast("bigint").alias("waited"), "found_by")
 
 
 @query(

@@ -24,7 +24,7 @@ def match_labels(
     """Stream-stream join of predictions with labels delivered within the configured delay.
 
     Both sides carry a watermark, so state older than the longest delay is dropped. State is partitioned by key.
-    Labels outside the interval are left to the batch join.
+    Labels outside the interval stay out of the stream's state; ``reconcile_labels`` finds them afterwards.
     """
     p = predictions.withWatermark(predicted_at, delay)
     right = [c for c in labels.columns if c != key]
@@ -48,6 +48,15 @@ def match_labels_batch(
     )
 
 
+def reconcile_labels(predictions: DataFrame, labels: DataFrame, matched: DataFrame, key: str = "prediction_id", labeled_at: str = "labeled_at") -> DataFrame:
+    """Delivered labels that ``matched`` does not hold, with their prediction, whatever the delay; null columns where no prediction was logged.
+
+    With ``matched`` this accounts for every label: the reference for what counts is delivery, not the delay.
+    """
+    rest = labels.join(matched.select(key, labeled_at), [key, labeled_at], "left_anti")
+    return rest.join(predictions, key, "left")
+
+
 def release_labels(
     pending: DataFrame, as_of: str, available: str, output: str, waiting: str, checkpoint: str
 ) -> StreamingQuery:

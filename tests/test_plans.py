@@ -5,10 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from holdfast.operators import drift, metrics
-from holdfast.operators.joins import few, join_unique
+from holdfast.operators.joins import join_unique
 from holdfast.plans import bindings as B
+from holdfast.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 RUNS_JOBS = ("gbt_scores", "soft_vote", "train_run")
@@ -20,9 +20,9 @@ def plan_of(df, run=False):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("stream_") and n not in RUNS_JOBS))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if not n.startswith("stream_") and n not in RUNS_JOBS))
 def test_no_python_and_no_cartesian_product(spark, name):
-    plan = plan_of(entry.queries()[name](spark, SF))
+    plan = plan_of(catalog.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan
     assert not re.search(r"(ArrowEval|BatchEval|MapIn|FlatMapGroupsIn)P", plan)
 
@@ -73,8 +73,20 @@ def test_hot_key_is_spread_over_tasks(spark):
     assert max(plain) > 20_000 > 3 * 60_000 / 16 > max(sizes)
 
 
-def test_a_broadcast_that_is_too_big_fails(spark):
-    df = spark.range(100)
-    assert spark.range(100).join(few(df, "things", 100), "id").count() == 100
-    with pytest.raises(Exception, match="More than 99 things"):
-        spark.range(100).join(few(df, "things", 99), "id").count()
+def test_keys_of_half_and_of_three_hundredths_are_split_by_their_size(spark):
+    k = F.when(F.col("id") % 2 == 0, F.lit(-1)).when(F.col("id") % 33 == 0, F.lit(-2)).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id"))
+    left = spark.range(60_000).select("id", k.alias("k"))
+    right = spark.range(-2, 60_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    old = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = join_unique(left, right, "k", "left")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        same = joined.where("v = 2 * k OR (k IS NULL AND v IS NULL)").count()
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == same == 60_000
+    assert max(sizes) < 3 * 60_000 / 32
