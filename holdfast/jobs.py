@@ -104,7 +104,7 @@ def evaluate_batch(
 def register(spark: SparkSession, folder: str, run_id: str, alias: str, at: Column | None = None) -> None:
     """Give a run an alias; the newest assignment counts."""
     if alias not in ("champion", "challenger"):
-        raise ValueError(f"Unsupported alias '{alias}'. Use 'champion' or 'challenger'.")
+        raise ValueError(f"An alias is champion or challenger, not {alias!r}.")
     moment = at if at is not None else F.current_timestamp()
     row = spark.range(0, 1, 1, 1).select(F.lit(alias).alias("alias"), F.lit(run_id).alias("run_id"), moment.alias("assigned_at"))
     row.write.mode("append").parquet(f"{folder}/aliases")

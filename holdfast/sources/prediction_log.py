@@ -54,7 +54,7 @@ def read_request(spark: SparkSession, path: str, request_id: str) -> DataFrame:
     """Logged rows of one request; the filter is pushed to the files."""
     log = spark.read.parquet(path)
     if "request_id" not in log.columns:
-        raise KeyError("Prediction log must contain `request_id`.")
+        raise KeyError("The log has no request_id column.")
     return to_log_id(log.where(F.col("request_id") == request_id))
 
 
@@ -62,5 +62,5 @@ def check_request(rows: DataFrame, expected_rows: int) -> str | None:
     """None if the request has the expected rows, else a warning text; no rows at all is an error."""
     found = rows.count()
     if not found:
-        raise ValueError("No predictions found in the log for this request.")
+        raise ValueError("The log has no row of this request.")
     return None if found == expected_rows else f"Expected {expected_rows} logged predictions, found {found}."

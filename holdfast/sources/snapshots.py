@@ -32,7 +32,7 @@ def snapshot(
 ) -> dict:
     """Copy each source that exists into ``base/<version>/<name>/`` and append the manifest row."""
     if not sources:
-        raise ValueError("No snapshot sources configured.")
+        raise ValueError("There is no table to take a snapshot of.")
     version = version or make_version()
     copied = {}
     for name, path in sources.items():
@@ -61,7 +61,7 @@ def snapshot(
 def manifests(spark: SparkSession, base: str) -> DataFrame:
     """All manifests as a table."""
     if not path_exists(spark, f"{base}/manifests"):
-        raise FileNotFoundError(f"Latest manifest not found: {base}/manifests")
+        raise FileNotFoundError(f"There is no manifest under {base}/manifests")
     return spark.read.text(f"{base}/manifests").select(F.from_json("value", MANIFEST_SCHEMA).alias("m")).select("m.*")
 
 

@@ -24,7 +24,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def _format(path: str, fmt: str | None) -> str:
     kind = fmt or PurePosixPath(path).suffix.lower().lstrip(".")
     if kind not in FORMATS:
-        raise ValueError(f"Unsupported file format: .{kind}")
+        raise ValueError(f"Tables are read and written as {FORMATS}, not as {kind!r}.")
     return kind
 
 
@@ -32,7 +32,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T
     """Table by suffix or format. Text is never sampled for types: CSV columns are strings unless a schema is given."""
     kind = _format(path, fmt)
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"File not found: {path}")
+        raise FileNotFoundError(f"There is nothing at {path}")
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.parquet(path) if kind == "parquet" else reader.option("header", True).csv(path)
 
@@ -74,7 +74,7 @@ def read_latest_batch(spark: SparkSession, folder: str, fallback: str, schema: T
 def records_to_table(spark: SparkSession, records: Sequence[dict], schema: T.StructType | None = None) -> DataFrame:
     """Request records as a table; no records is an error."""
     if not records:
-        raise ValueError("Input data is empty.")
+        raise ValueError("The request holds no rows.")
     names = list(dict.fromkeys(k for r in records for k in r))
     if schema is None:
         return spark.createDataFrame([Row(**{n: r.get(n) for n in names}) for r in records])
@@ -83,7 +83,7 @@ def records_to_table(spark: SparkSession, records: Sequence[dict], schema: T.Str
 
 def read_requests(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON-lines requests from a folder, with the given types; an empty folder is an error."""
-    return require_rows(spark.read.schema(schema).json(path), "Input data is empty.")
+    return require_rows(spark.read.schema(schema).json(path), "The request holds no rows.")
 
 
 def append_history(rows: DataFrame, path: str, moment: str | None = "timestamp", at: Column | None = None) -> DataFrame:
