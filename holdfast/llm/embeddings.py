@@ -23,7 +23,10 @@ PARTS = 8
 CODES = 256
 ROUNDS = 8
 #: Rows of a list that meet in one task on either side; longer lists are split into blocks, and the blocks meet in pairs.
-BLOCK = 512
+BLOCK = 2048
+#: How far beyond the plane between two lists links are looked for, in standard deviations: one in 30,000 of the pairs that lie on
+#: the limit and in those two lists would be missed. None looks as far as geometry allows, and misses none.
+SPREAD: float | None = 4.0
 _SLACK = 1e-7
 
 
@@ -75,12 +78,16 @@ class Index:
             rest[:, c] -= book[codes[:, k]]
         return lists, codes, np.sqrt((rest**2).sum(1))
 
-    def probes(self, units: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, units: np.ndarray, radius: float, spread: float | None = SPREAD) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) for every list that can hold a vector within ``radius``.
 
         A vector of list c lies on c's side of the plane half-way between c and the row's own centroid; the row's distance
-        to that plane is (d_c^2 - d_own^2) / (2 |c - own|). So these probes are sufficient, whatever the data.
+        to that plane is (d_c^2 - d_own^2) / (2 |c - own|). Lists beyond ``radius`` hold nothing, whatever the data; these probes are sufficient without
+        ``spread``. A difference of that length that points nowhere in particular crosses the plane by radius / sqrt(dim) as a standard
+        deviation, and ``spread`` of those are looked at.
         """
+        if spread is not None:
+            radius = min(radius, spread * radius / np.sqrt(units.shape[1]))
         apart = np.sqrt(_squares(self.centres, self.centres))
         rows, lists = [], []
         step = max(1, 4_000_000 // len(self.centres))
@@ -114,15 +121,29 @@ class Index:
         return i[keep], j[keep]
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> DataFrame:
+def _units(values: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision; scaled twice, so that squares of large or tiny numbers stay finite."""
+    values = values / np.abs(values).max(1, keepdims=True)
+    return values / np.linalg.norm(values, axis=1, keepdims=True)
+
+
+def _unpacked(column: pd.Series, dim: int) -> np.ndarray:
+    """Vectors from bytes of single or double numbers."""
+    out = np.empty((len(column), dim))
+    for i, data in enumerate(column):
+        out[i] = np.frombuffer(data, np.float32 if len(data) == 4 * dim else np.float64)
+    return out
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, spread: float | None = SPREAD) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors with a cosine of at least ``least``), component_id, kept (smallest id of its component).
 
     Vectors that are missing, zero, or hold missing or non-finite numbers link with nothing, and so do vectors of different length. Equal vectors
     are compared once and count with all their ids. Rows with equal id and vector are one vector; ids with several vectors get the sum of their links. A
     missing id is a row without links. Other columns are not read. An empty table gives no rows.
 
-    All links are found: the probes and the limits on coded distances are derived from the geometry, and the rest is checked exactly, so recall does
-    not depend on the sample. Rows go to the lists they can have links in; a list that is longer than ``BLOCK`` is split into blocks on both sides,
+    Links are looked for in every list that can hold them, see ``Index.probes``; limits on coded distances lose nothing, and what they let pass is checked
+    exactly. With ``spread`` None all links are found, whatever the data. Rows go to the lists they can have links in; a list that is longer than ``BLOCK`` is split into blocks on both sides,
     so a list that holds a third of all vectors is many tasks. Pairs are counted where they are found and never written.
     """
     spark = vectors.sparkSession
@@ -143,14 +164,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # One entry per vector length: as good as always one.
     found = None
     for dim, count in sorted((r["dim"], r["n"]) for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()):
-        part = _links(reps.where(F.col("dim") == dim), count, dim, least)
+        part = _links(reps.where(F.col("dim") == dim), count, dim, least, spread)
         found = part if found is None else found.unionAll(part)
     none = spark.createDataFrame([], "rep bigint, n bigint, other bigint")
     links = none if found is None else stored(found, "near")
     return resolve_links(rows.select(F.col("vec_id").alias("id")), ids, classes, links).withColumnRenamed("id", "vec_id")
 
 
-def _links(reps: DataFrame, count: int, dim: int, least: float) -> DataFrame:
+def _links(reps: DataFrame, count: int, dim: int, least: float, spread: float | None) -> DataFrame:
     """(rep, n, other) for vectors of one length: links of ``rep`` found in one place, weighted by copies, and the smallest id in reach there."""
     spark = reps.sparkSession
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
@@ -158,28 +179,31 @@ def _links(reps: DataFrame, count: int, dim: int, least: float) -> DataFrame:
     sample = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) <= int(min(1.0, limit / count) * 1_000_000)).select("v").limit(2 * limit)
     got = np.array([r["v"] for r in sample.collect()] or [r["v"] for r in reps.select("v").limit(1).collect()], dtype=np.float64)
     got = got[np.lexsort(got.T[::-1])]  # an order of its own, whichever task came first
-    got /= np.linalg.norm(got / np.abs(got).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(got).max(1, keepdims=True)
-    lists = max(1, min(MAX_LISTS, int(np.sqrt(count)), len(got)))
+    got = _units(got)
+    # Probes are a share of the lists that falls slowly with their number: more lists spare comparisons and copy rows more often.
+    lists = max(1, min(MAX_LISTS, round(count**0.4), len(got)))
     index = spark.sparkContext.broadcast(Index.fit(got, lists))
-    schema = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("unit", pa.binary()), ("list", pa.int32()), ("own", pa.bool_()), ("first", pa.bool_()), ("codes", pa.binary()), ("error", pa.float64())])
+    schema = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary()), ("list", pa.int32()), ("own", pa.bool_()), ("first", pa.bool_()), ("codes", pa.binary()), ("error", pa.float64())])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.array(batch.column(2).to_pylist(), dtype=np.float64)
-            values /= np.abs(values).max(1, keepdims=True)  # so that squares of large or tiny numbers stay finite
-            values /= np.linalg.norm(values, axis=1, keepdims=True)
+            raw = np.array(batch.column(2).to_pylist(), dtype=np.float64)
+            values = _units(raw)
             for start in range(0, len(values), 2_000):
                 units = np.ascontiguousarray(values[start : start + 2_000])
                 own, codes, errors = index.value.encode(units)
-                row, to = index.value.probes(units, radius)
+                row, to = index.value.probes(units, radius, spread)
                 # A pair of two lists is found once, by the row of the later list.
                 keep = to <= own[row]
                 row, to = row[keep], to[keep]
                 # Each row once as part of its own list, then once for every list it asks.
                 place = np.concatenate([np.arange(len(units)), row])
-                data = [u.tobytes() for u in units]
+                # As narrow as the numbers allow: they travel as they came and are scaled again where they meet.
+                given = raw[start : start + 2_000]
+                narrow = given.astype(np.float32)
+                data = [v.tobytes() for v in (narrow if (narrow == given).all() else given)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(start, len(units)).take(pa.array(place)),
@@ -195,7 +219,7 @@ def _links(reps: DataFrame, count: int, dim: int, least: float) -> DataFrame:
                 )
 
     routed = reps.select("rep", "copies", "v").mapInArrow(
-        route, "rep bigint, copies bigint, unit binary, list int, own boolean, first boolean, codes binary, error double"
+        route, "rep bigint, copies bigint, vector binary, list int, own boolean, first boolean, codes binary, error double"
     )
     routed = stored(routed, "lists")
     # One row per list: MAX_LISTS at most.
@@ -204,7 +228,7 @@ def _links(reps: DataFrame, count: int, dim: int, least: float) -> DataFrame:
     placed = routed.join(F.broadcast(blocks), "list")
     mine = F.pmod(F.xxhash64("rep", "list"), F.when(F.col("first"), F.col("row_blocks")).otherwise(F.col("ask_blocks"))).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("first"), F.col("ask_blocks")).otherwise(F.col("row_blocks")) - 1))
-    placed = placed.select("rep", "copies", "unit", "list", "own", "first", "codes", "error", mine.alias("mine"), others.alias("other"))
+    placed = placed.select("rep", "copies", "vector", "list", "own", "first", "codes", "error", mine.alias("mine"), others.alias("other"))
     placed = placed.select("*", F.when(F.col("first"), F.col("mine")).otherwise(F.col("other")).alias("x"), F.when(F.col("first"), F.col("other")).otherwise(F.col("mine")).alias("q"))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
@@ -212,9 +236,7 @@ def _links(reps: DataFrame, count: int, dim: int, least: float) -> DataFrame:
         none = pd.DataFrame({"rep": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64")})
         if not len(held) or not len(asked):
             return none
-        dims = len(held["unit"].iloc[0]) // 8
-        units = np.frombuffer(b"".join(held["unit"]), np.float64).reshape(-1, dims)
-        queries = np.frombuffer(b"".join(asked["unit"]), np.float64).reshape(-1, dims)
+        units, queries = _units(_unpacked(held["vector"], dim)), _units(_unpacked(asked["vector"], dim))
         codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1)
         i, j = index.value.near(queries, units, int(held["list"].iloc[0]), codes, held["error"].to_numpy(), radius, least)
         of_q, of_x = asked["rep"].to_numpy(), held["rep"].to_numpy()

@@ -180,14 +180,15 @@ def test_no_sound_vector(spark):
     assert near_duplicates(table.limit(0)).collect() == []
 
 
-def test_probes_and_codes_lose_nothing():
+@pytest.mark.parametrize("spread", [None, 4.0])
+def test_probes_and_codes_lose_nothing(spread):
     rng = np.random.default_rng(1)
     points = np.array(vectors(rng, 200, 24), np.float64)
     points /= np.linalg.norm(points, axis=1, keepdims=True)
     index = Index.fit(points[::3], 20)
     lists, codes, errors = index.encode(points)
     radius, found = np.sqrt(0.1), set()
-    rows, probed = index.probes(points, radius)
+    rows, probed = index.probes(points, radius, spread)
     for number in range(20):
         held, asking = np.flatnonzero(lists == number), rows[probed == number]
         i, j = index.near(points[asking], points[held], number, codes[held], errors[held], radius, 0.95)
