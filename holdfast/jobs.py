@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
@@ -17,7 +18,7 @@ from holdfast.operators.learning import score, train
 from holdfast.operators.metrics import business_metrics, classification_metrics
 from holdfast.operators.naming import feature_names, normalize_raw
 from holdfast.operators.selection import stratified_split
-from holdfast.operators.validation import TARGET, apply_contract, store_batches, validate_or_fail
+from holdfast.operators.validation import TARGET, apply_contract, store_batches, stored_batches, validate_or_fail
 from holdfast.sources.tables import append_history, path_exists, read_table
 
 SEED = 42
@@ -27,23 +28,40 @@ TEST_SIZE = 0.2
 def ingest_job(spark: SparkSession, base: DataFrame, batches: DataFrame | None, folder: str, batch: str = "batch_file") -> DataFrame:
     """Validated training table: the kept part of the base table and every accepted batch.
 
-    A bad base row fails the job. The held-out part is written once and then left alone; the split depends on ids
-    only, so later runs agree with it. Rejected batches go to ``quarantine``.
+    A bad base row fails the job. Whether a customer is held out is decided once, when they first appear in the base table, and written to
+    ``parts``; later runs split new customers only. So a base table that grows leaves every row in exactly one of ``holdout`` and ``validated``. Batches that
+    were judged in an earlier run are not judged again; all accepted ones are part of the table, rejected ones stay in quarantine (``quarantined``).
     """
+    run = uuid.uuid4().hex
+    parts, stored = f"{folder}/parts", f"{folder}/batches"
     checked = normalize_raw(validate_or_fail(normalize_raw(base)))
-    parts = stratified_split(checked, "customerID", TARGET, TEST_SIZE, SEED)
-    holdout = f"{folder}/holdout"
-    if not path_exists(spark, holdout):
-        parts.where("is_validation").drop("is_validation").write.parquet(holdout)
-    merged = parts.where("NOT is_validation").drop("is_validation")
+    new = checked
+    if path_exists(spark, parts):
+        new = checked.join(spark.read.parquet(parts).select("customerID"), "customerID", "left_anti")
+    split = stratified_split(new, "customerID", TARGET, TEST_SIZE, SEED)
+    split.select("customerID", "is_validation").write.parquet(f"{parts}/run={run}")
+    decided = spark.read.parquet(parts).select("customerID", "is_validation")
+    placed = checked.join(decided, "customerID").select(*checked.columns, "is_validation")
+    placed.where("is_validation").drop("is_validation").write.mode("overwrite").parquet(f"{folder}/holdout")
+    merged = placed.where("NOT is_validation").drop("is_validation")
     if batches is not None:
-        store_batches(apply_contract(normalize_raw(batches)), batch, f"{folder}/accepted", f"{folder}/quarantine")
-        good = spark.read.parquet(f"{folder}/accepted").drop(batch)
+        fresh = normalize_raw(batches)
+        if path_exists(spark, stored):
+            known = spark.read.option("basePath", stored).parquet(f"{stored}/*").select(batch).distinct()
+            fresh = fresh.join(known, batch, "left_anti").select(*fresh.columns)
+        store_batches(apply_contract(fresh), batch, f"{stored}/run={run}")
+    if path_exists(spark, stored):
+        good = stored_batches(spark, f"{stored}/*", True).drop(batch, "run")
         merged = merged.unionByName(good, allowMissingColumns=True)
     merged.write.mode("overwrite").parquet(f"{folder}/validated")
     return spark.read.parquet(f"{folder}/validated")
 
 
+def quarantined(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of all rejected batches with the rules they break."""
+    return stored_batches(spark, f"{folder}/batches/*", False).drop("run")
+
+
 def feature_job(
     spark: SparkSession, validated: DataFrame, folder: str, settings: FeatureSettings = FeatureSettings(), keep_id: str | None = None
 ) -> tuple[DataFrame, OneHotModel]:

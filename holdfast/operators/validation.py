@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,14 +162,19 @@ def split_batches(checked: DataFrame, batch: str, failed: str = "failed_rules")
     return judged.where("accepted").select(*columns), judged.where("NOT accepted").select(*columns)
 
 
-def store_batches(checked: DataFrame, batch: str, accepted: str, quarantine: str, failed: str = "failed_rules") -> None:
-    """Write accepted and quarantined rows to their tables; the judged rows are computed once for both."""
-    judged = judge_batches(checked, batch, failed).persist(StorageLevel.DISK_ONLY)
-    try:
-        judged.where("accepted").drop("accepted", failed).write.mode("overwrite").parquet(accepted)
-        judged.where("NOT accepted").drop("accepted").write.mode("overwrite").parquet(quarantine)
-    finally:
-        judged.unpersist()
+def store_batches(checked: DataFrame, batch: str, folder: str, failed: str = "failed_rules", replace: bool = False) -> None:
+    """Write judged rows in one pass, with accepted and quarantined rows in folders of their own under ``folder``.
+
+    A folder that holds rows already is an error, unless it is to be replaced (a micro-batch that is run again).
+    """
+    judged = judge_batches(checked, batch, failed)
+    judged.write.mode("overwrite" if replace else "errorifexists").partitionBy("accepted").parquet(folder)
+
+
+def stored_batches(spark: SparkSession, pattern: str, accepted: bool, failed: str = "failed_rules") -> DataFrame:
+    """Rows that :func:`store_batches` has put under the folders of ``pattern``; accepted ones without the empty list of failures."""
+    rows = spark.read.option("basePath", pattern.split("/*")[0]).parquet(pattern).where(F.col("accepted") == F.lit(accepted)).drop("accepted")
+    return rows.drop(failed) if accepted else rows
 
 
 def release_columns(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:

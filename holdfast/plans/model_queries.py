@@ -100,10 +100,10 @@ def stream_inbox(spark, sf):
     text.repartition("batch_id").write.partitionBy("batch_id").option("header", True).csv(f"{out}/inbox")
     schema = text.schema
     stream = inbox.read_inbox(spark, f"{out}/inbox", schema).withColumn("batch_id", F.col("batch_id").cast("int"))
-    run = inbox.ingest_inbox(stream, f"{out}/accepted", f"{out}/quarantine", f"{out}/state", validation.CUSTOMER_CONTRACT, "batch_id")
+    run = inbox.ingest_inbox(stream, f"{out}/batches", f"{out}/state", validation.CUSTOMER_CONTRACT, "batch_id")
     run.awaitTermination()
-    good = spark.read.parquet(f"{out}/accepted").select("batch_id", F.lit("accepted").alias("verdict"))
-    bad = spark.read.parquet(f"{out}/quarantine").select("batch_id", F.lit("quarantined").alias("verdict"))
+    good = validation.stored_batches(spark, f"{out}/batches", True).select("batch_id", F.lit("accepted").alias("verdict"))
+    bad = validation.stored_batches(spark, f"{out}/batches", False).select("batch_id", F.lit("quarantined").alias("verdict"))
     return good.unionByName(bad).groupBy("batch_id", "verdict").agg(F.count("*").alias("n"))
 
 

@@ -19,7 +19,11 @@ def enrich(
     request_id: str | None = None,
     at: Column | None = None,
 ) -> DataFrame:
-    """Add id, UTC time and date, environment and model facts to decided rows."""
+    """Add id, UTC time and date, environment and model facts to decided rows.
+
+    The id is a hash of the request, the time and the row, so every reader of this frame gets the same one. Rows of one request that are
+    equal in all columns get one id; give rows an id of their own to tell them apart.
+    """
     moment = at if at is not None else F.current_timestamp()
     facts = {
         "environment": environment,
@@ -30,7 +34,7 @@ def enrich(
     }
     return decided.withColumns(
         {
-            "prediction_id": F.uuid(),
+            "prediction_id": F.md5(F.to_json(F.struct(F.lit(request_id).alias("_request"), moment.alias("_moment"), *[F.col(f"`{c}`") for c in decided.columns]))),
             "prediction_timestamp": moment,
             "prediction_date": F.to_date(moment),
             **{name: F.lit(value).cast("string") for name, value in facts.items()},

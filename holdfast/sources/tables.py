@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
@@ -87,16 +88,21 @@ def read_requests(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def append_history(rows: DataFrame, path: str, moment: str | None = "timestamp", at: Column | None = None) -> DataFrame:
-    """Append check results to a history table: new files only, whatever the size of the history."""
+    """Append check results to a history table: new files only, whatever the size of the history. Returns the rows as stored.
+
+    They are computed once: the caller gets them from the table, by the id of this append (``append_id``).
+    """
     if moment and moment not in rows.columns:
         rows = rows.withColumn(moment, at if at is not None else F.current_timestamp())
-    rows.write.mode("append").parquet(path)
-    return rows
+    append = uuid.uuid4().hex
+    rows.withColumn("append_id", F.lit(append)).write.mode("append").parquet(path)
+    stored = rows.sparkSession.read.schema(rows.withColumn("append_id", F.lit(append)).schema).parquet(path)
+    return stored.where(F.col("append_id") == append).drop("append_id")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """History table; later checks may have more columns."""
-    return spark.read.option("mergeSchema", True).parquet(path)
+    return spark.read.option("mergeSchema", True).parquet(path).drop("append_id")
 
 
 def export_prioritized(prioritized: DataFrame, folder: str, today: Column | None = None) -> str:

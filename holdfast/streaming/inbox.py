@@ -26,21 +26,19 @@ def read_inbox(
 
 def ingest_inbox(
     stream: DataFrame,
-    accepted: str,
-    quarantine: str,
+    folder: str,
     checkpoint: str,
     contract: Sequence[FieldRule] = CUSTOMER_CONTRACT,
     batch: str = "batch_file",
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Validate new batches and append them to the accepted or the quarantine table.
+    """Validate new batches and put them under ``folder``, as accepted or quarantined; ``validation.stored_batches`` reads either.
 
-    Each micro-batch writes its own folder and overwrites it on a replay, so a restart adds no duplicates.
+    Each micro-batch writes its own folder and replaces it on a replay, so a restart adds no duplicates.
     """
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        part = f"micro_batch={batch_id}"
-        store_batches(apply_contract(rows, contract), batch, f"{accepted}/{part}", f"{quarantine}/{part}")
+        store_batches(apply_contract(rows, contract), batch, f"{folder}/micro_batch={batch_id}", replace=True)
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdfast.operators.validation import stored_batches
 from holdfast import jobs
 from holdfast.config import CostSettings, ModelSettings, ServingSettings
 
@@ -234,8 +235,8 @@ def test_inbox_accepts_and_quarantines_files_once(spark, tmp_path):
 
     def run():
         stream = inbox.read_inbox(spark, str(folder), schema)
-        inbox.ingest_inbox(stream, f"{tmp_path}/ok", f"{tmp_path}/bad", f"{tmp_path}/state").awaitTermination()
-        return spark.read.parquet(f"{tmp_path}/ok").count(), spark.read.parquet(f"{tmp_path}/bad").count()
+        inbox.ingest_inbox(stream, f"{tmp_path}/in", f"{tmp_path}/state").awaitTermination()
+        return tuple(stored_batches(spark, f"{tmp_path}/in", accepted).count() for accepted in (True, False))
 
     drop("one.csv", {}, {"customerID": "2"})
     drop("two.csv", {}, {"tenure": "-1"})

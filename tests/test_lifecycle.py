@@ -20,17 +20,18 @@ def test_lifecycle(spark, tmp_path):
     batches = batches.withColumn("batch_file", F.when(F.col("customerID") == "n1", "a").otherwise("b"))
     validated = jobs.ingest_job(spark, _base(spark), batches, folder)
     assert validated.count() == 48 + 1
-    assert spark.read.parquet(f"{folder}/quarantine").count() == 2
+    assert jobs.quarantined(spark, folder).count() == 2
     held = spark.read.parquet(f"{folder}/holdout")
     assert held.count() == 12 and held.join(validated, "customerID").count() == 0
-    assert jobs.ingest_job(spark, _base(spark), None, folder).count() == 48
+    again = jobs.ingest_job(spark, _base(spark), batches, folder)
+    assert again.count() == 48 + 1 and jobs.quarantined(spark, folder).count() == 2
 
     features, vocabulary = jobs.feature_job(spark, spark.read.parquet(f"{folder}/validated"), folder, keep_id="customerid")
     assert "gender_Male" in features.columns and "customerid" in features.columns
     assert OneHotModel.from_json(spark.read.text(f"{folder}/vocabulary").first().value) == vocabulary
 
     train, validation = jobs.split_job(spark, features, f"{folder}/splits", "customerid", "churn")
-    assert train.count() + validation.count() == 48
+    assert train.count() + validation.count() == 49
     names = ["tenure", "monthlycharges", "gender_Male"]
     quick = ModelSettings(kind="logistic_regression")
     _, run = jobs.training_job(train, validation, folder, names, s=quick)
@@ -43,6 +44,16 @@ def test_lifecycle(spark, tmp_path):
         jobs.register(spark, folder, "x", "other")
 
 
+def test_a_growing_base_loses_no_row(spark, tmp_path):
+    folder = str(tmp_path)
+    first = jobs.ingest_job(spark, _base(spark), None, folder).count()
+    held = {r.customerID for r in spark.read.parquet(f"{folder}/holdout").collect()}
+    train = {r.customerID for r in jobs.ingest_job(spark, _base(spark, 300), None, folder).collect()}
+    later = {r.customerID for r in spark.read.parquet(f"{folder}/holdout").collect()}
+    assert first == 48 and len(held) == 12 and held < later
+    assert train | later == {f"c{i}" for i in range(300)} and not train & later and len(later) == 60
+
+
 def test_bad_base_row_stops_the_job(spark, tmp_path):
     with pytest.raises(Exception, match="Validation failed"):
         jobs.ingest_job(spark, customers(spark, {"gender": "Other"}, {}), None, str(tmp_path))
