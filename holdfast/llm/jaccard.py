@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import fresh, map_texts, stored, workers_import
@@ -180,11 +180,30 @@ def _candidates(reps: DataFrame) -> DataFrame:
 
     first = shared(reps.select("rep", F.explode(F.arrays_zip("nodes", "kids")).alias("p")).select("rep", F.col("p.nodes").alias("node"), F.col("p.kids").alias("kids")))
     first = stored(first, "paths")
-    small = first.where(F.col("size") <= BUCKET).select("rep", "node", "size")
-    deep = shared(first.where(F.col("size") > BUCKET).select("rep", F.explode("kids").alias("node")))
-    buckets = _in_blocks(small.unionAll(deep.select("rep", "node", "size")), "node", "rep", "size", BUCKET)
-    rows = buckets.join(reps.select("rep", "sketch", "n"), "rep")
-    groups = rows.groupBy("node", "lo", "hi").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("m")).where(F.size("m") > 1).select("m")
+    deep = stored(shared(first.where(F.col("size") > BUCKET).select("rep", F.explode("kids").alias("node"))), "paths")
+    marks = reps.select("rep", "sketch", "n")
+    small = first.select("rep", "node", "size").unionAll(deep.select("rep", "node", "size")).where(F.col("size") <= BUCKET)
+    # All of a small bucket ask, and it is one block.
+    whole = small.join(marks, "rep").select("node", F.lit(0).alias("x"), F.lit(0).alias("q"), F.lit(True).alias("asks"), "rep", "n", "sketch")
+    large = deep.where(F.col("size") > BUCKET).select("rep", "node", "size").join(marks, "rep")
+    starred = stored(_starred(large), "stars")
+    stars = starred.where(F.col("star") & (F.col("rep") != F.col("pivot"))).select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"))
+    rest = starred.where(~F.col("star"))
+    asking = rest.groupBy("node").agg(F.count("*").alias("m"))
+    placed = starred.drop("pivot", "star").join(asking, "node")
+    # Members that are like the pivot are joined by it; only the others are still compared, each with the whole bucket.
+    x_blocks, q_blocks = (F.ceil(F.col(c) / F.lit(BUCKET)).cast("int") for c in ("size", "m"))
+
+    def block(count: Column) -> Column:
+        return F.pmod(F.xxhash64("rep", "node"), count).cast("int")
+
+    def all_of(count: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), count - 1))
+
+    held = placed.select("node", block(x_blocks).alias("x"), all_of(q_blocks).alias("q"), F.lit(False).alias("asks"), "rep", "n", "sketch")
+    asks = rest.drop("pivot", "star").join(asking, "node").select("node", all_of(x_blocks).alias("x"), block(q_blocks).alias("q"), F.lit(True).alias("asks"), "rep", "n", "sketch")
+    rows = whole.unionAll(held).unionAll(asks)
+    groups = rows.groupBy("node", "x", "q").agg(F.collect_list(F.struct("rep", "n", "sketch", "asks")).alias("m")).where(F.size("m") > 1).select("m")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,28 +211,49 @@ def _candidates(reps: DataFrame) -> DataFrame:
             lists = batch.column(0)
             flat = lists.flatten()
             rep, n = flat.field("rep").to_numpy(), flat.field("n").to_numpy()
+            asks = flat.field("asks").to_numpy(zero_copy_only=False)
             sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)
             ends = np.cumsum(lists.value_lengths().to_numpy())
             highs, lows = [], []
             for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
                 ids, sizes, marks = rep[start:end], n[start:end], sketch[start:end]
                 pairs = ([], [])
-                for i in range(end - start - 1):
-                    alike = (marks[i + 1 :] == marks[i]).mean(axis=1) >= SKETCH
-                    alike &= np.minimum(sizes[i + 1 :], sizes[i]) >= LEAST * np.maximum(sizes[i + 1 :], sizes[i])
-                    j = np.flatnonzero(alike)
+                for i in np.flatnonzero(asks[start:end]).tolist():
+                    j = np.flatnonzero(_alike(marks, marks[i], sizes, sizes[i]))
                     pairs[0].append(np.full(len(j), i))
-                    pairs[1].append(j + i + 1)
-                i, j = np.concatenate(pairs[0]), np.concatenate(pairs[1])
-                if len(i):
-                    low = forest(ids, (i, j))
-                    joined = low != ids
-                    highs.append(ids[joined])
-                    lows.append(low[joined])
+                    pairs[1].append(j)
+                if not pairs[0]:
+                    continue
+                low = forest(ids, (np.concatenate(pairs[0]), np.concatenate(pairs[1])))
+                joined = low != ids
+                highs.append(ids[joined])
+                lows.append(low[joined])
             if highs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(highs)), pa.array(np.concatenate(lows))], schema=schema)
 
-    return groups.mapInArrow(meet, "a bigint, b bigint").distinct()
+    return groups.mapInArrow(meet, "a bigint, b bigint").unionAll(stars).distinct()
+
+
+def _alike(marks: np.ndarray, mark: np.ndarray, sizes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which sets can be as similar as ``LEAST`` to one, or each to its own, by sketch and size."""
+    return ((marks == mark).mean(axis=-1) >= SKETCH) & (np.minimum(sizes, size) >= LEAST * np.maximum(sizes, size))
+
+
+def _starred(large: DataFrame) -> DataFrame:
+    """``large`` (rep, node, size, sketch, n) with the bucket's pivot, its smallest id, and ``star``: whether the member is a candidate with it."""
+    pivots = large.groupBy("node").agg(F.min(F.struct("rep", "n", "sketch")).alias("p"))
+    pairs = large.join(pivots, "node").select("rep", "node", "size", "sketch", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.sketch").alias("p_sketch"))
+    names = ["rep", "node", "size", "sketch", "n", "pivot"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            mine, theirs = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, MINIMA) for i in (3, 7))
+            star = _alike(mine, theirs, batch.column(4).to_numpy(), batch.column(6).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(star)], names=[*names, "star"])
+
+    return pairs.mapInArrow(work, "rep bigint, node bigint, size bigint, sketch binary, n bigint, pivot bigint, star boolean")
 
 
 def _compare(sets: list[np.ndarray], side: np.ndarray, lo: int, hi: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +326,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Similarity is the Jaccard coefficient of the sets of five-word shingles of whole texts. A set is stood for by ``MINIMA`` minhashes. In each run a document follows the
     paths of a tree whose nodes pick minhashes; documents with the same path meet. Buckets of up to ``BUCKET`` sets are compared at once, larger ones two levels deeper; what is
-    still large shares nearly everything and is compared in blocks, all against all. The number of runs follows from ``RECALL``. Candidates form
+    still large shares nearly everything: members that are like one of them are joined by it, and the others are compared with all, in blocks. The number of runs follows from ``RECALL``. Candidates form
     groups, and within a group all whole sets are compared, so a link that no bucket showed is found too where the group was.
 
     Documents with equal sets are one class: compared once, counted with all their ids. A missing text, or one without words, links with nothing; texts of fewer
