@@ -49,7 +49,8 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
-    joined = table(spark, sf, "customer").join(span, "c_custkey").join(nations, "c_nationkey")
+    # A customer without orders has no tenure and no charges, and stays.
+    joined = table(spark, sf, "customer").join(span, "c_custkey", "left").join(nations, "c_nationkey", "left")
     return joined.select(
         "c_custkey",
         F.col("c_custkey").cast("string").alias("customerID"),
@@ -59,9 +60,9 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("c_nationkey") % 3 == 0, "Month-to-month").when(F.col("c_nationkey") % 3 == 1, "One year").otherwise("Two year").alias("Contract"),
         F.when(F.col("n_regionkey") < 2, "DSL").when(F.col("n_regionkey") < 4, "Fiber optic").otherwise("No").alias("InternetService"),
         F.col("c_mktsegment").alias("PaymentMethod"),
-        F.expr("CAST(datediff(last_order, first_order) div 30 AS BIGINT)").alias("tenure"),
-        (F.col("total").cast("double") / F.col("n_orders") / 10000).alias("MonthlyCharges"),
-        F.when(F.col("c_custkey") % 97 == 0, " ").otherwise(F.col("total").cast("string")).alias("TotalCharges"),
+        F.expr("coalesce(CAST(datediff(last_order, first_order) div 30 AS BIGINT), 0L)").alias("tenure"),
+        F.coalesce(F.col("total").cast("double") / F.col("n_orders") / 10000, F.lit(0.0)).alias("MonthlyCharges"),
+        F.when(F.col("c_custkey") % 97 == 0, " ").otherwise(F.coalesce(F.col("total").cast("string"), F.lit("0.00"))).alias("TotalCharges"),
         F.when(F.col("last_order") < F.lit("2001-01-01").cast("timestamp_ntz"), "Yes").otherwise("No").alias("Churn"),
     )
 
@@ -189,11 +190,11 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         CASE c_nationkey % 3 WHEN 0 THEN 'Month-to-month' WHEN 1 THEN 'One year' ELSE 'Two year' END AS "Contract",
         CASE WHEN n_regionkey < 2 THEN 'DSL' WHEN n_regionkey < 4 THEN 'Fiber optic' ELSE 'No' END AS "InternetService",
         c_mktsegment AS "PaymentMethod",
-        CAST(date_diff('day', CAST(first_order AS DATE), CAST(last_order AS DATE)) // 30 AS BIGINT) AS tenure,
-        CAST(total AS DOUBLE) / n_orders / 10000 AS "MonthlyCharges",
-        CASE WHEN c_custkey % 97 = 0 THEN ' ' ELSE CAST(total AS VARCHAR) END AS "TotalCharges",
+        coalesce(CAST(date_diff('day', CAST(first_order AS DATE), CAST(last_order AS DATE)) // 30 AS BIGINT), 0) AS tenure,
+        coalesce(CAST(total AS DOUBLE) / n_orders / 10000, 0) AS "MonthlyCharges",
+        CASE WHEN c_custkey % 97 = 0 THEN ' ' ELSE coalesce(CAST(total AS VARCHAR), '0.00') END AS "TotalCharges",
         CASE WHEN last_order < TIMESTAMP '2001-01-01' THEN 'Yes' ELSE 'No' END AS "Churn"
-        FROM customer JOIN span ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey""",
+        FROM customer LEFT JOIN span ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""",
     ),
     "valued": (
         ("customers",),

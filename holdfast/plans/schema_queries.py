@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdfast import jobs
 from holdfast.functions import scalars as S
 from holdfast.operators import alignment, naming, validation
 from holdfast.operators.selection import stratified_split
 from holdfast.plans import bindings as B
 from holdfast.plans.bindings import sql_over
 from holdfast.plans.registry import query, rounded
+from holdfast.session import work_dir
 
 
 @query("validate_rules", sql_over("failed", "SELECT rule, count(*) AS rows_failed FROM failed WHERE rule IS NOT NULL GROUP BY rule"))
@@ -65,6 +67,32 @@ def ingest_train(spark, sf):
     return merged.select("customerID", "gender", "tenure", "Churn", "source")
 
 
+_GROWTH_SQL = sql_over(
+    "contract_rows failed",
+    """SELECT customer, place FROM (
+    SELECT 'b' || "customerID" AS customer, 'base' AS place FROM contract_rows WHERE "customerID" IS NOT NULL AND "customerID" NOT IN (SELECT "customerID" FROM failed WHERE rule IS NOT NULL AND "customerID" IS NOT NULL)
+    UNION ALL SELECT "customerID", CASE WHEN batch_id IN (SELECT batch_id FROM failed WHERE rule IS NOT NULL) THEN 'quarantine' ELSE 'accepted' END FROM contract_rows)""",
+)
+
+
+@query("ingest_growth", _GROWTH_SQL)
+def ingest_growth(spark, sf):
+    """The ingest job on a base table that grows between two runs: every row is in exactly one place."""
+    folder = work_dir(spark, "ingest")
+    rows = B.contract_rows(spark, sf)
+    valid = validation.apply_contract(rows).where(F.size("failed_rules") == 0).drop("failed_rules")
+    base = valid.withColumn("customerID", F.concat(F.lit("b"), "customerID"))
+    early, columns = F.col("batch_id") < 20, [c for c in rows.columns if c != "batch_id"]
+    batches = rows.withColumnRenamed("batch_id", "batch_file")
+    jobs.ingest_job(spark, base.where(early).select(columns), batches.where(F.col("batch_file") < 20), folder)
+    table = jobs.ingest_job(spark, base.select(columns), batches, folder)
+    of_base = F.col("customerID").startswith("b")
+    held = spark.read.parquet(f"{folder}/holdout").select("customerID", F.lit("base").alias("place"))
+    kept = table.select("customerID", F.when(of_base, "base").otherwise("accepted").alias("place"))
+    bad = jobs.quarantined(spark, folder).select("customerID", F.lit("quarantine").alias("place"))
+    return held.unionAll(kept).unionAll(bad).withColumnRenamed("customerID", "customer")
+
+
 @query(
     "normalize_names",
     """SELECT CAST(c_custkey AS VARCHAR) AS customerid, c_acctbal AS account_balance_eur, c_mktsegment AS market_segment, c_name AS full_name FROM customer""",

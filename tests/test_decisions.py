@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from holdfast.config import CONTACT_UPLIFTS, DISCOUNT_UPLIFTS, PROFIT_FLOORS, DecisionSettings
 from holdfast.operators import decisions as D
 from holdfast.operators import explain, policies
+from holdfast.operators.selection import stratified_split, top_flag
 
 
 def _batch(spark, n=300, seed=7):
@@ -122,3 +123,20 @@ def test_missing_scores_and_values(spark):
         rows = {r.id: (r.action, r.expected_value) for r in decided.collect()}
         assert rows[1] == rows[2] == ("no_action", 0.0)
         assert rows[3] == rows[4] == ("offer_discount", pytest.approx(17.0))
+
+
+def test_a_share_is_taken_of_all_rows(spark):
+    rows = spark.range(100).select("id", F.when(F.col("id") < 60, F.col("id").cast("double") + 1).alias("v"))
+    marked = top_flag(rows, "v", "id", "top", share=0.2)
+    assert {r.id for r in marked.where("top").collect()} == set(range(40, 60))
+    assert top_flag(rows, "v", "id", "top", k=1000).where("top").count() == 60
+    assert top_flag(rows, "v", "id", "top", k=0).where("top").count() == 0
+    tied = spark.range(10).select("id", F.lit(1.0).alias("v"))
+    assert {r.id for r in top_flag(tied, "v", "id", "top", k=3).where("top").collect()} == {0, 1, 2}
+    assert top_flag(rows.limit(0), "v", "id", "top", share=0.5).count() == 0
+
+
+def test_rows_without_a_class_are_split_as_one(spark):
+    rows = spark.range(100).select("id", F.when(F.col("id") % 4 != 0, (F.col("id") % 2).cast("string")).alias("c"))
+    split = stratified_split(rows, "id", "c", 0.2, 1).where("is_validation")
+    assert split.count() == 20 and split.where("c IS NULL").count() == 5

@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from holdfast.operators.validation import stored_batches
 from holdfast import jobs
 from holdfast.config import CostSettings, ModelSettings, ServingSettings
 
 from holdfast.operators import costs, explain, labels, learning, rules, serving
+from holdfast.operators.validation import stored_batches
 from holdfast.sources import prediction_log, snapshots, tables
 from holdfast.streaming import inbox, monitoring, requests
 from holdfast.streaming import labels as label_streams
@@ -338,3 +338,20 @@ def test_monitoring_cycle(spark, tmp_path):
     row = tables.read_history(spark, f"{tmp_path}/history").first()
     assert row.n_samples == 50 and row.f1_score == 1.0 and row.roc_auc == 1.0 and not row.retrain_triggered
     assert row.expected_profit == 50.0 and row.business_intervention_rate == 0.5
+
+
+def test_scoring_leaves_its_input_alone(spark):
+    rows = spark.createDataFrame([(1, None, 0), (2, 5, 1), (3, 1, 0), (4, 9, 1)], "id int, x int, prediction int")
+    model = learning.fit(rows, ["x"], "prediction", ModelSettings(kind="logistic_regression"))
+    scored = learning.score(model, rows, ["x"])
+    assert scored.columns == ["id", "x", "prediction", "churn_probability"] and dict(scored.dtypes)["x"] == "int"
+    assert sorted((r.id, r.x, r.prediction) for r in scored.collect()) == [(1, None, 0), (2, 5, 1), (3, 1, 0), (4, 9, 1)]
+
+
+def test_every_label_is_matched_or_reconciled(spark):
+    p = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-01-01")], "prediction_id int, predicted_at string").withColumn("predicted_at", F.col("predicted_at").cast("timestamp"))
+    l = spark.createDataFrame([(1, "2024-02-10", 1), (2, "2024-01-02", 0), (3, "2024-09-01", 1), (9, "2024-02-10", 1)], "prediction_id int, labeled_at string, churn int").withColumn("labeled_at", F.col("labeled_at").cast("timestamp"))
+    matched = label_streams.match_labels_batch(p, l)
+    rest = label_streams.reconcile_labels(p, l, matched)
+    assert [r.prediction_id for r in matched.collect()] == [1]
+    assert {(r.prediction_id, r.churn, r.predicted_at is None) for r in rest.collect()} == {(2, 0, False), (3, 1, False), (9, 1, True)}

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from holdfast import jobs
 from holdfast.config import ModelSettings
+from holdfast.operators import naming
 from holdfast.operators.features import OneHotModel
+from holdfast.sources import prediction_log
+from holdfast.sources.tables import read_history
 from test_tables import customers
 
 
@@ -44,6 +47,32 @@ def test_lifecycle(spark, tmp_path):
         jobs.register(spark, folder, "x", "other")
 
 
+def test_scoring_job_logs_the_raw_inputs(spark, tmp_path):
+    folder = str(tmp_path)
+    raw = _base(spark, 20).drop("Churn")
+    _, vocabulary = jobs.feature_job(spark, naming.feature_names(naming.normalize_raw(_base(spark))), folder, keep_id="customerid")
+
+    def scorer(encoded):
+        assert "gender_Male" in encoded.columns
+        return encoded.withColumn("churn_probability", F.col("tenure").cast("double") / 20)
+
+    logged = jobs.scoring_job(spark, raw, vocabulary, scorer, f"{folder}/log", "r1", at=F.lit("2024-01-01").cast("timestamp"))
+    rows = {r.customerid: r for r in logged.collect()}
+    assert len(rows) == 20 and len({r.prediction_id for r in rows.values()}) == 20
+    assert rows["c5"].churn_probability == 0.25 and rows["c5"].tenure == "5" and rows["c5"].customer_value > 0
+    assert {r.action for r in rows.values()} <= {"no_action", "send_email", "offer_discount"}
+    assert prediction_log.check_request(logged, 20) is None
+
+
+def test_drift_job_keeps_its_history(spark, tmp_path):
+    a = spark.range(400).select((F.col("id") % 20).cast("double").alias("x"), F.lit("k").alias("c"))
+    b = a.withColumn("x", F.col("x") + 10)
+    history = f"{tmp_path}/history"
+    assert jobs.drift_job(a, b, ["x"], ["c"], history) is True
+    assert jobs.drift_job(a, a, ["x"], ["c"], history) is False
+    assert read_history(spark, history).count() == 4
+
+
 def test_a_growing_base_loses_no_row(spark, tmp_path):
     folder = str(tmp_path)
     first = jobs.ingest_job(spark, _base(spark), None, folder).count()

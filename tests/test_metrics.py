@@ -107,3 +107,9 @@ def test_class_report_by_hand(spark):
     assert rows["accuracy"].f1 == pytest.approx(0.6)
     assert rows["macro avg"].precision == pytest.approx((2 / 3 + 0.5) / 2)
     assert rows["weighted avg"].precision == pytest.approx((2 / 3 * 3 + 0.5 * 2) / 5)
+
+
+def test_a_numeric_target_must_be_0_or_1(spark):
+    rows = spark.createDataFrame([(0, 0.1), (2, 0.9)], "y int, p double")
+    with pytest.raises(Exception, match="Neither a yes nor a no: 2"):
+        M.classification_metrics(rows, "y", "p", numeric_target=True).collect()

@@ -203,3 +203,22 @@ def test_exploration(spark):
     assert {r.bin: r.n for r in explore.score_histogram(hist, "p").collect()} == {0: 1, 1: 1, 24: 2}
     coded = explore.encode(df, explore.label_codes(df, ["c"]), "c", "code")
     assert {(r.c, r.code) for r in coded.collect()} == {("a", 0), ("b", 1), (None, None)}
+
+
+def test_chi_square_tail_with_many_degrees(spark):
+    def exact(x, k):
+        h = x / 2
+        if k % 2 == 0:
+            return sum(math.exp(-h + i * math.log(h) - math.lgamma(i + 1)) for i in range(k // 2))
+        return math.erfc(math.sqrt(h)) + sum(math.exp(-h + (i - 0.5) * math.log(h) - math.lgamma(i + 0.5)) for i in range(1, (k - 1) // 2 + 1))
+
+    cases = [(float(k * f), k) for k in (1, 2, 100, 199, 200, 201, 1499, 1500, 2000, 1_000_000) for f in (0.5, 0.97, 0.999, 1.0, 1.003, 1.05, 1.3, 3.0)]
+    rows = spark.createDataFrame(cases, "x double, k bigint").withColumn("p", chi_square_tail(F.col("x"), F.col("k"))).collect()
+    assert max(abs(r.p - exact(r.x, r.k)) for r in rows) < 1e-7
+
+
+def test_missing_numbers_count_in_every_batch(spark):
+    rows = spark.createDataFrame([(1, 1.0, "a"), (1, math.nan, "a"), (2, 1.0, "a")], "b int, x double, c string")
+    known = quality.category_reference(rows, ["c"])
+    got = {r.b: r.quality_status for r in quality.quality_by_batch(rows, known, ["c"], "b", ["x", "c"]).collect()}
+    assert got == {1: "warning", 2: "ok"}
