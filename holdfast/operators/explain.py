@@ -12,8 +12,9 @@ from holdfast.functions.scalars import round_even
 NEGLIGIBLE = 1e-6
 
 
-def linear_impacts(df: DataFrame, identity: str, coefficients: dict[str, float], background: DataFrame) -> DataFrame:
-    """One impact column per feature: coefficient x (value - background mean)."""
+def linear_impacts(df: DataFrame, identity: str, coefficients: dict[str, float], background: DataFrame | None = None) -> DataFrame:
+    """One impact column per feature: coefficient x (value - background mean). The background is all of ``df`` unless one is given."""
+    background = df if background is None else background
     means = background.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"_m{i}") for i, c in enumerate(coefficients)])
     impacts = [
         ((F.col(f"`{c}`").cast("double") - F.col(f"_m{i}")) * float(w)).alias(c) for i, (c, w) in enumerate(coefficients.items())
@@ -66,8 +67,9 @@ def sum_by_source(wide: DataFrame, source_of: dict[str, str], keep: Sequence[str
     return wide.select(*keep, *sums)
 
 
-def importance_table(importances: Sequence[float], names: Sequence[str], spark, top_n: int = 20) -> DataFrame:
-    """Feature importances of a fitted model, largest first. A model has one number per feature."""
+def importance_table(importances: Sequence[float], names: Sequence[str], spark, top_n: int | None = None) -> DataFrame:
+    """Feature importances of a fitted model, largest first; all of them, or the first ``top_n``. A model has one number per feature."""
     pairs = [(n, float(v)) for n, v in zip(names, importances, strict=True)]
     table = spark.createDataFrame(pairs, "feature string, importance double")
-    return table.orderBy(F.desc("importance"), "feature").limit(top_n)
+    ordered = table.orderBy(F.desc("importance"), "feature")
+    return ordered if top_n is None else ordered.limit(top_n)

@@ -55,7 +55,7 @@ def sliding_summary(events: DataFrame, ts: str = "ts", window_seconds: int = 900
     """Exact batch summary of every sliding window: totals, rates, latency percentiles, average and maximum.
 
     Rows are first counted per (pane, latency, status), where a pane is one slide; only these counts are copied
-    into the overlapping windows. Latency has two decimals, so a window holds a limited number of distinct
+    into the overlapping windows. Latency is rounded to two decimals first, so a window holds a limited number of distinct
     values however many requests it saw. Percentiles are nearest-rank with a half-even index.
     """
     if window_seconds % slide_seconds:
@@ -63,7 +63,8 @@ def sliding_summary(events: DataFrame, ts: str = "ts", window_seconds: int = 900
     moment = F.col(ts).cast("timestamp")
     pane = F.timestamp_seconds(F.floor(F.unix_timestamp(moment) / slide_seconds) * slide_seconds)
     ok = is_success(F.col("status_code"))
-    panes = events.groupBy(pane.alias("pane"), "latency_ms").agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"))
+    hundredths = (F.bround(F.col("latency_ms") * 100) / 100).alias("latency_ms")
+    panes = events.groupBy(pane.alias("pane"), hundredths).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"))
     slides = window_seconds // slide_seconds
     values = _to_windows(panes, slides, slide_seconds).groupBy("window_start", "latency_ms").agg(
         F.sum("n").alias("n"), F.sum("ok").alias("ok")

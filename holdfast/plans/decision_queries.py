@@ -200,23 +200,21 @@ def best_policy(spark, sf):
     )
 
 
-_SAMPLE_SQL = """bg AS (SELECT avg(c_acctbal) AS m1, avg(c_nationkey) AS m2 FROM (SELECT * FROM customer
-ORDER BY md5(c_custkey || '|42')[1:15], c_custkey LIMIT 200)),
+_MEANS_SQL = """bg AS (SELECT avg(c_acctbal) AS m1, avg(c_nationkey) AS m2 FROM customer),
 imp AS (SELECT c_custkey, unnest(['c_acctbal', 'c_nationkey']) AS feature, unnest([(c_acctbal - m1) * -0.0002::DOUBLE, (c_nationkey - m2) * 0.05::DOUBLE]) AS impact FROM customer, bg),
 kept AS (SELECT *, abs(impact) AS size FROM imp WHERE abs(impact) > 1e-6)"""
 
 
 @query(
     "top_reasons",
-    f"""WITH {_SAMPLE_SQL} SELECT c_custkey, row_number() OVER w AS rank, feature, round(impact, 6) AS impact, CASE WHEN impact > 0 THEN 'increases_churn' ELSE 'reduces_churn' END AS direction,
+    f"""WITH {_MEANS_SQL} SELECT c_custkey, row_number() OVER w AS rank, feature, round(impact, 6) AS impact, CASE WHEN impact > 0 THEN 'increases_churn' ELSE 'reduces_churn' END AS direction,
         round_even(size / sum(size) OVER (PARTITION BY c_custkey) * 100, 2) AS impact_pct FROM kept WINDOW w AS (PARTITION BY c_custkey ORDER BY size DESC, feature)""",
 )
 def top_reasons(spark, sf):
-    """Contributions of a linear model against a seeded background sample, ranked inside each row."""
+    """Contributions of a linear model against the mean of all customers, ranked inside each row."""
     customers = B.table(spark, sf, "customer")
-    background = seeded_sample(customers, "c_custkey", 200)
     weights = {"c_acctbal": -0.0002, "c_nationkey": 0.05}
-    wide = explain.linear_impacts(customers, "c_custkey", weights, background)
+    wide = explain.linear_impacts(customers, "c_custkey", weights)
     reasons = explain.top_reasons(wide, "c_custkey", list(weights))
     return rounded(reasons.withColumn("rank", F.col("rank").cast("bigint")))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -36,6 +39,14 @@ def get_session(app_name: str = "holdfast", master: str | None = None, cores: in
     return builder.getOrCreate()
 
 
+@cache
+def _own_folder() -> str:
+    """One folder for this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="holdfast-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder path for ``purpose`` under the shared folder named in ``spark.checkpoint.dir``.
 
@@ -45,5 +56,5 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
-        base = tempfile.mkdtemp(prefix="holdfast-")
+        base = _own_folder()
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")

@@ -51,7 +51,8 @@ def watch_quality(
     on_error: Callable[[Exception], None] | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Quality row of each micro-batch into a history table. A failed check never stops the requests."""
+    """Quality row of each micro-batch into a history table. A failed check goes to ``on_error``; without one it stops the stream, and the batch
+    is checked again at the next start."""
     columns = list(requests.columns)
 
     def check(batch: DataFrame, batch_id: int) -> None:
@@ -60,8 +61,9 @@ def watch_quality(
             # One folder per micro-batch, so a replayed batch replaces its own row.
             row.write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
         except Exception as error:  # noqa: BLE001
-            if on_error:
-                on_error(error)
+            if on_error is None:
+                raise
+            on_error(error)
 
     writer = requests.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
