@@ -16,6 +16,8 @@ from holdfast.llm.common import add_by_text, map_texts
 CACHE_WORDS = 400_000
 #: Symbols that a task keeps in one cached word at most; longer runs are encoded each time.
 CACHE_CHARS = 64
+#: Bytes of text whose ids a task holds at once; a longer text alone is held whole.
+AT_ONCE = 2_000_000
 
 
 def byte_letters() -> list[str]:
@@ -119,6 +121,15 @@ class Bpe:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _ids(rows: list[list[int]]) -> pa.ListArray:
+    """Lists of ids as one array of 32-bit numbers."""
+    offsets = np.cumsum([0, *[len(x) for x in rows]], dtype=np.int32)
+    flat = np.empty(int(offsets[-1]), np.int32)
+    for start, row in zip(offsets.tolist(), rows):
+        flat[start : start + len(row)] = row
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
 def read_tokenizer(path: str) -> str:
     with open(path, encoding="utf-8") as file:
         return file.read()
@@ -151,12 +162,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
         def run(texts: list) -> list:
             ids = [bpe.encode(t or "") for t in texts]
-            return [ids, [len(x) for x in ids], [bpe.decode(x) for x in ids]]
+            return [_ids(ids), [len(x) for x in ids], [bpe.decode(x) for x in ids]]
 
         return run
 
     fields = [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64()), ("decoded", "string", pa.string())]
-    return map_texts(docs, id_col, text_col, make, fields)
+    return map_texts(docs, id_col, text_col, make, fields, AT_ONCE)
 
 
 def encode_rows(docs: DataFrame, tokenizer: str, text_col: str = "text", drop: tuple[str, ...] = ("text",)) -> DataFrame:
@@ -168,12 +179,12 @@ def encode_rows(docs: DataFrame, tokenizer: str, text_col: str = "text", drop: t
 
         def run(texts: list) -> list:
             ids = [bpe.encode(t or "") for t in texts]
-            return [ids, [len(x) for x in ids], [bpe.decode(x) == (t or "") for x, t in zip(ids, texts)]]
+            return [_ids(ids), [len(x) for x in ids], [bpe.decode(x) == (t or "") for x, t in zip(ids, texts)]]
 
         return run
 
     fields = [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64()), ("round_trip", "boolean", pa.bool_())]
-    return add_by_text(docs, text_col, make, fields, (*drop, *[name for name, _, _ in fields]))
+    return add_by_text(docs, text_col, make, fields, (*drop, *[name for name, _, _ in fields]), AT_ONCE)
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,4 +206,4 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
         return run
 
     fields = [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
-    return map_texts(docs, id_col, text_col, make, fields)
+    return map_texts(docs, id_col, text_col, make, fields, AT_ONCE)

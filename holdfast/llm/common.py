@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,11 +75,24 @@ def workers_import(spark: SparkSession) -> None:
 Field = tuple[str, str, pa.DataType]
 
 
-def add_by_text(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list], list]], fields: list[Field], drop: tuple[str, ...] = ()) -> DataFrame:
+def _parts(batch: pa.RecordBatch, at: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices with about ``most`` bytes of text each, or whole."""
+    if most is None or not batch.num_rows:
+        yield batch
+        return
+    place = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(at)]) // most
+    starts = np.flatnonzero(np.diff(place, prepend=-1))
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+        yield batch.slice(start, end - start)
+
+
+def add_by_text(
+    docs: DataFrame, text_col: str, make: Callable[[], Callable[[list], list]], fields: list[Field], drop: tuple[str, ...] = (), most: int | None = None
+) -> DataFrame:
     """``docs`` and the ``fields`` (name, Spark type, Arrow type) that a function makes of each batch of texts, where the texts are read.
 
     ``make`` builds that function once per task. Other columns pass by untouched, so large ids and missing values stay what they are; those
-    in ``drop`` end here.
+    in ``drop`` end here. ``most`` bounds the bytes of text that are worked on at once, for functions whose results are larger than the texts.
     """
     workers_import(docs.sparkSession)
     at = docs.columns.index(text_col)
@@ -86,17 +100,20 @@ def add_by_text(docs: DataFrame, text_col: str, make: Callable[[], Callable[[lis
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = make()
-        for batch in batches:
-            made = run(batch.column(at).to_pylist())
-            arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=kind) for x, (_, _, kind) in zip(made, fields, strict=True)]
-            schema = pa.schema([*[batch.schema.field(i) for i in stay], *[(name, kind) for name, _, kind in fields]])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], *arrays], schema=schema)
+        for whole in batches:
+            for batch in _parts(whole, at, most):
+                made = run(batch.column(at).to_pylist())
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=kind) for x, (_, _, kind) in zip(made, fields, strict=True)]
+                schema = pa.schema([*[batch.schema.field(i) for i in stay], *[(name, kind) for name, _, kind in fields]])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], *arrays], schema=schema)
 
     kinds = [f"`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}" for i in stay]
     return docs.mapInArrow(work, ", ".join([*kinds, *[f"{name} {kind}" for name, kind, _ in fields]]))
 
 
-def map_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list], list]], fields: list[Field]) -> DataFrame:
+def map_texts(
+    docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list], list]], fields: list[Field], most: int | None = None
+) -> DataFrame:
     """doc_id and the ``fields`` that a function makes of each batch of texts; see ``add_by_text``."""
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return add_by_text(source, "text", make, fields, drop=("text",))
+    return add_by_text(source, "text", make, fields, ("text",), most)

@@ -43,6 +43,8 @@ MIN_SCRIPT_SHARE = 0.01
 CLIP = 6.0
 SWITCH = 9.0
 CACHE_WORDS = 300_000
+#: Bytes of text whose words a task scores at once; a longer text alone is held whole.
+AT_ONCE = 16_000_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _PLACES = re.compile(r"[^\W\d_]+").finditer
@@ -265,7 +267,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     give equal results; an empty table gives no rows. The model is at most ``MAX_GRAMS`` rows, sent to each executor once. No shuffle.
     """
     make, fields = _labeller(model, docs)
-    return map_texts(docs, id_col, text_col, make, fields)
+    return map_texts(docs, id_col, text_col, make, fields, AT_ONCE)
 
 
 def keep_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang", least_share: float = 0.5) -> DataFrame:
@@ -275,6 +277,6 @@ def keep_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text"
     """
     make, fields = _labeller(model, docs)
     renamed = [(f"_language_{name}", kind, arrow) for name, kind, arrow in fields]
-    found = add_by_text(docs, text_col, make, renamed).where((F.col("_language_lang_pred") != UNDETERMINED) & (F.col("_language_share") >= least_share))
+    found = add_by_text(docs, text_col, make, renamed, most=AT_ONCE).where((F.col("_language_lang_pred") != UNDETERMINED) & (F.col("_language_share") >= least_share))
     filled = F.coalesce(F.col(lang_col), F.col("_language_lang_pred")).alias(lang_col)
     return found.select(*[filled if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
