@@ -24,9 +24,9 @@ CODES = 256
 ROUNDS = 8
 #: Rows of a list that meet in one task on either side; longer lists are split into blocks, and the blocks meet in pairs.
 BLOCK = 2048
-#: How far beyond the plane between two lists links are looked for, in standard deviations: one in 30,000 of the pairs that lie on
-#: the limit and in those two lists would be missed. None looks as far as geometry allows, and misses none.
-SPREAD: float | None = 4.0
+#: How far beyond the plane between two lists links are looked for. None looks as far as geometry allows, and misses none whatever the data. A
+#: number looks that many standard deviations far, and misses pairs where differences point in some directions more than in others.
+SPREAD: float | None = None
 _SLACK = 1e-7
 
 
@@ -78,13 +78,13 @@ class Index:
             rest[:, c] -= book[codes[:, k]]
         return lists, codes, np.sqrt((rest**2).sum(1))
 
-    def probes(self, units: np.ndarray, radius: float, spread: float | None = SPREAD) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, units: np.ndarray, radius: float, spread: float | None = SPREAD, homes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) for every list that can hold a vector within ``radius``.
 
         A vector of list c lies on c's side of the plane half-way between c and the row's own centroid; the row's distance
         to that plane is (d_c^2 - d_own^2) / (2 |c - own|). Lists beyond ``radius`` hold nothing, whatever the data; these probes are sufficient without
         ``spread``. A difference of that length that points nowhere in particular crosses the plane by radius / sqrt(dim) as a standard
-        deviation, and ``spread`` of those are looked at.
+        deviation, and ``spread`` of those are looked at. ``homes`` are the rows' own lists, where they are known.
         """
         if spread is not None:
             radius = min(radius, spread * radius / np.sqrt(units.shape[1]))
@@ -93,7 +93,7 @@ class Index:
         step = max(1, 4_000_000 // len(self.centres))
         for start in range(0, len(units), step):
             d = _squares(units[start : start + step], self.centres)
-            own = d.argmin(1)
+            own = d.argmin(1) if homes is None else homes[start : start + step]
             at = np.arange(len(d))
             reach = d - d[at, own][:, None] <= 2 * (radius + _SLACK) * apart[own] + _SLACK
             reach[at, own] = True
@@ -102,23 +102,45 @@ class Index:
             lists.append(c)
         return np.concatenate(rows), np.concatenate(lists)
 
-    def near(self, queries: np.ndarray, units: np.ndarray, number: int, codes: np.ndarray, errors: np.ndarray, radius: float, least: float):
-        """Pairs (query, row of list ``number``) whose cosine is at least ``least``.
+    def here(self, queries: np.ndarray, homes: np.ndarray, units: np.ndarray, number: int) -> np.ndarray:
+        """Whether pairs (query of list ``homes``, row of list ``number``) count in list ``number``: where the middle of the pair is nearer to its centroid.
 
-        Distances to the codes come from one table per part. A real distance differs from that to the code by the code's error at most, so
+        The middle of a pair within ``radius`` is half of that away from either row. So the row whose list does not have the middle is within
+        radius / 2 of the plane between the two lists, and probes of radius / 2 by both rows find every pair. Both lists work with the same numbers in the same order,
+        so exactly one of them counts the pair.
+        """
+        low, high = np.minimum(homes, number), np.maximum(homes, number)
+        norms = (self.centres**2).sum(1)
+        at_low = ((queries + units) * (self.centres[low] - self.centres[high])).sum(1) >= norms[low] - norms[high]
+        return at_low == (low == number)
+
+    def near(self, queries: np.ndarray, units: np.ndarray, number: int, codes: np.ndarray, errors: np.ndarray, radius: float, least: float, homes: np.ndarray | None = None):
+        """Pairs (query, row of list ``number``) whose cosine is at least ``least``; with ``homes``, the lists of the queries, those that count ``here``.
+
+        Distances to the codes come from the vectors that they stand for, by one product of matrices for some queries at a time. A real distance differs from that to the code by the code's error at most, so
         nothing is lost by dropping pairs whose coded distance is above radius + error.
         """
+        homes = np.full(len(queries), number) if homes is None else homes
         rest = queries - self.centres[number]
-        coded = np.zeros((len(queries), len(units)))
+        decoded = np.empty((len(units), units.shape[1]))
         for k, (c, book) in enumerate(zip(self.columns, self.books)):
-            coded += _squares(rest[:, c], book)[:, codes[:, k]]
-        i, j = np.nonzero(np.sqrt(coded) <= radius + errors + _SLACK)
-        good = []
-        for start in range(0, len(i), 100_000):
-            part = slice(start, start + 100_000)
-            good.append(np.einsum("ij,ij->i", queries[i[part]], units[j[part]]) >= least)
-        keep = np.concatenate(good) if good else np.zeros(0, bool)
-        return i[keep], j[keep]
+            decoded[:, c] = book[codes[:, k]]
+        limits = (radius + errors + _SLACK) ** 2
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, 4_000_000 // max(1, len(units)))
+        for first in range(0, len(rest), step):
+            i, j = np.nonzero(_squares(rest[first : first + step], decoded) <= limits)
+            for start in range(0, len(i), 100_000):
+                x, y = i[start : start + 100_000] + first, j[start : start + 100_000]
+                keep = np.einsum("ij,ij->i", queries[x], units[y]) >= least
+                x, y = x[keep], y[keep]
+                # Pairs of one list are found there alone.
+                apart = np.flatnonzero(homes[x] != number)
+                keep = np.ones(len(x), bool)
+                keep[apart] = self.here(queries[x[apart]], homes[x[apart]], units[y[apart]], number)
+                left.append(x[keep])
+                right.append(y[keep])
+        return np.concatenate(left), np.concatenate(right)
 
 
 def _units(values: np.ndarray) -> np.ndarray:
@@ -142,8 +164,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     are compared once and count with all their ids. Rows with equal id and vector are one vector; ids with several vectors get the sum of their links. A
     missing id is a row without links. Other columns are not read. An empty table gives no rows.
 
-    Links are looked for in every list that can hold them, see ``Index.probes``; limits on coded distances lose nothing, and what they let pass is checked
-    exactly. With ``spread`` None all links are found, whatever the data. Rows go to the lists they can have links in; a list that is longer than ``BLOCK`` is split into blocks on both sides,
+    Links are looked for in every list that can hold them, see ``Index.probes`` and ``Index.here``; limits on coded distances lose nothing, and what they let pass is checked
+    exactly. All links are found, whatever the data, unless ``spread`` is given. Rows go to the lists they can have links in; a list that is longer than ``BLOCK`` is split into blocks on both sides,
     so a list that holds a third of all vectors is many tasks. Pairs are counted where they are found and never written.
     """
     spark = vectors.sparkSession
@@ -181,9 +203,9 @@ def _links(reps: DataFrame, count: int, dim: int, least: float, spread: float |
     got = got[np.lexsort(got.T[::-1])]  # an order of its own, whichever task came first
     got = _units(got)
     # Probes are a share of the lists that falls slowly with their number: more lists spare comparisons and copy rows more often.
-    lists = max(1, min(MAX_LISTS, round(count**0.4), len(got)))
+    lists = max(1, min(MAX_LISTS, round(count**0.35), len(got)))
     index = spark.sparkContext.broadcast(Index.fit(got, lists))
-    schema = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary()), ("list", pa.int32()), ("own", pa.bool_()), ("first", pa.bool_()), ("codes", pa.binary()), ("error", pa.float64())])
+    schema = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary()), ("home", pa.int32()), ("lists", pa.list_(pa.int32())), ("codes", pa.binary()), ("error", pa.float64())])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,42 +215,39 @@ def _links(reps: DataFrame, count: int, dim: int, least: float, spread: float |
             values = _units(raw)
             for start in range(0, len(values), 2_000):
                 units = np.ascontiguousarray(values[start : start + 2_000])
-                own, codes, errors = index.value.encode(units)
-                row, to = index.value.probes(units, radius, spread)
-                # A pair of two lists is found once, by the row of the later list.
-                keep = to <= own[row]
-                row, to = row[keep], to[keep]
-                # Each row once as part of its own list, then once for every list it asks.
-                place = np.concatenate([np.arange(len(units)), row])
+                homes, codes, errors = index.value.encode(units)
+                row, to = index.value.probes(units, radius / 2, spread, homes)
+                ends = np.cumsum(np.bincount(row, minlength=len(units)))
                 # As narrow as the numbers allow: they travel as they came and are scaled again where they meet.
                 given = raw[start : start + 2_000]
                 narrow = given.astype(np.float32)
-                data = [v.tobytes() for v in (narrow if (narrow == given).all() else given)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(start, len(units)).take(pa.array(place)),
-                        batch.column(1).slice(start, len(units)).take(pa.array(place)),
-                        pa.array([data[i] for i in place], pa.binary()),
-                        pa.array(np.concatenate([own, to]), pa.int32()),
-                        pa.array(np.concatenate([np.ones(len(units), bool), to == own[row]])),
-                        pa.array(np.arange(len(place)) < len(units)),
-                        pa.array([codes[i].tobytes() if n < len(units) else b"" for n, i in enumerate(place)], pa.binary()),
-                        pa.array([errors[i] if n < len(units) else 0.0 for n, i in enumerate(place)], pa.float64()),
+                        batch.column(0).slice(start, len(units)),
+                        batch.column(1).slice(start, len(units)),
+                        pa.array([v.tobytes() for v in (narrow if (narrow == given).all() else given)], pa.binary()),
+                        pa.array(homes, pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(to, pa.int32())),
+                        pa.array([c.tobytes() for c in codes], pa.binary()),
+                        pa.array(errors),
                     ],
                     schema=schema,
                 )
 
-    routed = reps.select("rep", "copies", "v").mapInArrow(
-        route, "rep bigint, copies bigint, vector binary, list int, own boolean, first boolean, codes binary, error double"
-    )
-    routed = stored(routed, "lists")
+    coded = reps.select("rep", "copies", "v").mapInArrow(route, "rep bigint, copies bigint, vector binary, home int, lists array<int>, codes binary, error double")
+    # Written once for each row; copies are made where they are dealt out.
+    coded = stored(coded, "lists")
+    held = coded.select("rep", "copies", "vector", "home", F.col("home").alias("list"), F.lit(True).alias("first"), "codes", "error")
+    asking = coded.select("rep", "copies", "vector", "home", F.explode("lists").alias("list"), F.lit(False).alias("first"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
+    # Each row once as part of its own list, then once for every list it asks.
+    routed = held.unionAll(asking)
     # One row per list: MAX_LISTS at most.
     sizes = routed.groupBy("list").agg(F.count_if("first").alias("rows"), F.count_if(~F.col("first")).alias("asks"))
     blocks = sizes.select("list", F.ceil(F.greatest("rows", F.lit(1)) / BLOCK).cast("int").alias("row_blocks"), F.ceil(F.greatest("asks", F.lit(1)) / BLOCK).cast("int").alias("ask_blocks"))
     placed = routed.join(F.broadcast(blocks), "list")
     mine = F.pmod(F.xxhash64("rep", "list"), F.when(F.col("first"), F.col("row_blocks")).otherwise(F.col("ask_blocks"))).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("first"), F.col("ask_blocks")).otherwise(F.col("row_blocks")) - 1))
-    placed = placed.select("rep", "copies", "vector", "list", "own", "first", "codes", "error", mine.alias("mine"), others.alias("other"))
+    placed = placed.select("rep", "copies", "vector", "list", "home", "first", "codes", "error", mine.alias("mine"), others.alias("other"))
     placed = placed.select("*", F.when(F.col("first"), F.col("mine")).otherwise(F.col("other")).alias("x"), F.when(F.col("first"), F.col("other")).otherwise(F.col("mine")).alias("q"))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
@@ -238,15 +257,16 @@ def _links(reps: DataFrame, count: int, dim: int, least: float, spread: float |
             return none
         units, queries = _units(_unpacked(held["vector"], dim)), _units(_unpacked(asked["vector"], dim))
         codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1)
-        i, j = index.value.near(queries, units, int(held["list"].iloc[0]), codes, held["error"].to_numpy(), radius, least)
+        number, homes = int(held["list"].iloc[0]), asked["home"].to_numpy()
+        i, j = index.value.near(queries, units, number, codes, held["error"].to_numpy(), radius, least, homes)
         of_q, of_x = asked["rep"].to_numpy(), held["rep"].to_numpy()
         other = of_q[i] != of_x[j]
         i, j = i[other], j[other]
         if not len(i):
             return none
-        own = asked["own"].to_numpy()[i]
+        own = homes[i] == number
         n_q = np.bincount(i, held["copies"].to_numpy()[j], minlength=len(asked))
-        # Within one list both rows of a pair ask; across lists only the later one does, and counts for both.
+        # Within one list both rows of a pair ask; across lists they count once, for both.
         n_x = np.bincount(j[~own], asked["copies"].to_numpy()[i[~own]], minlength=len(held))
         low = forest(np.concatenate([of_q, of_x]), (i, j + len(asked)))
         n = np.concatenate([n_q, n_x]).astype(np.int64)

@@ -196,3 +196,25 @@ def test_probes_and_codes_lose_nothing(spread):
     want = set(zip(*(x.tolist() for x in np.nonzero(points @ points.T >= 0.95))))
     assert found == want
     assert len(rows) < 20 * len(points)
+
+
+def stretched(rng, kind, rows=700, dim=32):
+    """Vectors near a few directions only, and each with a partner at a cosine just above 0.95."""
+    scales = np.where(np.arange(dim) < 3, 1.0, 0.0) if kind == "low rank" else 0.6 ** np.arange(dim)
+    base = rng.normal(size=(rows, dim)) * scales
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    way = rng.normal(size=(rows, dim)) * scales
+    way -= (way * base).sum(1, keepdims=True) * base
+    way /= np.linalg.norm(way, axis=1, keepdims=True)
+    return np.concatenate([base, 0.951 * base + np.sqrt(1 - 0.951**2) * way])
+
+
+@pytest.mark.parametrize("kind", ["low rank", "decaying spectrum"])
+def test_no_link_is_lost_where_differences_share_directions(spark, kind, monkeypatch):
+    fit = Index.fit.__func__
+    monkeypatch.setattr(Index, "fit", classmethod(lambda cls, sample, lists, seed=5: fit(cls, sample, 60, seed)))
+    points = stretched(np.random.default_rng(4), kind)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    units = points / np.linalg.norm(points, axis=1, keepdims=True)
+    assert [got[i] for i in range(len(points))] == ((units @ units.T >= 0.95).sum(1) - 1).tolist()
