@@ -18,14 +18,14 @@ WORDS = 5
 LEAST = 0.8
 #: Minima that stand for a set. Two sets share each of them with a chance equal to their similarity.
 MINIMA = 64
-#: A pair as alike as ``LEAST`` is to meet in some bucket with this chance, which sets the number of runs.
+#: A pair as alike as ``LEAST`` is to become a candidate with this chance, whatever the size of its buckets; this sets the number of runs.
 RECALL = 0.9999
 #: Buckets up to this size are compared at once; larger ones are split two levels deeper, and then in blocks of this size.
 BUCKET = 128
 #: Sets of a group of candidates that meet in one task, on either side.
 BLOCK = 128
-#: Pairs in a bucket whose sketches agree this much are candidates: four standard errors below ``LEAST``.
-SKETCH = LEAST - 4 * math.sqrt(LEAST * (1 - LEAST) / MINIMA)
+#: Pairs in a bucket whose sketches agree this much are candidates: five standard errors below ``LEAST``.
+SKETCH = LEAST - 5 * math.sqrt(LEAST * (1 - LEAST) / MINIMA)
 CACHE_WORDS = 400_000
 
 _WORDS = re.compile(r"\w+").findall
@@ -40,16 +40,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def lost(levels: int, alike: float = LEAST) -> float:
-    """The chance that a pair shares no bucket of one run: a node has one child, or two in a quarter of the cases."""
+    """The chance that a pair with this share of equal minima shares no bucket of one run: a node has one child, or two different ones in a quarter of the cases."""
+    other = alike * (alike * MINIMA - 1) / (MINIMA - 1)  # both of two places are equal
     gone = 0.0
     for _ in range(levels):
-        kept = alike * (1 - gone)
-        gone = 0.75 * (1 - kept) + 0.25 * (1 - kept) ** 2
+        one = 1 - alike * (1 - gone)
+        two = 1 - 2 * alike + other + 2 * (alike - other) * gone + other * gone**2
+        gone = 0.75 * one + 0.25 * two
     return gone
 
 
-def runs_for(recall: float, levels: int = 2) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(lost(levels)))
+def missed(runs: int, levels: int = 4) -> float:
+    """The chance that a pair exactly as alike as ``LEAST`` is no candidate: its sketches agree too little, or no run has it in one bucket.
+
+    All runs draw from the same minima, so they are independent only for a given number of equal ones.
+    """
+    total = 0.0
+    for equal in range(MINIMA + 1):
+        chance = math.comb(MINIMA, equal) * LEAST**equal * (1 - LEAST) ** (MINIMA - equal)
+        total += chance * (lost(levels, equal / MINIMA) ** runs if equal / MINIMA >= SKETCH else 1.0)
+    return total
+
+
+def runs_for(recall: float, levels: int = 4) -> int:
+    """Runs that give this recall, by default for pairs whose buckets are all large."""
+    if missed(10_000, levels) > 1 - recall:
+        raise ValueError(f"{MINIMA} minima do not reach a recall of {recall}.")
+    return next(runs for runs in range(1, 10_000) if missed(runs, levels) <= 1 - recall)
 
 
 class _Hashes(dict):
@@ -326,7 +343,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Similarity is the Jaccard coefficient of the sets of five-word shingles of whole texts. A set is stood for by ``MINIMA`` minhashes. In each run a document follows the
     paths of a tree whose nodes pick minhashes; documents with the same path meet. Buckets of up to ``BUCKET`` sets are compared at once, larger ones two levels deeper; what is
-    still large shares nearly everything: members that are like one of them are joined by it, and the others are compared with all, in blocks. The number of runs follows from ``RECALL``. Candidates form
+    still large shares nearly everything: members that are like one of them are joined by it, and the others are compared with all, in blocks. The number of runs follows from ``RECALL``, see ``missed``. Candidates form
     groups, and within a group all whole sets are compared, so a link that no bucket showed is found too where the group was.
 
     Documents with equal sets are one class: compared once, counted with all their ids. A missing text, or one without words, links with nothing; texts of fewer

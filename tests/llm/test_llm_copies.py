@@ -127,6 +127,23 @@ def test_runs_follow_from_the_recall():
     assert (jaccard.lost(2) ** runs_for(0.9999)) <= 1e-4
 
 
+def test_pairs_in_large_buckets_are_candidates():
+    rng = np.random.default_rng(6)
+    pairs = 20_000
+    low = rng.integers(0, 2**32, (2 * pairs, jaccard.MINIMA), dtype=np.uint32)
+    equal = rng.random((pairs, jaccard.MINIMA)) < jaccard.LEAST
+    low[1::2][equal] = low[::2][equal]
+    doc, _, above, deep = jaccard.paths(low, runs_for(jaccard.RECALL))
+    seen = np.unique(np.stack([doc[above].astype(np.uint64), deep]), axis=1)
+    _, times = np.unique(np.stack([seen[0] // np.uint64(2), seen[1]]), axis=1, return_counts=True)
+    owner = np.unique(np.stack([seen[0] // np.uint64(2), seen[1]]), axis=1)[0]
+    met = np.zeros(pairs, bool)
+    met[owner[times == 2].astype(int)] = True
+    met &= (low[::2].astype(np.uint8) == low[1::2].astype(np.uint8)).mean(axis=1) >= jaccard.SKETCH
+    # Two are expected at a recall of 0.9999.
+    assert (~met).sum() <= 8
+
+
 def test_shingles_do_not_depend_on_case_or_marks():
     known = jaccard._Hashes()
     assert (shingles("The quick, brown FOX jumps over", known) == shingles("the QUICK brown fox; jumps over!", known)).all()
