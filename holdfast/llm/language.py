@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import add_by_text, labelled_sample, map_texts
+from holdfast.llm.common import add_by_text, map_texts
 
 #: First and last code point of the scripts that narrow the candidates.
 SCRIPTS = (
@@ -33,8 +33,9 @@ SCRIPTS = (
     ("hangul", 0xAC00, 0xD7AF),
 )
 UNDETERMINED = "und"
-#: Documents that the model learns from, at most; and the size of its tables.
+#: About so many documents are learned from, and of each language about ``LANG_DOCS`` where it has them; and the size of the model's tables.
 SAMPLE_DOCS = 8_000
+LANG_DOCS = 200
 MAX_GRAMS = 60_000
 MAX_LANGS = 256
 #: A language must have this share of its letters in a script to be a candidate there.
@@ -67,26 +68,36 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id", limit: int = SAMPLE_DOCS) -> LanguageModel:
-    """Learn from the rows with a language and a text; from some ``limit`` of them if there are more.
+    """Learn from the rows with a language and a text; from some ``limit`` of them if there are more, and from ``LANG_DOCS`` of each language at least.
 
-    The counts are made in Spark; the driver gets the ``MAX_GRAMS`` most frequent letter triples for ``MAX_LANGS`` languages at most.
+    Rows with the smallest hashes of ``key`` are taken, so reruns and retries agree. The counts are made in Spark; the driver gets ``MAX_GRAMS`` letter
+    triples: the most frequent of each language first, then the most frequent of all; for ``MAX_LANGS`` languages, those with most rows.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = labelled_sample(rows, key, limit, [lang_col, text_col]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    total = rows.count()
+    sizes = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    part_of = {r["lang"]: min(1.0, max(limit / total, LANG_DOCS / r["n"])) for r in sizes.collect()}
+    if part_of:
+        # Missing for languages that are not learned.
+        taken = F.create_map(*[F.lit(x) for name, share in part_of.items() for x in (name, int(share * 1_000_000_000))])[F.col(lang_col)]
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000_000)) < taken)
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     places = F.sequence(F.lit(1), F.length("word"))
     triples = counted.select("lang", "n", padded.alias("p"), F.explode(places).alias("i"))
     counts = triples.groupBy(F.expr("substring(p, i, 3)").alias("gram"), "lang").agg(F.sum("n").alias("n"))
-    by_gram = counts.groupBy("gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    found = by_gram.orderBy(F.desc("total"), "gram").limit(MAX_GRAMS).collect()
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
+    by_gram = ranked.groupBy("gram").agg(F.sum("n").alias("total"), F.min("rank").alias("rank"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    own = F.col("rank") <= MAX_GRAMS // max(1, len(part_of))
+    found = by_gram.orderBy(F.desc(own), F.desc("total"), "gram").limit(MAX_GRAMS).collect()
 
-    of_lang: dict[str, int] = {}
+    of_lang: dict[str, float] = {}
     for row in found:
         for x in row["by"]:
-            of_lang[x["lang"]] = of_lang.get(x["lang"], 0) + x["n"]
-    langs = sorted(of_lang, key=lambda name: (-of_lang[name], name))[:MAX_LANGS]
+            of_lang[x["lang"]] = of_lang.get(x["lang"], 0) + x["n"] / part_of[x["lang"]]
+    langs = sorted(of_lang, key=lambda name: (-of_lang[name], name))
     place = {name: i for i, name in enumerate(langs)}
     table = np.zeros((len(found) + 1, len(langs)))
     scripts: dict[str, np.ndarray] = {}
@@ -100,7 +111,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     sums = table.sum(axis=0)
     logs = np.log((table + 0.5) / (sums + 0.5 * len(table))).astype(np.float32)
     allowed = {name: shares / np.maximum(sums, 1) >= MIN_SCRIPT_SHARE for name, shares in scripts.items()}
-    prior = np.log(np.maximum(sums, 1) / max(sums.sum(), 1)).astype(np.float32) if langs else np.zeros(0, np.float32)
+    # As frequent as in the table, not as in the sample.
+    whole = sums / np.array([part_of[name] for name in langs])
+    prior = np.log(np.maximum(whole, 1) / max(whole.sum(), 1)).astype(np.float32) if langs else np.zeros(0, np.float32)
     return LanguageModel(langs, {row["gram"]: i for i, row in enumerate(found)}, logs, allowed, prior)
 
 

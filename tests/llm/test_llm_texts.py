@@ -76,6 +76,20 @@ def test_language_scripts_narrow(spark):
     assert got == {1: "ru", 2: "en", 3: "en"}
 
 
+def test_a_rare_language_is_learned_from_a_large_table(spark, monkeypatch):
+    rng = random.Random(8)
+    hot = ["".join(rng.choices("abcdefghijklm", k=6)) for _ in range(3_000)]
+    rows = [(i, " ".join(hot[:5] * 8 + rng.choices(hot, k=5)), "hot") for i in range(1_500)]
+    rows += [(9_000 + i, "zzyx wuzz yzzu xuzy", "rare") for i in range(2)]
+    monkeypatch.setattr(language, "MAX_GRAMS", 400)
+    docs = docs_of(spark, rows)
+    model = language.fit(docs, limit=50)
+    assert sorted(model.langs) == ["hot", "rare"] and "zzy" in model.grams and len(model.grams) == 400
+    assert model.prior[model.langs.index("rare")] < np.log(0.01)
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
+    assert found[9_000] == found[9_001] == "rare" and sum(x == "hot" for x in found.values()) == 1_500
+
+
 def test_best_paths_are_best():
     rng = np.random.default_rng(4)
     scores, prior = -rng.random((30, 3)).astype(np.float32) * 5, np.zeros(3, np.float32)
