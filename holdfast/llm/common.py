@@ -42,10 +42,16 @@ def remainder(id_column: str, modulus: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written to the shared working folder and read again: later steps start from files, not from lineage."""
+def stored(df: DataFrame, purpose: str, group_bytes: int | None = None) -> DataFrame:
+    """``df`` written to the shared working folder and read again: later steps start from files, not from lineage.
+
+    ``group_bytes`` is for rows of a megabyte or so: writers and readers then hold about that much at once, not their usual number of rows.
+    """
     path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    writer = df.write
+    if group_bytes:
+        writer = writer.option("parquet.block.size", str(group_bytes)).option("parquet.block.size.row.check.min", "2").option("parquet.page.size.row.check.min", "2")
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -18,13 +18,15 @@ from holdfast.llm.common import _parts, stored, workers_import
 
 WINDOW = 10
 #: Bytes of text in a segment of the index; a longer text is a segment of its own.
-SEGMENT = 4_000_000
+SEGMENT = 1_000_000
+#: Bytes of the index that a reader holds at once.
+ROW_GROUP = 16_000_000
 #: Positions left free between two documents of a segment, so that no match reaches from one into the next.
 GAP = 64
 #: Windows of test items that a task holds at once. More are dealt in blocks, each a pass over the index.
 BLOCK = 100_000
 #: Candidate places that are intersected at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 500_000
 _SHIFT = 32
 
 
@@ -98,7 +100,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 lists = {"ids": pa.int64(), "lengths": pa.int64(), "terms": pa.string(), "ends": pa.int64()}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.list_(lists[k])) if k in lists else pa.array(v) for k, v in row.items()})
 
-    return stored(source.mapInArrow(work, _SEGMENTS), "postings")
+    return stored(source.mapInArrow(work, _SEGMENTS), "postings", ROW_GROUP)
 
 
 @dataclass
@@ -190,7 +192,7 @@ def windows_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _parts(whole, 1, SEGMENT // 100):
+            for batch in _parts(whole, 1, 10_000):
                 words, lengths = words_of(batch.column(1))
                 words = words.to_pylist()
                 ids, out, end = batch.column(0).to_pylist(), [], 0
