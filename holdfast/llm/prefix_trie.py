@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from holdfast.llm.common import WORD, stored, text_of, workers_import
+from holdfast.operators.joins import join_unique
 
 #: Rows of the sketch, and cells in each at most: three bitmaps of 8 MB are what a task holds. With many more prefixes than cells more of them look shared and are shuffled;
 #: the groups are exact whatever the sketch says.
@@ -217,7 +218,10 @@ def trie(convs: DataFrame, turns: DataFrame, cells: int | None = None) -> DataFr
 
     # Single nodes: all is known here but the parent's smallest member, where the parent is shared.
     inner = single.where("NOT parent_shared OR pos = 0").withColumn("parent_rep", F.when(F.col("pos") > 0, F.col("conv_id")))
-    rim = single.where("parent_shared AND pos > 0").join(parents, below)
+    # A prefix that many share may have many children: its rows are spread.
+    parent = F.struct("parent1", "parent2", "pos")
+    rim = single.where("parent_shared AND pos > 0").withColumn("key", parent)
+    rim = join_unique(rim, parents.select(parent.alias("key"), "parent_rep"), "key")
     ends_here = F.col("pos") == F.col("length")
     def nodes(found: DataFrame) -> DataFrame:
         return found.select(
@@ -233,7 +237,9 @@ def trie(convs: DataFrame, turns: DataFrame, cells: int | None = None) -> DataFr
     children = children.select(F.col("parent1").alias("p1"), F.col("parent2").alias("p2"), (F.col("pos") - 1).alias("pos"), "n_children")
 
     # Where each conversation begins to stand for its prefixes: with the first group of which it is the smallest member, or the first single one.
-    placed = stored(shared.join(groups.select(*node, "rep"), node).join(children, node, "left"), "placed")
+    key = F.struct(*node).alias("key")
+    known = groups.join(children, node, "left").select(key, "rep", "n_children")
+    placed = stored(join_unique(shared.withColumn("key", key), known, "key", counts=groups.select(key, F.col("n_convs").alias("_rows"))).drop("key"), "placed")
     stands = placed.where("rep = conv_id").select("conv_id", "pos", F.col("so_far") - F.col("words")).unionAll(single.select("conv_id", "pos", F.col("so_far") - F.col("words"))).toDF("conv_id", "from_pos", "before")
     whole = placed.where(ends_here).select("conv_id", (F.col("rep") == F.col("conv_id")) & F.col("n_children").isNull(), "so_far").toDF("conv_id", "is_leaf", "all")
     tails = single.where(ends_here).select("conv_id", F.lit(True), "so_far").toDF("conv_id", "is_leaf", "all")
