@@ -1,10 +1,10 @@
-"""Tail probabilities as column expressions; evaluated on one row per test."""
+"""Tail probabilities, evaluated on one row per test."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SERIES_TERMS = 100
@@ -57,44 +57,37 @@ def _polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
     return value
 
 
-def _sum_tail(x: Column, dof: Column) -> Column:
-    """Upper gamma ratio of a half-integer as a finite sum: start from exp(-x) or erfc(sqrt x) and add x^a e^-x / Gamma(a + 1)
-    for a below dof / 2. With so few degrees the exponential is zero only where the tail is."""
-    even = dof % 2 == 0
-    first_a = F.when(even, 1.0).otherwise(0.5)
+def with_chi_square_tail(df: DataFrame, statistic: str, dof: str, output: str) -> DataFrame:
+    """``df`` with P(X > statistic) for a chi-square with whole ``dof``; 1 when dof is 0. The work does not depend on ``dof``.
+
+    With few degrees, the upper gamma ratio is a finite sum: start from exp(-x) or erfc(sqrt x) and add x^a e^-x / Gamma(a + 1) for a below dof / 2; the
+    exponential is then zero only where the tail is. With many, it is erfc of a transformed distance from the mean, and two terms of the correction. Every value that is
+    used again is a column of its own, so the planner keeps it apart and computes it once.
+    """
+    x, k, few, even, a = (F.col(f"_{n}") for n in ("x", "k", "few", "even", "a"))
+    step, half_square, eta, erfc = (F.col(f"_{n}") for n in ("step", "half_square", "eta", "erfc"))
+    out = df.withColumns({"_x": F.col(statistic) / 2.0, "_k": F.col(dof).cast("bigint")})
+    out = out.withColumns({"_few": k <= _SUM_DEGREES, "_even": k % 2 == 0, "_a": F.greatest(k, F.lit(1)).cast("double") / 2.0})
+    out = out.withColumn("_step", x / a - 1.0)
+    # step - ln(1 + step), which cancels near zero, from its own series there.
+    near = step * step * (0.5 - step / 3.0 + step * step / 4.0 - step * step * step / 5.0 + F.pow(step, F.lit(4)) / 6.0 - F.pow(step, F.lit(5)) / 7.0)
+    out = out.withColumn("_half_square", F.when(F.abs(step) < 0.005, near).otherwise(step - F.log1p(step)))
+    out = out.withColumn("_eta", F.signum(step) * F.sqrt(2.0 * half_square))
+    out = out.withColumn("_z", F.when(few, F.sqrt(F.greatest(x, F.lit(0.0)))).otherwise(F.abs(eta) * F.sqrt(a / 2.0)))
+    out = out.withColumn("_erfc", _erfc(F.col("_z")))
+
     first_term = F.when(even, x * F.exp(-x)).otherwise(F.sqrt(x) * F.exp(-x) * (2.0 / math.sqrt(math.pi)))
-    base = F.when(even, F.exp(-x)).otherwise(_erfc(F.sqrt(x)))
-    steps = F.least(F.when(even, dof / 2 - 1).otherwise((dof - 1) / 2), F.lit(_SUM_DEGREES)).cast("int")
+    steps = F.when(few, F.when(even, k / 2 - 1).otherwise((k - 1) / 2)).otherwise(0).cast("int")
     summed = F.aggregate(
         F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")),
-        F.struct(first_term.alias("term"), F.lit(0.0).alias("total"), first_a.alias("a")),
-        lambda acc, i: F.struct(
-            (acc.term * x / (acc.a + 1.0)).alias("term"), (acc.total + acc.term).alias("total"), (acc.a + 1.0).alias("a")
-        ),
+        F.struct(first_term.alias("term"), F.lit(0.0).alias("total"), F.when(even, 1.0).otherwise(0.5).alias("a")),
+        lambda acc, i: F.struct((acc.term * x / (acc.a + 1.0)).alias("term"), (acc.total + acc.term).alias("total"), (acc.a + 1.0).alias("a")),
         lambda acc: acc.total,
     )
-    return base + summed
-
-
-def _uniform_tail(x: Column, dof: Column) -> Column:
-    """Upper gamma ratio for many degrees: erfc of a transformed distance from the mean, and two terms of the correction."""
-    a = dof.cast("double") / 2.0
-    step = x / a - 1.0
-    # step - ln(1 + step), which cancels near zero, from its own series there.
-    near = step * step * (0.5 - step / 3.0 + step * step / 4.0 - step * step * step / 5.0 + F.pow(step, F.lit(4)) / 6.0 - F.pow(step, F.lit(5)) / 7.0)
-    half_square = F.when(F.abs(step) < 0.005, near).otherwise(step - F.log1p(step))
-    eta = F.signum(step) * F.sqrt(2.0 * half_square)
     first = F.when(F.abs(eta) < 0.2, _polynomial(eta, _FIRST_TERM)).otherwise(1.0 / step - 1.0 / eta)
-    second = F.when(F.abs(eta) < 0.2, _polynomial(eta, _SECOND_TERM)).otherwise(
-        F.pow(eta, F.lit(-3)) - F.pow(step, F.lit(-3)) - F.pow(step, F.lit(-2)) - 1.0 / (12.0 * step)
-    )
-    z = F.abs(eta) * F.sqrt(a / 2.0)
-    main = F.when(eta >= 0, _erfc(z) / 2.0).otherwise(1.0 - _erfc(z) / 2.0)
-    return main + F.exp(-a * half_square) / F.sqrt(2.0 * math.pi * a) * (first + second / a)
-
-
-def chi_square_tail(statistic: Column, dof: Column) -> Column:
-    """P(X > statistic) for a chi-square with whole ``dof``; 1 when dof is 0. The work does not depend on ``dof``."""
-    x = statistic / 2.0
-    tail = F.when(dof <= _SUM_DEGREES, _sum_tail(x, dof)).otherwise(_uniform_tail(x, dof))
-    return F.when(dof <= 0, 1.0).when(x <= 0, 1.0).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
+    second = F.when(F.abs(eta) < 0.2, _polynomial(eta, _SECOND_TERM)).otherwise(F.pow(eta, F.lit(-3)) - F.pow(step, F.lit(-3)) - F.pow(step, F.lit(-2)) - 1.0 / (12.0 * step))
+    main = F.when(eta >= 0, erfc / 2.0).otherwise(1.0 - erfc / 2.0)
+    uniform = main + F.exp(-a * half_square) / F.sqrt(2.0 * math.pi * a) * (first + second / a)
+    tail = F.when(few, F.when(even, F.exp(-x)).otherwise(erfc) + summed).otherwise(uniform)
+    bounded = F.when((k <= 0) | (x <= 0), 1.0).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
+    return out.select(*df.columns, bounded.alias(output))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast.config import DriftSettings
 from holdfast.functions.scalars import number_column
-from holdfast.functions.stats import chi_square_tail, kolmogorov_tail
+from holdfast.functions.stats import kolmogorov_tail, with_chi_square_tail
 from holdfast.operators.features import long_rows, long_text, names_frame
 from holdfast.operators.ordering import collapse, running_totals
 
@@ -88,8 +88,8 @@ def categorical_drift(sides: DataFrame, features: Sequence[str], s: DriftSetting
             F.max("reference_n").alias("reference_n"),
             F.max("current_n").alias("current_n"),
         )
-        .withColumn("p", chi_square_tail(F.col("statistic"), F.col("dof")))
     )
+    tests = with_chi_square_tail(tests, "statistic", "dof", "p")
     return _result(tests, "categorical", "chisquare", s.p_value_threshold, F.col("p") < s.p_value_threshold, s)
 
 

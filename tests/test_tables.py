@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from holdfast.config import DEFAULT_STEPS, FeatureSettings
 from holdfast.functions import scalars as S
-from holdfast.functions.stats import chi_square_tail, kolmogorov_tail
+from holdfast.functions.stats import kolmogorov_tail, with_chi_square_tail
 from holdfast.operators import alignment, drift, explore, features, naming, quality, validation
+from holdfast.plans.drift_queries import CHI_TAIL
 
 GOOD = {
     "customerID": "K-0417", "gender": "Male", "SeniorCitizen": "0", "Partner": "No", "Dependents": "Yes", "tenure": "12",
@@ -180,7 +181,7 @@ def test_categorical_drift(spark):
 
 def test_tail_probabilities(spark):
     def chi(x, dof):
-        return spark.range(1).select(chi_square_tail(F.lit(float(x)), F.lit(dof))).first()[0]
+        return with_chi_square_tail(spark.createDataFrame([(float(x), dof)], "x double, k int"), "x", "k", "p").first().p
 
     for x in (0.01, 0.5, 3.84, 20.0, 200.0):
         assert chi(x, 1) == pytest.approx(math.erfc(math.sqrt(x / 2)), rel=1e-9)
@@ -213,10 +214,24 @@ def test_chi_square_tail_with_many_degrees(spark):
         return math.erfc(math.sqrt(h)) + sum(math.exp(-h + (i - 0.5) * math.log(h) - math.lgamma(i + 0.5)) for i in range(1, (k - 1) // 2 + 1))
 
     cases = [(float(k * f), k) for k in (1, 2, 100, 199, 200, 201, 1499, 1500, 2000, 1_000_000) for f in (0.5, 0.97, 0.999, 1.0, 1.003, 1.05, 1.3, 3.0)]
-    rows = spark.createDataFrame(cases, "x double, k bigint").withColumn("p", chi_square_tail(F.col("x"), F.col("k"))).collect()
+    rows = with_chi_square_tail(spark.createDataFrame(cases, "x double, k bigint"), "x", "k", "p").collect()
     assert max(abs(r.p - exact(r.x, r.k)) for r in rows) < 1e-7
 
 
+def test_chi_square_tail_of_the_sql():
+    """The queries' SQL against the finite sum, also where its series for erf would not converge."""
+    import duckdb
+
+    for d, dof in ((529.07, 199), (150.0, 199), (140.0, 99), (300.0, 199), (79.9, 61), (80.1, 61), (3.0, 3), (250.0, 200), (1e4, 7)):
+        h = d / 2
+        if dof % 2 == 0:
+            want = sum(math.exp(-h + i * math.log(h) - math.lgamma(i + 1)) for i in range(dof // 2))
+        else:
+            want = math.erfc(math.sqrt(h)) + sum(math.exp(-h + (i - 0.5) * math.log(h) - math.lgamma(i + 0.5)) for i in range(1, (dof - 1) // 2 + 1))
+        got = duckdb.connect().execute(f"SELECT {CHI_TAIL} FROM (SELECT {d}::DOUBLE AS d, {dof}::BIGINT AS dof)").fetchone()[0]
+        assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_missing_numbers_count_in_every_batch(spark):
     rows = spark.createDataFrame([(1, 1.0, "a"), (1, math.nan, "a"), (2, 1.0, "a")], "b int, x double, c string")
     known = quality.category_reference(rows, ["c"])
