@@ -15,8 +15,9 @@ from holdfast.functions.scalars import training_target
 from holdfast.operators import rules
 from holdfast.operators.decisions import customer_value, decide_batch
 from holdfast.operators.drift import drift_report, drift_summary
+from holdfast.operators.explain import explain_rows
 from holdfast.operators.features import OneHotModel, build_features, fit_one_hot
-from holdfast.operators.learning import score, train
+from holdfast.operators.learning import coefficient_table, is_linear, score, train
 from holdfast.operators.metrics import business_metrics, classification_metrics
 from holdfast.operators.naming import feature_names, normalize_raw
 from holdfast.operators.selection import stratified_split
@@ -98,10 +99,26 @@ def training_job(
     model, run = train(*labeled, features, "_y", s)
     run_id = run.first().run_id
     model.write().overwrite().save(f"{folder}/models/{run_id}")
+    if is_linear(model):
+        coefficient_table(model, features, train_rows).write.mode("overwrite").parquet(f"{folder}/coefficients/{run_id}")
     run.write.mode("append").parquet(f"{folder}/runs")
     return model, run
 
 
+def explain_job(
+    spark: SparkSession, folder: str, run_id: str, encoded: DataFrame, identity: str, vocabulary: OneHotModel | None = None, top_n: int = 5
+) -> DataFrame:
+    """Top reasons of encoded rows under a stored linear model, by source column; the vocabulary is read from the folder unless it is given."""
+    weights = spark.read.parquet(f"{folder}/coefficients/{run_id}")
+    vocabulary = vocabulary or read_vocabulary(spark, folder)
+    return explain_rows(encoded, identity, weights, vocabulary.source_of(), top_n)
+
+
+def read_vocabulary(spark: SparkSession, folder: str) -> OneHotModel:
+    """The vocabulary that :func:`feature_job` stored."""
+    return OneHotModel.from_json(spark.read.text(f"{folder}/vocabulary", wholetext=True).first().value)
+
+
 def evaluate_batch(
     spark: SparkSession,
     path: str,

@@ -52,6 +52,23 @@ def top_reasons(wide: DataFrame, identity: str, impacts: Sequence[str], top_n: i
     )
 
 
+def explain_rows(encoded: DataFrame, identity: str, weights: DataFrame, source_of: dict[str, str], top_n: int = 5) -> DataFrame:
+    """The ``top_n`` reasons of each row under a fitted linear model, by source column.
+
+    ``weights`` has feature, coefficient and mean (``learning.coefficient_table``). The impact of an encoded column is coefficient x (value - mean), on the scale of the
+    log-odds; those of one source column are added up (``source_of``, such as ``OneHotModel.source_of``; other columns stand for themselves). Missing values count as 0, as in the model.
+    ``weights`` has a row per column of the encoded table, which bounds what the driver reads; rows are mapped where they are.
+    """
+    known = {r.feature: (r.coefficient, r.mean) for r in weights.select("feature", "coefficient", "mean").collect()}
+    missing = sorted(set(known) - set(encoded.columns))
+    if missing:
+        raise KeyError(f"The model needs column {missing[0]!r}.")
+    impacts = [((F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) - m) * w).alias(c) for c, (w, m) in known.items()]
+    wide = encoded.select(F.col(f"`{identity}`"), *impacts)
+    summed = sum_by_source(wide, {c: source_of.get(c, c) for c in known}, [identity])
+    return top_reasons(summed, identity, [c for c in summed.columns if c != identity], top_n)
+
+
 def sum_by_source(wide: DataFrame, source_of: dict[str, str], keep: Sequence[str]) -> DataFrame:
     """Impacts of encoded columns added up per source column; columns that are not there are skipped."""
     groups: dict[str, list[str]] = {}

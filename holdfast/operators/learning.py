@@ -11,6 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +28,17 @@ def _number(name: str) -> str:
     return f"_number_{name}"
 
 
+def _number_of(name: str) -> Column:
+    return F.col(f"`{_number(name)}`")
+
+
 def build_model(s: ModelSettings, label: str = _LABEL, features: str = _FEATURES):
     """Estimator by kind; an unknown kind is an error."""
-    estimator = _estimator(s, {"labelCol": label, "featuresCol": features, **s.extra})
+    names = {"labelCol": label, "featuresCol": features, **s.extra}
+    if s.kind == "logistic_irls":
+        # Its prediction is the probability itself. Newton steps from sums over all rows: the same coefficients on every run, to the last digits.
+        return GeneralizedLinearRegression(**{"family": "binomial", "link": "logit", "tol": 1e-12, "maxIter": 50, **names}).setPredictionCol("_probability")
+    estimator = _estimator(s, names)
     return estimator.setPredictionCol("_prediction").setProbabilityCol("_probability").setRawPredictionCol("_raw")
 
 
@@ -64,7 +73,8 @@ def probability_of_one(column: str = "_probability") -> Column:
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str], output: str = "churn_probability") -> DataFrame:
     """Input columns, unchanged, plus the probability of class 1. Scoring is a map over rows: no shuffle."""
     scored = model.transform(_prepared(df, features, None))
-    return scored.withColumn(output, probability_of_one()).select(*[F.col(f"`{c}`") for c in df.columns if c != output], output)
+    plain = dict(scored.dtypes)["_probability"] == "double"
+    return scored.withColumn(output, F.col("_probability") if plain else probability_of_one()).select(*[F.col(f"`{c}`") for c in df.columns if c != output], output)
 
 
 def score_with(
@@ -137,6 +147,22 @@ def train(
     return model, spark.createDataFrame(rows, run.schema)
 
 
+def is_linear(model: PipelineModel) -> bool:
+    return hasattr(model.stages[-1], "coefficients")
+
+
 def linear_coefficients(model: PipelineModel, features: Sequence[str]) -> dict[str, float]:
     """Coefficient of each feature of a fitted logistic model."""
     return dict(zip(features, [float(v) for v in model.stages[-1].coefficients], strict=True))
+
+
+def coefficient_table(model: PipelineModel, features: Sequence[str], background: DataFrame) -> DataFrame:
+    """feature, coefficient, mean: what explaining a row of a linear model needs, one row per column of the encoded table.
+
+    The mean is that of ``background``, the rows that the model was fitted on, so explanations later need no look at them.
+    """
+    prepared = _prepared(background, features, None)
+    means = prepared.agg(*[F.avg(_number_of(c)).alias(f"_m{i}") for i, c in enumerate(features)]).first()
+    weights = linear_coefficients(model, features)
+    rows = [(c, weights[c], float(means[i] or 0.0)) for i, c in enumerate(features)]
+    return background.sparkSession.createDataFrame(rows, "feature string, coefficient double, mean double")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from holdfast import jobs
-from holdfast.config import ModelSettings
+from holdfast.config import FeatureSettings, ModelSettings
 from holdfast.functions.scalars import to_number_or_zero
 from holdfast.operators import learning, validation
 from holdfast.plans import bindings as B
 from holdfast.plans.bindings import sql_over
-from holdfast.plans.registry import query
+from holdfast.plans.registry import query, rounded
 from holdfast.session import work_dir
 from holdfast.streaming import inbox, labels, requests
 
@@ -55,6 +56,92 @@ def train_run(spark, sf):
     return run
 
 
+# --- a logistic model on the encoded matrix, fitted a second time in SQL -----------------------------------
+
+NUMBERS = ("tenure", "monthlycharges")
+CATEGORIES = ("gender", "seniorcitizen", "partner", "contract", "internetservice", "paymentmethod")
+
+
+def _customer_features(spark, sf, folder):
+    """The stored feature table of all customers, with their id, and its vocabulary."""
+    names = ["customerID", "tenure", "MonthlyCharges", "gender", "SeniorCitizen", "Partner", "Contract", "InternetService", "PaymentMethod", "Churn"]
+    settings = FeatureSettings(numeric_columns=NUMBERS, categorical_columns=CATEGORIES, drop_columns=("customerid",))
+    return jobs.feature_job(spark, B.customers(spark, sf).select(*names), folder, settings, keep_id="customerid")
+
+
+#: Encoded columns as the vocabulary names and orders them: (column, source, SQL). Levels that the small tables have, the first of each column left out.
+_COLUMNS = [
+    ("tenure", "tenure", "tenure"), ("monthlycharges", "monthlycharges", '"MonthlyCharges"'), ("gender_Male", "gender", "gender = 'Male'"),
+    ("seniorcitizen_1", "seniorcitizen", '"SeniorCitizen" = 1'), ("partner_Yes", "partner", "\"Partner\" = 'Yes'"),
+    *[(f"contract_{v}", "contract", f"\"Contract\" = '{v}'") for v in ("One year", "Two year")],
+    *[(f"internetservice_{v}", "internetservice", f"\"InternetService\" = '{v}'") for v in ("Fiber optic", "No")],
+    *[(f"paymentmethod_{v}", "paymentmethod", f"\"PaymentMethod\" = '{v}'") for v in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")],
+]
+
+
+def _newton(n: int, steps: int = 12) -> str:
+    """CTEs that fit ``y`` on ``v`` (1 and the features): Newton steps, each with the sums of gradient and curvature over all rows, solved by elimination."""
+    row = [", ".join(f"sum(w * v[{i}] * v[{j}])" for j in range(1, n + 1)) + f", sum((y - p) * v[{i}])" for i in range(1, n + 1)]
+    solved = "SELECT any_value(step) AS step, any_value(b) AS b, [" + ", ".join(f"[{r}]" for r in row) + "] AS m FROM sums"
+    for k in range(1, n + 1):
+        solved = f"SELECT step, b, [[CASE WHEN i = {k} THEN m[{k}][j] / m[{k}][{k}] ELSE m[i][j] - m[i][{k}] * m[{k}][j] / m[{k}][{k}] END for j in range(1, {n + 2})] for i in range(1, {n + 1})] AS m FROM ({solved})"
+    return f"""newton AS (SELECT 0 AS step, [0.0::DOUBLE for i in range(0, {n})] AS b UNION ALL
+    SELECT step + 1, [b[i] + m[i][{n + 1}] for i in range(1, {n + 1})] FROM (WITH sums AS (SELECT step, b, v, y, p, p * (1 - p) AS w FROM (
+    SELECT step, b, v, y, 1 / (1 + exp(-list_inner_product(b, v))) AS p FROM newton, x WHERE step < {steps})) {solved} WHERE step IS NOT NULL)),
+    fitted AS (SELECT b FROM newton WHERE step = {steps})"""
+
+
+_X = "x AS (SELECT \"customerID\" AS id, CASE WHEN \"Churn\" = 'Yes' THEN 1 ELSE 0 END AS y, [1, " + ", ".join(f"({e})::INTEGER::DOUBLE" if "=" in e else f"({e})::DOUBLE" for _, _, e in _COLUMNS) + "]::DOUBLE[] AS v FROM customers)"
+_FITTED = f"{_X}, {_newton(len(_COLUMNS) + 1)}"
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_SOURCES = list(dict.fromkeys(source for _, source, _ in _COLUMNS))
+_IMPACTS = ", ".join(
+    "{'feature': '" + s + "', 'impact': " + " + ".join(f"b[{i}] * (v[{i}] - means[{i}])" for i, (_, source, _) in enumerate(_COLUMNS, 2) if source == s) + "}" for s in _SOURCES
+)
+
+
+@query(
+    "explain_fitted",
+    _recursive(
+        sql_over(
+            "customers",
+            """SELECT id AS customerid, rank, feature, round(impact, 6) AS impact, CASE WHEN impact > 0 THEN 'increases_churn' ELSE 'reduces_churn' END AS direction, round_even(size / total * 100, 2) AS impact_pct
+            FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY size DESC, feature)::INTEGER AS rank, sum(size) OVER (PARTITION BY id) AS total
+            FROM (SELECT id, e.feature, e.impact, abs(e.impact) AS size FROM impacts) WHERE size > 1e-6) WHERE rank <= 5""",
+            f"{_FITTED}, middle AS (SELECT [{', '.join(f'avg(v[{i}])' for i in range(1, len(_COLUMNS) + 2))}] AS means FROM x), impacts AS (SELECT id, unnest([{_IMPACTS}]) AS e FROM x, fitted, middle)",
+        )
+    ),
+)
+def explain_fitted(spark, sf):
+    """From raw customers to reasons: encode, fit a logistic model, store it, and explain every customer from the stored coefficients."""
+    folder = work_dir(spark, "explain")
+    features, _ = _customer_features(spark, sf, folder)
+    columns = [c for c in features.columns if c not in ("customerid", "churn")]
+    model, run = jobs.training_job(features, features, folder, columns, s=ModelSettings(kind="logistic_irls"))
+    reasons = jobs.explain_job(spark, folder, run.first().run_id, features, "customerid")
+    return reasons.withColumn("impact", F.round(F.col("impact") * 1e6, 0) / 1e6)
+
+
+@query(
+    "logistic_scores",
+    _recursive(sql_over("customers", "SELECT id AS customerid, y, round(1 / (1 + exp(-list_inner_product(b, v))), 6) AS churn_probability FROM x, fitted", _FITTED)),
+)
+def logistic_scores(spark, sf):
+    """Probabilities of a logistic model of the encoded matrix, read back from where the training job stored it."""
+    folder = work_dir(spark, "logistic")
+    features, _ = _customer_features(spark, sf, folder)
+    columns = [c for c in features.columns if c not in ("customerid", "churn")]
+    _, run = jobs.training_job(features, features, folder, columns, s=ModelSettings(kind="logistic_irls"))
+    model = PipelineModel.load(f"{folder}/models/{run.first().run_id}")
+    scored = learning.score(model, features, columns)
+    return rounded(scored.select("customerid", (F.col("churn") == "Yes").cast("int").alias("y"), "churn_probability"))
+
+
 def _stream(spark, sf, name):
     return spark.readStream.schema(B.SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
