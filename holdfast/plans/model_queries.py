@@ -199,15 +199,42 @@ def stream_inbox(spark, sf):
     sql_over("labels", "SELECT prediction_id, churn FROM labels"),
 )
 def stream_latest_labels(spark, sf):
-    """Label deliveries as a stream; the last one per prediction wins."""
-    source = _stream(spark, sf, "lineitem")
+    """Labels in three deliveries, corrections before and after what they correct: each delivery is merged into the keyed table, the last label wins."""
+    out = work_dir(spark, "stream-latest")
     churn = F.when(F.col("l_partkey") % 50 == 0, F.lit(None)).when(F.col("l_returnflag") == "R", 1).otherwise(0)
-    delivered = source.select(
+    delivered = B.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("prediction_id"), churn.cast("int").alias("churn"), F.col("l_shipdate").alias("label_available_at"), *B.TIE_BREAK
     )
-    out = work_dir(spark, "stream-latest")
-    labels.keep_latest(delivered, f"{out}/table", f"{out}/state", tie_break=B.TIE_BREAK).awaitTermination()
-    return labels.read_latest(spark, f"{out}/table", tie_break=B.TIE_BREAK).select("prediction_id", "churn")
+    for third in range(3):
+        delivered.where(F.col("l_partkey") % 3 == third).write.parquet(f"{out}/in/delivery={third}")
+        source = spark.readStream.schema(delivered.schema).parquet(f"{out}/in/*")
+        labels.keep_latest(source, f"{out}/table", f"{out}/state", tie_break=B.TIE_BREAK, buckets=8).awaitTermination()
+    return labels.read_latest(spark, f"{out}/table", delivered.schema, tie_break=B.TIE_BREAK, buckets=8).select("prediction_id", "churn")
+
+
+_RELEASES = ("1996-06-30", "1998-06-30", "2000-06-30")
+
+
+@query(
+    "delayed_release",
+    """WITH pending AS (SELECT o_orderkey, o_orderkey % 2 AS churn, o_orderdate::DATE + 30 AS due, o_orderkey % 3 = 0 AS late FROM orders)
+    SELECT until, count(*) AS n, CAST(sum(churn) AS BIGINT) AS churned, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT *, CASE WHEN due <= DATE '1996-06-30' AND NOT late THEN '1996-06-30'
+    WHEN due <= DATE '1998-06-30' THEN '1998-06-30' WHEN due <= DATE '2000-06-30' THEN '2000-06-30' END AS until FROM pending) WHERE until IS NOT NULL GROUP BY until""",
+)
+def delayed_release(spark, sf):
+    """Labels wait until they are due; some are delivered after the first release has passed their day, and come with the next."""
+    out = work_dir(spark, "release")
+    orders = B.table(spark, sf, "orders")
+    pending = orders.select(F.col("o_orderkey").alias("prediction_id"), (F.col("o_orderkey") % 2).alias("churn"), F.date_add(F.col("o_orderdate"), 30).alias("due"))
+    late = F.col("prediction_id") % 3 == 0
+    for i, (part, until) in enumerate(zip((~late, late, None), _RELEASES)):
+        if part is not None:
+            pending.where(part).write.parquet(f"{out}/in/delivery={i}")
+            source = spark.readStream.schema(pending.schema).parquet(f"{out}/in/*")
+            labels.enqueue_labels(source, "due", f"{out}/waiting", f"{out}/released", f"{out}/state").awaitTermination()
+        labels.release_due(spark, f"{out}/waiting", f"{out}/released", until)
+    released = labels.read_released(spark, f"{out}/released").withColumn("until", F.col("until").cast("string"))
+    return released.groupBy("until").agg(F.count("*").alias("n"), F.sum("churn").alias("churned"), F.sum("prediction_id").alias("keys"))
 
 
 @query(

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from holdfast.config import LabelSettings
-from holdfast.operators.labels import latest_labels
+from holdfast.sources.keyed_table import KeyedTable
 
 
 def match_labels(
@@ -57,24 +58,76 @@ def reconcile_labels(predictions: DataFrame, labels: DataFrame, matched: DataFra
     return rest.join(predictions, key, "left")
 
 
-def release_labels(
-    pending: DataFrame, as_of: str, available: str, output: str, waiting: str, checkpoint: str
-) -> StreamingQuery:
-    """Append labels that are available at ``as_of`` (a date or timestamp text) to ``output``.
+def _complete(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Values of the complete ``<prefix>=<value>`` folders of ``folder``, ascending."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return []
+    found = [status.getPath() for status in fs.listStatus(target) if status.getPath().getName().startswith(f"{prefix}=")]
+    return sorted(p.getName().split("=", 1)[1] for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def released_until(spark: SparkSession, output: str) -> str | None:
+    """The last day (yyyy-MM-dd) up to which labels have been released into ``output``."""
+    runs = _complete(spark, output, "until")
+    return runs[-1] if runs else None
+
+
+def enqueue_labels(pending: DataFrame, available: str, waiting: str, output: str, checkpoint: str) -> StreamingQuery:
+    """Put a stream of pending labels where :func:`release_due` finds them: by the day on which they are to be released, in a partition for each month.
 
-    File tracking makes each release happen once. Rows that are not due yet are kept under ``waiting``; let the
-    next run's stream read that folder too (a glob over both), so that no label is lost.
+    That is the day ``available`` says, or the day after the last release, for labels that arrive when their day is already over. Rows are written once and never
+    again. A label without a day waits for good. What had been released when a micro-batch first came is kept beside it, so that a replay decides the same.
     """
-    limit = F.lit(as_of).cast(dict(pending.dtypes)[available])
+    spark = pending.sparkSession
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        due = F.coalesce(F.col(available) <= limit, F.lit(False))
-        rows.where(due).write.mode("overwrite").parquet(f"{output}/micro_batch={batch_id}")
-        rows.where(~due).write.mode("overwrite").parquet(f"{waiting}/micro_batch={batch_id}")
+        known = f"{waiting}/known/micro_batch={batch_id}"
+        if not _complete(spark, f"{waiting}/known", "micro_batch").count(str(batch_id)):
+            line = spark.createDataFrame([(released_until(spark, output),)], "until string")
+            line.coalesce(1).write.mode("overwrite").parquet(known)
+        until = spark.read.schema("until string").parquet(known).first().until
+        day = F.col(available).cast("date")
+        if until is not None:
+            day = F.greatest(day, F.date_add(F.lit(until).cast("date"), 1))
+        placed = rows.withColumn("release_day", F.when(F.col(available).isNotNull(), day))
+        placed = placed.withColumn("release_month", F.date_format("release_day", "yyyy-MM"))
+        placed.hint("rebalance", "release_month").write.mode("overwrite").partitionBy("release_month").parquet(f"{waiting}/rows/micro_batch={batch_id}")
 
     return pending.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def release_due(spark: SparkSession, waiting: str, output: str, until: str) -> DataFrame:
+    """Release the labels due up to ``until`` (yyyy-MM-dd) that no earlier run has released, and return them.
+
+    Only the partitions of the months since the last run are read, and nothing that waits is rewritten. A run writes one folder, which counts when it is complete:
+    a run that broke off is done again, one that is over is not. Days go forward only.
+    """
+    runs = _complete(spark, output, "until")
+    target = f"{output}/until={until}"
+    if runs and until < runs[-1]:
+        raise ValueError(f"Labels have been released up to {runs[-1]} already.")
+    if until not in runs:
+        day, month = F.col("release_day"), F.col("release_month").cast("string")
+        due = spark.read.parquet(f"{waiting}/rows").where((month <= until[:7]) & (day <= F.lit(until).cast("date")))
+        if runs:
+            due = due.where((month >= runs[-1][:7]) & (day > F.lit(runs[-1]).cast("date")))
+        due.drop("micro_batch", "release_month").write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
+def read_released(spark: SparkSession, output: str) -> DataFrame:
+    """All released labels, with the day of the run that released each (``until``)."""
+    runs = _complete(spark, output, "until")
+    return spark.read.option("basePath", output).parquet(*[f"{output}/until={u}" for u in runs])
+
+
+def latest_table(spark: SparkSession, table: str, key: str = "prediction_id", label: str = "churn", moment: str = "label_available_at", tie_break: Sequence[str] = (), buckets: int = 64) -> KeyedTable:
+    """The table kept by :func:`keep_latest`: one row per key."""
+    return KeyedTable(spark, table, key, [moment, *tie_break, label], buckets)
+
+
 def keep_latest(
     deliveries: DataFrame,
     table: str,
@@ -83,26 +136,23 @@ def keep_latest(
     label: str = "churn",
     moment: str = "label_available_at",
     tie_break: Sequence[str] = (),
+    buckets: int = 64,
 ) -> StreamingQuery:
-    """Reduce each micro-batch to its last label per key and append that; readers take the last over all micro-batches."""
+    """Keep the last label of each key: every micro-batch is merged into the buckets that its keys fall into, as a version of its own.
 
-    def handle(rows: DataFrame, batch_id: int) -> None:
-        valid = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-        order = F.struct(moment, *tie_break, label)
-        last = valid.groupBy(key).agg(F.max(order).alias("_last"))
-        last.select(key, "_last.*").write.mode("overwrite").parquet(f"{table}/micro_batch={batch_id}")
-
-    return deliveries.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    Late corrections and repeated deliveries change nothing but the rows they are newer than; a replayed micro-batch is merged into the version before it again.
+    """
+    kept = latest_table(deliveries.sparkSession, table, key, label, moment, tie_break, buckets)
+    columns = [key, moment, *tie_break, label]
 
+    def handle(rows: DataFrame, batch_id: int) -> None:
+        kept.merge(rows.where(F.col(label).isNotNull()).select(*columns), batch_id)
 
-def read_latest(spark, table: str, key: str = "prediction_id", label: str = "churn", moment: str = "label_available_at", tie_break: Sequence[str] = ()) -> DataFrame:
-    """Current label of every key from the table kept by :func:`keep_latest`."""
-    return latest_labels(spark.read.parquet(table), key, label, moment, tie_break)
+    return deliveries.select(*columns).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def compact_latest(spark, table: str, output: str, key: str = "prediction_id", label: str = "churn", moment: str = "label_available_at", tie_break: Sequence[str] = ()) -> None:
-    """Rewrite the kept labels as one row per key into a new folder, to bound the number of files."""
-    order = F.struct(moment, *tie_break, label)
-    spark.read.parquet(table).groupBy(key).agg(F.max(order).alias("_last")).select(key, "_last.*").write.mode("overwrite").parquet(
-        f"{output}/micro_batch=0"
-    )
+def read_latest(spark: SparkSession, table: str, schema: T.StructType, key: str = "prediction_id", label: str = "churn", moment: str = "label_available_at", tie_break: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+    """Current label of every key from the table kept by :func:`keep_latest`; ``schema`` is that of the deliveries."""
+    columns = [key, moment, *tie_break, label]
+    rows = latest_table(spark, table, key, label, moment, tie_break, buckets).read(T.StructType([schema[c] for c in columns]))
+    return rows.select(key, label, moment)

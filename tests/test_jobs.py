@@ -12,7 +12,7 @@ from holdfast.config import CostSettings, ModelSettings, ServingSettings
 
 from holdfast.operators import costs, explain, labels, learning, rules, serving
 from holdfast.operators.validation import stored_batches
-from holdfast.sources import prediction_log, snapshots, tables
+from holdfast.sources import keyed_table, prediction_log, snapshots, tables
 from holdfast.streaming import inbox, monitoring, requests
 from holdfast.streaming import labels as label_streams
 from test_tables import GOOD, customers
@@ -258,36 +258,89 @@ def test_label_match_stream_equals_batch(spark, tmp_path):
     assert got == want == {i for i in range(60) if 30 <= 28 + i % 36 <= 60}
 
 
+def _files(folder):
+    return {str(p): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
 def test_labels_are_released_once_and_none_is_lost(spark, tmp_path):
-    rows = spark.createDataFrame([(i, f"2024-01-{1 + i:02d}") for i in range(6)], "prediction_id long, due string").withColumn("due", F.col("due").cast("date"))
-    rows.coalesce(1).write.parquet(f"{tmp_path}/pending/new")
-    (tmp_path / "pending" / "waiting").mkdir()
+    def deliver(name, days):
+        rows = spark.createDataFrame([(i, f"2024-01-{d:02d}" if d else None) for i, d in days], "prediction_id long, due string").withColumn("due", F.col("due").cast("date"))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in/*")
+        label_streams.enqueue_labels(stream, "due", f"{tmp_path}/waiting", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
 
     def release(day):
-        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/pending")
-        label_streams.release_labels(stream, day, "due", f"{tmp_path}/out", f"{tmp_path}/pending/waiting/{day}", f"{tmp_path}/cp").awaitTermination()
-        return sorted(r.prediction_id for r in spark.read.parquet(f"{tmp_path}/out").collect())
+        return sorted(r.prediction_id for r in label_streams.release_due(spark, f"{tmp_path}/waiting", f"{tmp_path}/out", day).collect())
 
+    deliver("a", [(i, 1 + i) for i in range(6)] + [(7, None)])
+    waiting = _files(tmp_path / "waiting" / "rows")
     assert release("2024-01-03") == [0, 1, 2]
-    assert release("2024-01-04") == [0, 1, 2, 3]
-    assert release("2024-02-01") == [0, 1, 2, 3, 4, 5]
+    assert release("2024-01-03") == [0, 1, 2]  # the same run again releases nothing new
+    deliver("b", [(10, 2), (11, 5)])  # one is late
+    assert release("2024-01-04") == [3, 10]
+    assert release("2024-02-01") == [4, 5, 11]
+    everything = label_streams.read_released(spark, f"{tmp_path}/out").collect()
+    assert sorted(r.prediction_id for r in everything) == [0, 1, 2, 3, 4, 5, 10, 11]
+    after = _files(tmp_path / "waiting" / "rows")
+    assert {p: t for p, t in after.items() if p in waiting} == waiting  # what waits is not written again
+    with pytest.raises(ValueError):
+        release("2024-01-15")
+
+
+def test_a_replayed_delivery_is_placed_as_before(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01")], "prediction_id long, due string").withColumn("due", F.col("due").cast("date"))
+    rows.write.parquet(f"{tmp_path}/in")
+
+    def enqueue(state):
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        label_streams.enqueue_labels(stream, "due", f"{tmp_path}/waiting", f"{tmp_path}/out", f"{tmp_path}/{state}").awaitTermination()
+
+    enqueue("one")
+    label_streams.release_due(spark, f"{tmp_path}/waiting", f"{tmp_path}/out", "2024-01-05")
+    enqueue("two")  # micro-batch 0 once more, after a release
+    assert label_streams.release_due(spark, f"{tmp_path}/waiting", f"{tmp_path}/out", "2024-02-05").count() == 0
 
 
 def test_latest_labels_survive_late_corrections(spark, tmp_path):
+    schema = "prediction_id long, churn int, label_available_at int"
+
     def deliver(name, rows):
-        spark.createDataFrame(rows, "prediction_id long, churn int, label_available_at int").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
 
     def run():
-        stream = spark.readStream.schema("prediction_id long, churn int, label_available_at int").parquet(f"{tmp_path}/in/*")
-        label_streams.keep_latest(stream, f"{tmp_path}/table", f"{tmp_path}/cp").awaitTermination()
-        return {(r.prediction_id, r.churn) for r in label_streams.read_latest(spark, f"{tmp_path}/table").collect()}
-
-    deliver("a", [(1, 0, 1), (1, 1, 3), (2, 0, 1)])
-    assert run() == {(1, 1), (2, 0)}
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        label_streams.keep_latest(stream, f"{tmp_path}/table", f"{tmp_path}/cp", buckets=4).awaitTermination()
+        found = label_streams.read_latest(spark, f"{tmp_path}/table", stream.schema, buckets=4)
+        return sorted((r.prediction_id, r.churn) for r in found.collect())
+
+    deliver("a", [(1, 0, 1), (1, 1, 3), (2, 0, 1), (None, 1, 1)] + [(i, 0, 1) for i in range(10, 40)])
+    ten = [(i, 0) for i in range(10, 40)]
+    assert run() == [(1, 1), (2, 0)] + ten
+    table = label_streams.latest_table(spark, f"{tmp_path}/table", buckets=4)
+    before = table.places(table.version())
     deliver("b", [(1, 0, 2), (2, 1, 5), (3, None, 9)])
-    assert run() == {(1, 1), (2, 1)}
-    label_streams.compact_latest(spark, f"{tmp_path}/table", f"{tmp_path}/compact")
-    assert spark.read.parquet(f"{tmp_path}/compact").count() == 2
+    assert run() == [(1, 1), (2, 1)] + ten
+    after = table.places(table.version())
+    touched = {r.b for r in spark.createDataFrame([(1,), (2,)], "prediction_id long").select(keyed_table.bucket_of("prediction_id", 4).alias("b")).collect()}
+    assert {b for b in after if after[b] != before[b]} == touched  # other buckets stay where they were
+    # A replay of the second delivery, and readers of the first version.
+    again = spark.createDataFrame([(2, 5, 1), (1, 2, 0)], "prediction_id long, label_available_at int, churn int")
+    table.merge(again, 1)
+    rows = table.read(again.schema)
+    assert sorted((r.prediction_id, r.churn) for r in rows.collect()) == [(1, 1), (2, 1)] + ten and rows.count() == 32
+    assert dict((r.prediction_id, r.churn) for r in table.read(again.schema, version=0).collect())[2] == 0
+    assert table.drop_before(1) > 0 and table.read(again.schema).count() == 32
+
+
+def test_a_merge_that_broke_off_is_not_seen(spark, tmp_path):
+    table = keyed_table.KeyedTable(spark, f"{tmp_path}/t", "k", ["at"], buckets=2)
+    rows = spark.createDataFrame([(1, 1, "a"), (2, 1, "a")], "k int, at int, v string")
+    table.merge(rows, 0)
+    newer = rows.withColumns({"at": F.lit(2), "v": F.lit("b")})
+    newer.withColumn("bucket", keyed_table.bucket_of("k", 2)).write.partitionBy("bucket").parquet(f"{tmp_path}/t/data/version=1")  # data, but no version
+    assert {r.v for r in table.read(rows.schema).collect()} == {"a"}
+    table.merge(newer, 1)
+    assert {r.v for r in table.read(rows.schema).collect()} == {"b"} and table.read(rows.schema).count() == 2
 
 
 def test_live_summary_drops_only_events_past_the_watermark(spark, tmp_path):
