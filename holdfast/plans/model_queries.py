@@ -237,6 +237,47 @@ def delayed_release(spark, sf):
     return released.groupBy("until").agg(F.count("*").alias("n"), F.sum("churn").alias("churned"), F.sum("prediction_id").alias("keys"))
 
 
+def _as_text(column: str):
+    entries = F.transform(F.map_entries(column), lambda e: F.concat(e.key, F.lit(":"), e.value))
+    return F.array_join(F.array_sort(entries), ",").alias(column)
+
+
+@query(
+    "stream_summary",
+    sql_over(
+        "requests",
+        """SELECT w AS window_start, count(*) AS requests_total, count(*) FILTER (status_code < 300) AS success_total, count(*) FILTER (status_code >= 300) AS error_total,
+        round_even(count(*) FILTER (status_code < 300)::DOUBLE / count(*), 4) AS success_rate, round_even(count(*) FILTER (status_code >= 300)::DOUBLE / count(*), 4) AS error_rate,
+        max(v / 100.0::DOUBLE) FILTER (i = CAST(round_even((n - 1) * 0.5, 0) AS BIGINT)) AS p50, max(v / 100.0::DOUBLE) FILTER (i = CAST(round_even((n - 1) * 0.95, 0) AS BIGINT)) AS p95,
+        max(v / 100.0::DOUBLE) FILTER (i = CAST(round_even((n - 1) * 0.99, 0) AS BIGINT)) AS p99, round_even(sum(v)::DOUBLE / count(*) / 100, 2) AS avg_ms, max(v) / 100.0::DOUBLE AS max_ms,
+        (SELECT string_agg(status_code || ':' || n, ',' ORDER BY status_code || ':' || n) FROM (SELECT status_code, count(*) AS n FROM win AS b WHERE b.w = a.w GROUP BY status_code)) AS requests_by_status,
+        (SELECT string_agg(path || ':' || n, ',' ORDER BY path || ':' || n) FROM (SELECT path, count(*) AS n FROM win AS b WHERE b.w = a.w GROUP BY path)) AS requests_by_path
+        FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY w) AS n FROM win) AS a
+        WHERE w + 900 <= (SELECT max(epoch_ms(ts)) FROM requests) / 1000.0::DOUBLE - 600 GROUP BY w""",
+        """win AS (SELECT CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 - 300 * s AS w, status_code, path, CAST(round_even(latency_ms * 100, 0) AS BIGINT) AS v
+        FROM requests, (SELECT unnest([0, 1, 2]) AS s))""",
+    ),
+)
+def stream_summary(spark, sf):
+    """Summary of every sliding window that the watermark has closed, from a stream; exact, and with counts by status and path."""
+    events = _stream(spark, sf, "events")
+    shaped = events.select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("/"), F.col("event_type")).alias("path"),
+        F.when(F.col("event_type") == "error", 500)
+        .when((F.col("event_type") == "click") & (F.col("event_id") % 10 == 0), 404)
+        .otherwise(200)
+        .alias("status_code"),
+        F.col("value").alias("latency_ms"),
+    )
+    out = work_dir(spark, "stream-summary")
+    stream = requests.live_summary(shaped).writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    plain = [c for c in rows.columns if c not in ("window_start", "requests_by_status", "requests_by_path")]
+    return rows.select(F.unix_timestamp("window_start").alias("window_start"), *plain, _as_text("requests_by_status"), _as_text("requests_by_path"))
+
+
 @query(
     "stream_counters",
     sql_over(

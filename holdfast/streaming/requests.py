@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from holdfast.functions.scalars import is_success
+from holdfast.functions.scalars import is_success, round_even
 from holdfast.operators.quality import quality_status
 from holdfast.operators.serving import PERCENTILES, request_counters
 
@@ -20,26 +20,66 @@ def live_counters(events: DataFrame, ts: str = "ts", window: str = "1 minute", d
 
 
 def live_summary(events: DataFrame, ts: str = "ts", window: str = "15 minutes", slide: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Sliding summary with mergeable percentiles; the exact twin for finished windows is the batch summary.
+    """Exact sliding summary of a stream: totals, rates, nearest-rank percentiles, average, maximum, and requests by status and by path.
 
-    State per window is counts and a quantile sketch, so its size does not depend on the number of requests.
+    Two chained aggregations. The first counts requests by pane (one slide), latency in hundredths, status and path; the second brings the panes of a window
+    together. State holds counts of distinct values, not requests. A window comes out once, when the watermark has passed its end; its row equals that of the batch summary over
+    the same requests. ``window`` must be a whole number of ``slide``s. Requests without a latency, a status or a path are counted under a missing one.
     """
-    ok = is_success(F.col("status_code"))
-    n = F.count("*")
-    return (
+    hundredths = F.bround(F.col("latency_ms") * 100).cast("bigint")
+    panes = (
         events.withWatermark(ts, delay)
-        .groupBy(F.window(ts, window, slide).alias("window"))
-        .agg(
-            n.alias("requests_total"),
-            F.count_if(ok).alias("success_total"),
-            F.count_if(~ok).alias("error_total"),
-            F.round(F.count_if(ok) / n, 4).alias("success_rate"),
-            F.round(F.count_if(~ok) / n, 4).alias("error_rate"),
-            F.percentile_approx("latency_ms", list(PERCENTILES), 10_000).alias("percentiles"),
-            F.round(F.avg("latency_ms"), 2).alias("avg_ms"),
-            F.round(F.max("latency_ms"), 2).alias("max_ms"),
-        )
+        .groupBy(F.window(ts, slide).alias("pane"), hundredths.alias("value"), F.col("status_code").cast("int").alias("status"), F.col("path"))
+        .agg(F.count("*").alias("n"))
     )
+    counts = panes.groupBy(F.window(F.window_time("pane"), window, slide).alias("window")).agg(F.collect_list(F.struct("value", "n", "status", "path")).alias("cells"))
+    return counts.select(F.col("window.start").alias("window_start"), *_summary_of("cells"))
+
+
+def _summary_of(cells: str) -> list[Column]:
+    """The fields of a summary from an array of (value, n, status, path): latency in hundredths and how many requests had it."""
+
+    def total(of: Column) -> Column:
+        return F.aggregate(of, F.lit(0).cast("bigint"), lambda acc, c: acc + c.n)
+
+    every = F.col(cells)
+    n = total(every)
+    good = total(F.filter(every, lambda c: is_success(c.status)))
+    timed = F.array_sort(F.filter(every, lambda c: c.value.isNotNull()))  # by value, the first field
+    m = total(timed)
+    places = [F.bround((m - 1) * F.lit(p)).cast("bigint") for p in PERCENTILES]
+    names = [f"p{round(p * 100)}" for p in PERCENTILES]
+    unset = F.lit(None).cast("bigint")
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), *[unset.alias(x) for x in names])
+
+    def step(acc: Column, c: Column) -> Column:
+        # The value that holds the place is the first one whose running total passes it.
+        seen = acc.seen + c.n
+        return F.struct(seen.alias("seen"), *[F.when(acc[x].isNull() & (seen > place), c.value).otherwise(acc[x]).alias(x) for x, place in zip(names, places)])
+
+    ranked = F.aggregate(timed, start, step)
+    weighted = F.aggregate(timed, F.lit(0).cast("bigint"), lambda acc, c: acc + c.value * c.n)
+
+    def by(field: str) -> Column:
+        # A missing value cannot be a key of a map.
+        def text(c: Column) -> Column:
+            return F.coalesce(c[field].cast("string"), F.lit(""))
+
+        keys = F.array_sort(F.array_distinct(F.transform(every, text)))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, total(F.filter(every, lambda c: text(c) == k)))))
+
+    return [
+        n.alias("requests_total"),
+        good.alias("success_total"),
+        (n - good).alias("error_total"),
+        round_even(good / n, 4).alias("success_rate"),
+        round_even((n - good) / n, 4).alias("error_rate"),
+        *[(ranked[x] / 100).alias(x) for x in names],
+        round_even(F.try_divide(weighted, m) / 100, 2).alias("avg_ms"),
+        (F.array_max(F.transform(timed, lambda c: c.value)) / 100).alias("max_ms"),
+        by("status").alias("requests_by_status"),
+        by("path").alias("requests_by_path"),
+    ]
 
 
 def watch_quality(

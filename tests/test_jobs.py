@@ -345,22 +345,23 @@ def test_a_merge_that_broke_off_is_not_seen(spark, tmp_path):
 
 def test_live_summary_drops_only_events_past_the_watermark(spark, tmp_path):
     def put(name, rows):
-        df = spark.createDataFrame(rows, "ts string, status_code int, latency_ms double").withColumn("ts", F.col("ts").cast("timestamp"))
+        df = spark.createDataFrame(rows, "ts string, status_code int, latency_ms double, path string").withColumn("ts", F.col("ts").cast("timestamp"))
         df.coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
         return df.schema
 
-    schema = put("a", [("2024-01-01 10:01:00", 200, 1.0), ("2024-01-01 10:02:00", 500, 3.0), ("2024-01-01 12:00:00", 200, 5.0)])
+    schema = put("a", [("2024-01-01 10:01:00", 200, 1.0, "/a"), ("2024-01-01 10:02:00", 500, 3.0, None), ("2024-01-01 12:00:00", 200, 5.0, "/a")])
 
     def run():
         stream = requests.live_summary(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), slide="15 minutes")
         stream.writeStream.format("parquet").outputMode("append").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-        return {str(r.window.start): r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        return {str(r.window_start): r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
 
     run()
-    put("b", [("2024-01-01 10:03:00", 200, 9.0), ("2024-01-01 14:00:00", 200, 7.0)])
+    put("b", [("2024-01-01 10:03:00", 200, 9.0, "/a"), ("2024-01-01 14:00:00", 200, 7.0, "/a")])
     rows = run()
     first = rows["2024-01-01 10:00:00"]
-    assert first.requests_total == 2 and first.error_total == 1 and first.success_rate == 0.5 and first.percentiles[0] in (1.0, 3.0)
+    assert first.requests_total == 2 and first.error_total == 1 and first.success_rate == 0.5 and (first.p50, first.p95, first.max_ms) == (1.0, 3.0, 3.0)
+    assert first.requests_by_status == {"200": 1, "500": 1} and first.requests_by_path == {"/a": 1, "": 1}
 
 
 def test_quality_stream_never_stops_requests(spark, tmp_path):
