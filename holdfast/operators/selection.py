@@ -10,13 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from holdfast.functions.scalars import order_hash
+from holdfast.functions.scalars import drop_nan, order_hash
 from holdfast.operators.ordering import collapse, running_totals
 
 # Coarse cells of a 60-bit hash: 2**16 per class.
 _CELL_SHIFT = 44
 
 
+# Cells per power of two: a cell spans values that differ by 0.07 % at most.
+_CELLS_PER_OCTAVE = 1024
+# More than the largest negative binary exponent of a double, so that cells of positive values are positive.
+_EXPONENT_SHIFT = 1100
+
+
+def value_cell(value: Column) -> Column:
+    """A whole number that never falls when the value grows, from its sign and binary logarithm. Values of very different size get cells of the same relative width."""
+    v = value.cast("double")
+    size = F.floor((F.least(F.log2(F.abs(v)), F.lit(1024.0)) + _EXPONENT_SHIFT) * _CELLS_PER_OCTAVE).cast("bigint")
+    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, size).when(v < 0, -size)
+
+
 def top_flag(
     df: DataFrame, value: str, identity: str, flag: str, k: int | None = None, share: float | None = None, positive_only: bool = True
 ) -> DataFrame:
@@ -24,20 +37,26 @@ def top_flag(
 
     ``identity`` must be unique. With ``positive_only`` rows at or below zero take part in the ranking but are
     never marked. A share is taken of all rows, also of those without a value, which are never marked. Any ``k`` and any share take
-    one way: running totals over (value, id) find the last row, a one-row frame, and a filter marks the rows up to it. Nothing
-    runs before the result is asked for.
+    one way: rows are counted by cells of their value, which partial aggregation does where they are read; only the cell in which the
+    selection ends is put in order, by running totals; a filter then marks the rows up to its last one. Nothing runs before the result is asked for.
     """
-    eligible = (F.col(value) > 0) if positive_only else F.col(value).isNotNull()
-    place = F.struct((-F.col(value)).alias("value"), F.col(identity).alias("id"))
-    keys = df.where(F.col(value).isNotNull()).select(place.alias("_place"))
-    ranked = running_totals(collapse(keys, "_place", {"_n": F.lit(1)}), "_place", ["_n"])
-    if k is None:
-        rows = df.agg(F.floor(F.count("*") * F.lit(float(share))).cast("bigint").alias("_wanted"))
-    else:
-        rows = df.sparkSession.range(0, 1, 1, 1).select(F.lit(int(k)).cast("bigint").alias("_wanted"))
-    wanted = F.least(F.col("_wanted"), F.col("all__n"))
-    last = (wanted > 0) & (F.col("cum__n") >= wanted) & (F.col("cum__n") - F.col("_n") < wanted)
-    cut = ranked.join(F.broadcast(rows)).where(last).select(F.col("_place").alias("_cut"))
+    present = drop_nan(F.col(value))
+    eligible = (present > 0) if positive_only else present.isNotNull()
+    # The hash keeps the id among the columns read, so that shuffles below ``df`` are the same here and where rows are ordered, and are made once.
+    cells = df.groupBy(value_cell(present).alias("_cell")).agg(F.count("*").alias("_n"), F.max(F.xxhash64(identity)).alias("_h")).where("_h IS NOT NULL")
+    # One row per cell from here on.
+    valued = F.sum(F.when(F.col("_cell").isNotNull(), F.col("_n"))).over(W.partitionBy())
+    wanted = F.lit(int(k)) if share is None else F.floor(F.sum("_n").over(W.partitionBy()) * F.lit(float(share)))
+    down = W.orderBy(F.desc("_cell")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = cells.select("_cell", "_n", F.least(wanted, valued).cast("bigint").alias("_wanted")).where("_cell IS NOT NULL").withColumn("_upto", F.sum("_n").over(down))
+    last_cell = (F.col("_wanted") > 0) & (F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_n") < F.col("_wanted"))
+    crossing = counted.where(last_cell).select(F.col("_cell").alias("_crossing"), (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_take"))
+
+    place = F.struct((-present).alias("value"), F.col(identity).alias("id"))
+    inside = df.select(place.alias("_place"), value_cell(present).alias("_cell")).join(F.broadcast(crossing), F.col("_cell") == F.col("_crossing"))
+    ranked = running_totals(collapse(inside.select("_place"), "_place", {"_n": F.lit(1)}), "_place", ["_n"])
+    found = (F.col("cum__n") >= F.col("_take")) & (F.col("cum__n") - F.col("_n") < F.col("_take"))
+    cut = ranked.join(F.broadcast(crossing)).where(found).select(F.col("_place").alias("_cut"))
     marked = df.join(F.broadcast(cut), F.lit(True), "left")
     return marked.withColumn(flag, F.coalesce(eligible & (place <= F.col("_cut")), F.lit(False))).drop("_cut")
 
