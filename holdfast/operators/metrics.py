@@ -298,40 +298,44 @@ def business_metrics(
     return labeled.groupBy(*groups).agg(*business_report(sums, F.count("*")))
 
 
-def performance_row(
+_STATE_SUMS = ("pos", "neg", "acted", "emails", "discounts", "cost", "expected_saved", "realized_saved", "acted_churners", "acted_realized", "own_expected")
+
+
+def metric_state(
     df: DataFrame,
     y_true: str,
     y_score: str,
     action: str,
     moment: str,
     expected_value: str,
-    threshold: float,
     settings: DecisionSettings = DecisionSettings(),
     value: str | None = "customer_value",
     groups: Sequence[str] = (),
     numeric_target: bool = True,
 ) -> DataFrame:
-    """Monitoring row of joined predictions: window, classification, calibration, ranking and business fields.
-
-    Business sums ride on the score table, so the joined input is still read once.
-    """
+    """All that a report needs of labeled predictions, one row per distinct score: counts, money sums and the first and last moment. States of
+    separate rows can be kept and merged (:func:`merge_states`) instead of the rows."""
     labeled = labeled_rows(df, y_true, y_score, [action, *groups], numeric_target)
     worth = F.col(value).cast("double") if value and value in df.columns else F.lit(settings.customer_value)
-    parts = business_columns(F.col(action), worth, settings)
+    parts = {"pos": F.col("y"), "neg": 1 - F.col("y"), **business_columns(F.col(action), worth, settings)}
     parts["own_expected"] = F.coalesce(F.col(expected_value).cast("double"), F.lit(0.0))
-    scores = labeled.groupBy(*groups, "p").agg(
-        F.sum("y").alias("pos"),
-        F.sum(1 - F.col("y")).alias("neg"),
-        *[F.sum(c).alias(name) for name, c in parts.items()],
-        F.min(moment).alias("first_at"),
-        F.max(moment).alias("last_at"),
-    )
+    return labeled.groupBy(*groups, "p").agg(*[F.sum(parts[n]).alias(n) for n in _STATE_SUMS], F.min(moment).alias("first_at"), F.max(moment).alias("last_at"))
+
+
+def merge_states(states: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Several states as one."""
+    sums = [F.sum(n).alias(n) for n in _STATE_SUMS]
+    return states.groupBy(*groups, "p").agg(*sums, F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+
+
+def report_of_state(state: DataFrame, threshold: float, groups: Sequence[str] = ()) -> DataFrame:
+    """The monitoring row of a state: window, classification, calibration, ranking and business fields."""
     # True for every row; naming all sums keeps the shuffle identical in the branches that read it.
     keep = F.col("first_at").isNotNull() | F.col("last_at").isNotNull()
-    for name in ("pos", "neg", *parts):
+    for name in _STATE_SUMS:
         keep = keep | (F.col(name) != 0)
-    ranked = ranked_scores(scores.where(keep), groups)
-    sums = {name: F.sum(name) for name in parts}
+    ranked = ranked_scores(state.where(keep), groups)
+    sums = {name: F.sum(name) for name in _STATE_SUMS}
     n = F.sum(F.col("pos") + F.col("neg"))
     row = classification_report_row(
         ranked,
@@ -352,3 +356,20 @@ def performance_row(
             "actual_churn_rate": "churn_rate",
         }
     )
+
+
+def performance_row(
+    df: DataFrame,
+    y_true: str,
+    y_score: str,
+    action: str,
+    moment: str,
+    expected_value: str,
+    threshold: float,
+    settings: DecisionSettings = DecisionSettings(),
+    value: str | None = "customer_value",
+    groups: Sequence[str] = (),
+    numeric_target: bool = True,
+) -> DataFrame:
+    """Monitoring row of joined predictions. Business sums ride on the score table, so the joined input is still read once."""
+    return report_of_state(metric_state(df, y_true, y_score, action, moment, expected_value, settings, value, groups, numeric_target), threshold, groups)

@@ -30,7 +30,7 @@ def default_buckets(spark: SparkSession) -> int:
     return max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _boundaries(collapsed: DataFrame, key: str, groups: list[str], buckets: int) -> DataFrame:
+def cut_points(collapsed: DataFrame, key: str, groups: list[str], buckets: int) -> DataFrame:
     """One row per group with its sorted boundaries; all groups together hold about ``buckets`` values."""
     wanted = buckets * _OVERSAMPLING
     rows = collapsed.agg(F.count("*").alias("n"))
@@ -45,7 +45,7 @@ def _boundaries(collapsed: DataFrame, key: str, groups: list[str], buckets: int)
     return ordered.select(*groups, every.alias("_bounds"))
 
 
-def _with_bucket(tagged: DataFrame, key: str, buckets: int) -> DataFrame:
+def with_bucket(tagged: DataFrame, key: str, buckets: int) -> DataFrame:
     """Add ``_bucket``, the number of boundaries below the key, and drop the boundary array.
 
     Binary search as a chain of columns, one per halving step. Each refers to the one before it, so the planner
@@ -53,8 +53,8 @@ def _with_bucket(tagged: DataFrame, key: str, buckets: int) -> DataFrame:
     """
     bounds, value = F.col("_bounds"), F.col(key)
     low, chain = F.lit(0), []
-    # Enough steps for twice the wanted number of boundaries; keys beyond would share the last bucket.
-    for i in range((2 * buckets).bit_length() - 1, -1, -1):
+    # A sample of one in ``n div wanted`` has less than twice the wanted size; twice that again is more than chance adds.
+    for i in range((4 * buckets).bit_length() - 1, -1, -1):
         step = 1 << i
         # Past the end of the array there is no value, and the comparison does not hold.
         above = F.get(bounds, low + (step - 1)) < value
@@ -91,12 +91,12 @@ def running_totals(
     buckets = buckets or default_buckets(collapsed.sparkSession)
     groups = list(groups)
     if groups:
-        bounds = _boundaries(collapsed, key, groups, buckets)
+        bounds = cut_points(collapsed, key, groups, buckets)
         tagged = collapsed.join(F.broadcast(bounds), groups, "left")
     else:
-        bounds = _boundaries(collapsed, key, groups, buckets)
+        bounds = cut_points(collapsed, key, groups, buckets)
         tagged = collapsed.join(F.broadcast(bounds))
-    tagged = _with_bucket(tagged, key, buckets)
+    tagged = with_bucket(tagged, key, buckets)
 
     by_bucket = [*groups, "_bucket"]
     inside = W.partitionBy(*by_bucket).orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from holdfast.operators import labels as L
 from holdfast.operators import metrics as M
-from holdfast.operators import policies, rules
+from holdfast.operators import asof, policies, rules
 from holdfast.plans import bindings as B
 from holdfast.plans.bindings import AS_OF, sql_over
 from holdfast.plans.registry import query, rounded
+from holdfast.session import work_dir
 from holdfast.sources import prediction_log as P
+from holdfast.sources.tables import append_history
 
 
 @query("labeled_join", sql_over("labeled", "SELECT prediction_id, prediction, churn FROM labeled"))
@@ -83,6 +85,25 @@ def threshold_lookup(spark, sf):
     return joined.select("prediction_id", "decision_threshold", (F.col("p") >= F.col("decision_threshold")).cast("int").alias("churn_prediction"))
 
 
+_CHANGES = """calls AS (SELECT event_id, user_id % 3 AS model_version, ts, value / 1000.0::DOUBLE AS p FROM events WHERE event_type <> 'purchase'),
+changes AS (SELECT model_version, since, arg_max(t, event_id) AS t FROM (SELECT user_id % 3 AS model_version, ts AS since, event_id, (event_id * 37 % 100) / 100.0::DOUBLE AS t
+FROM events WHERE event_type = 'purchase') GROUP BY model_version, since)"""
+
+
+@query(
+    "threshold_in_force",
+    f"""WITH {_CHANGES} SELECT event_id, coalesce(t, 0.5) AS decision_threshold, CASE WHEN p >= coalesce(t, 0.5) THEN 1 ELSE 0 END AS churn_prediction
+    FROM calls ASOF LEFT JOIN changes ON calls.model_version = changes.model_version AND calls.ts >= changes.since""",
+)
+def threshold_in_force(spark, sf):
+    """Threshold that a model version had when each request was made; it changes with every purchase event."""
+    events = B.table(spark, sf, "events").withColumn("model_version", F.col("user_id") % 3)
+    calls = events.where("event_type <> 'purchase'").select("event_id", "model_version", "ts", (F.col("value") / 1000.0).alias("p"))
+    changes = events.where("event_type = 'purchase'").select("model_version", F.col("ts").alias("since"), "event_id", (F.col("event_id") * 37 % 100 / 100.0).alias("decision_threshold"))
+    held = asof.threshold_in_force(calls, changes.withColumnRenamed("event_id", "change_id"), "ts", "since", "p", tie_break=["change_id"])
+    return held.select("event_id", "decision_threshold", "churn_prediction")
+
+
 @query("log_readback", sql_over("log", "SELECT prediction_id, prediction, action FROM log WHERE request_id = 'req-19980115'"))
 def log_readback(spark, sf):
     return B.prediction_log(spark, sf).where(F.col("request_id") == "req-19980115").select("prediction_id", "prediction", "action")
@@ -155,6 +176,23 @@ def metric_trend(spark, sf):
     return rounded(t.select("month", "n_samples", "f1_score", "f1_score_delta", "brier_score_delta"))
 
 
+@query(
+    "metric_marks",
+    sql_over(
+        "pairs",
+        """SELECT month, retrain, max(CASE WHEN retrain THEN month END) OVER w AS last_retrain, max(CASE WHEN promoted THEN month END) OVER w AS last_promoted
+        FROM (SELECT *, retrain AND n_samples % 2 = 0 AS promoted FROM decided) WINDOW w AS (ORDER BY month)""",
+        f"{_HISTORY}, {_RULE}",
+    ),
+)
+def metric_marks(spark, sf):
+    """The last retraining and the last promotion before each check."""
+    d = rules.retrain_decision(history(spark, sf)).select("month", "retrain", (F.col("retrain") & (F.col("n_samples") % 2 == 0)).alias("promoted"))
+    # A history is a table of its own; checks are not computed again for each mark.
+    d = append_history(d, work_dir(spark, "history"), moment=None)
+    return asof.with_marks(d, "month", ["retrain", "promoted"]).select("month", "retrain", "last_retrain", "last_promoted")
+
+
 @query("retrain_rule", sql_over("pairs", "SELECT month, n_samples, retrain, cause FROM decided", f"{_HISTORY}, {_RULE}"))
 def retrain_rule(spark, sf):
     return rules.retrain_decision(history(spark, sf)).select("month", "n_samples", "retrain", _cause().alias("cause"))

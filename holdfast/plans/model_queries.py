@@ -13,7 +13,7 @@ from holdfast.plans import bindings as B
 from holdfast.plans.bindings import sql_over
 from holdfast.plans.registry import query, rounded
 from holdfast.session import work_dir
-from holdfast.streaming import inbox, labels, requests
+from holdfast.streaming import inbox, labels, monitoring, requests
 
 FEATURES = ["tenure", "MonthlyCharges", "total", "SeniorCitizen"]
 
@@ -237,6 +237,42 @@ def delayed_release(spark, sf):
     return released.groupBy("until").agg(F.count("*").alias("n"), F.sum("churn").alias("churned"), F.sum("prediction_id").alias("keys"))
 
 
+_DAYS = ("1996-12-31", "1999-12-31", "2003-12-31")
+
+
+@query(
+    "monitoring_days",
+    sql_over(
+        "labeled labels",
+        """SELECT until, n_samples, round(f1_score, 6) AS f1_score, round(recall, 6) AS recall, round(roc_auc, 6) AS roc_auc, round(brier_score, 6) AS brier_score, round(expected_profit, 4) AS expected_profit,
+        round(business_realized_profit, 4) AS business_realized_profit, CASE WHEN n_samples < 20 THEN false ELSE f1_score < 0.6 OR recall < 0.65 OR coalesce(roc_auc < 0.75, false) OR brier_score > 0.22 END AS retrain_triggered,
+        until = '1999-12-31' AND CASE WHEN n_samples < 20 THEN false ELSE f1_score < 0.6 OR recall < 0.65 OR coalesce(roc_auc < 0.75, false) OR brier_score > 0.22 END AS champion_promoted FROM (
+        SELECT until, count(*) AS n_samples, CASE WHEN sum(h) + sum(y) = 0 THEN 0 ELSE 2.0::DOUBLE * sum(h * y) / (sum(h) + sum(y)) END AS f1_score,
+        CASE WHEN sum(y) = 0 THEN 0 ELSE sum(h * y)::DOUBLE / sum(y) END AS recall,
+        CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(CASE WHEN y = 1 THEN mid ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y)::DOUBLE * (count(*) - sum(y))) END AS roc_auc,
+        avg((p - y) * (p - y)) AS brier_score, sum(expected_value) AS expected_profit,
+        sum(y * customer_value * CASE action WHEN 'send_email' THEN 0.1::DOUBLE WHEN 'offer_discount' THEN 0.3::DOUBLE ELSE 0 END - CASE action WHEN 'send_email' THEN 2 WHEN 'offer_discount' THEN 10 ELSE 0 END) AS business_realized_profit
+        FROM (SELECT *, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS h, rank() OVER (PARTITION BY until ORDER BY p) + (count(*) OVER (PARTITION BY until, p) - 1) / 2.0 AS mid
+        FROM (SELECT until, churn_probability AS p, labeled.churn AS y, expected_value, customer_value, action FROM labeled JOIN labels USING (prediction_id)
+        JOIN (SELECT unnest(['1996-12-31', '1999-12-31', '2003-12-31']) AS until) ON label_available_at::DATE <= until::DATE)) GROUP BY until)""",
+    ),
+)
+def monitoring_days(spark, sf):
+    """Three monitoring cycles: labels are released, measured from merged states and judged; the retraining of the second is promoted."""
+    folder = work_dir(spark, "monitoring")
+    delivered = B.labels(spark, sf).select("prediction_id", "churn", F.to_date("label_available_at").alias("due"))
+    delivered.write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(delivered.schema).parquet(f"{folder}/in")
+    labels.enqueue_labels(source, "due", f"{folder}/waiting", f"{folder}/released", f"{folder}/enqueued").awaitTermination()
+    B.prediction_log(spark, sf).write.parquet(f"{folder}/log")
+    log = spark.read.parquet(f"{folder}/log")
+    for day in _DAYS:
+        monitoring.monitoring_day(spark, log, folder, day, retrain=lambda day=day: day == _DAYS[1])
+    kept = ("n_samples", "f1_score", "recall", "roc_auc", "brier_score", "expected_profit", "business_realized_profit", "retrain_triggered", "champion_promoted")
+    rows = monitoring.read_days(spark, folder).select(F.col("until").cast("string").alias("until"), *kept)
+    return rounded(rows, expected_profit=4, business_realized_profit=4)
+
+
 def _as_text(column: str):
     entries = F.transform(F.map_entries(column), lambda e: F.concat(e.key, F.lit(":"), e.value))
     return F.array_join(F.array_sort(entries), ",").alias(column)
