@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -23,6 +24,7 @@ from holdfast.operators.naming import feature_names, normalize_raw
 from holdfast.operators.selection import stratified_split
 from holdfast.operators.validation import TARGET, apply_contract, store_batches, stored_batches, validate_or_fail
 from holdfast.sources import prediction_log
+from holdfast.sources.snapshots import splits_from_manifest
 from holdfast.sources.tables import append_history, path_exists, read_table
 
 SEED = 42
@@ -105,6 +107,13 @@ def training_job(
     return model, run
 
 
+def rerun_job(spark: SparkSession, manifest: dict, folder: str, features: Sequence[str], target: str = "churn", s: ModelSettings | None = None) -> tuple[PipelineModel, DataFrame]:
+    """Train again from the splits that a manifest names, with the model settings of its ``effective_config`` unless others are given."""
+    if s is None:
+        s = ModelSettings(**json.loads(manifest.get("effective_config") or "{}").get("model", {}))
+    return training_job(*splits_from_manifest(spark, manifest), folder, features, target, s)
+
+
 def explain_job(
     spark: SparkSession, folder: str, run_id: str, encoded: DataFrame, identity: str, vocabulary: OneHotModel | None = None, top_n: int = 5
 ) -> DataFrame:

@@ -102,6 +102,14 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.explode(table).alias("r")).select("r.*")
 
 
+def target_correlations(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
+    """(column, corr) with the target, largest first; from one aggregate, and as many rows as columns."""
+    named = [c for c in columns if c != target]
+    one = df.agg(*[F.corr(F.col(f"`{c}`").cast("double"), F.col(f"`{target}`").cast("double")).alias(f"c{i}") for i, c in enumerate(named)])
+    table = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("corr")) for i, c in enumerate(named)])
+    return one.select(F.inline(table)).orderBy(F.desc_nulls_last("corr"), "column")
+
+
 def density(df: DataFrame, value: str, group: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density of a value by group on an even grid, with Scott's bandwidth.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.scalars import label_target, number_column, over_threshold
 from holdfast.operators.joins import join_unique
 from holdfast.operators.naming import to_log_id
+from holdfast.operators.validation import require_rows
 
 
 def latest_labels(deliveries: DataFrame, key: str, label: str, moment: str, tie_break: Sequence[str] = ()) -> DataFrame:
@@ -24,9 +25,10 @@ def latest_labels(deliveries: DataFrame, key: str, label: str, moment: str, tie_
     )
 
 
-def labeled_predictions(predictions: DataFrame, labels: DataFrame, key: str = "prediction_id", label: str = "churn") -> DataFrame:
-    """Predictions that have a label. Both sides hold a key once, so there is no hot key to spread."""
-    return predictions.join(labels.select(key, label), key, "inner")
+def labeled_predictions(predictions: DataFrame, labels: DataFrame, key: str = "prediction_id", label: str = "churn", required: bool = False) -> DataFrame:
+    """Predictions that have a label. Both sides hold a key once, so there is no hot key to spread. With ``required`` it is an error if there is none; one row is looked for then."""
+    joined = predictions.join(labels.select(key, label), key, "inner")
+    return require_rows(joined, "No prediction has a label.") if required else joined
 
 
 def attach_labels(predictions: DataFrame, labels: DataFrame | None, key: str = "prediction_id", label: str = "churn") -> DataFrame:

@@ -6,7 +6,7 @@ its input once and shuffles one row per distinct score.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -122,10 +122,35 @@ def brier_score() -> Column:
     return F.try_divide(error, F.sum(F.col("pos") + F.col("neg")).cast("double"))
 
 
+#: Metrics of a report by name: each builds an aggregate over the score table (p, pos, neg, and the running totals cum_* and all_*). Add to this table to extend every report.
+SCORE_METRICS: dict[str, Callable[[], Column]] = {}
+
+
+def score_metric(name: str) -> Callable[[Callable[[], Column]], Callable[[], Column]]:
+    """Register a metric for all reports. It is read from the same rows as the others, so it costs no scan of its own."""
+
+    def register(build: Callable[[], Column]) -> Callable[[], Column]:
+        SCORE_METRICS[name] = build
+        return build
+
+    return register
+
+
+def safe_metric(build: Callable[[], Column]) -> Column:
+    """The metric, or a missing value where it cannot be built (``ValueError``) or the batch has one class only."""
+    try:
+        return _one_class_null(build()).cast("double")
+    except ValueError:
+        return F.lit(None).cast("double")
+
+
 def classification_report_row(
-    ranked: DataFrame, threshold: float, groups: Sequence[str] = (), extra: Sequence[Column] = ()
+    ranked: DataFrame, threshold: float, groups: Sequence[str] = (), extra: Sequence[Column] = (), metrics: dict[str, Callable[[], Column]] | None = None
 ) -> DataFrame:
-    """The full metric row from :func:`ranked_scores`. An empty input gives an error, as a report on nothing would lie."""
+    """The full metric row from :func:`ranked_scores`, with the registered ``SCORE_METRICS`` and those in ``metrics``.
+
+    An empty input gives an error, as a report on nothing would lie."""
+    own = {**SCORE_METRICS, **(metrics or {})}
     n = F.sum(F.col("pos") + F.col("neg"))
     high = F.col("p") >= threshold
     cells = {
@@ -146,6 +171,7 @@ def classification_report_row(
         (F.sum(F.when(high, F.col("pos") + F.col("neg")).otherwise(0)) / n).alias("predicted_churn_rate"),
         (F.sum("pos") / n).alias("actual_churn_rate"),
         (F.sum(F.col("p") * (F.col("pos") + F.col("neg"))) / n).alias("avg_churn_probability"),
+        *[safe_metric(build).alias(name) for name, build in own.items()],
         *extra,
     )
     return with_rates(rows)
@@ -158,10 +184,11 @@ def classification_metrics(
     threshold: float = 0.5,
     groups: Sequence[str] = (),
     numeric_target: bool = False,
+    metrics: dict[str, Callable[[], Column]] | None = None,
 ) -> DataFrame:
-    """All classification metrics of a labeled batch in one row (or one per group)."""
+    """All classification metrics of a labeled batch in one row (or one per group), and any of the caller's ``metrics`` (see ``SCORE_METRICS``)."""
     labeled = labeled_rows(df, y_true, y_score, groups, numeric_target)
-    return classification_report_row(ranked_scores(score_table(labeled, groups), groups), threshold, groups)
+    return classification_report_row(ranked_scores(score_table(labeled, groups), groups), threshold, groups, metrics=metrics)
 
 
 def roc_points(ranked: DataFrame) -> DataFrame:

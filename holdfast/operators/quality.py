@@ -65,18 +65,19 @@ def quality_status(
 
     The status is 'disabled', 'empty', 'warning' (any gap or unseen value) or 'ok'.
     """
-    rows = current.agg(F.count("*").alias("row_count"))
     if not enabled:
-        return rows.select("row_count", F.lit("disabled").alias("quality_status"))
-    gaps = missing_rates(current, columns).agg(F.count_if(F.col("missing_rate") > 0).alias("columns_with_gaps"))
+        return current.agg(F.count("*").alias("row_count")).select("row_count", F.lit("disabled").alias("quality_status"))
+    gaps = F.lit(0).cast("bigint")
+    for c in columns if columns is not None else current.columns:
+        gaps = gaps + F.coalesce(F.max(is_missing(current, c).cast("bigint")), F.lit(0))
+    rows = current.agg(F.count("*").alias("row_count"), gaps.alias("columns_with_gaps"))
     if known is None:
         unseen = rows.select(F.lit(0).cast("bigint").alias("unseen_values"))
     else:
-        unseen = unseen_categories(current, known, features).agg(
-            F.coalesce(F.sum("unseen_category_count"), F.lit(0)).alias("unseen_values")
-        )
-    # Three one-row frames.
-    joined = rows.join(F.broadcast(gaps)).join(F.broadcast(unseen))
+        values = long_text(current, features).where("value IS NOT NULL").distinct()
+        unseen = values.join(known, ["feature", "value"], "left_anti").agg(F.count("*").alias("unseen_values"))
+    # Two one-row frames.
+    joined = rows.join(F.broadcast(unseen))
     status = (
         F.when(F.col("row_count") == 0, "empty")
         .when((F.col("columns_with_gaps") > 0) | (F.col("unseen_values") > 0), "warning")

@@ -19,8 +19,8 @@ def latest_row(history: DataFrame, moment: str = "timestamp", by: Sequence[str]
     )
 
 
-def _three(value: Column) -> Column:
-    return F.format_string("%.3f", value)
+def _missed(name: str, value: Column, limit: float) -> Column:
+    return F.format_string(f"{name} is %.3f, limit {limit:g}", value)
 
 
 def retrain_decision(
@@ -29,23 +29,23 @@ def retrain_decision(
     """Add ``retrain`` and ``retrain_reason`` to metric rows. A missing metric is skipped; the first hit gives the reason."""
     n, f1, recall, auc, brier = (F.col(c) for c in ("n_samples", "f1_score", "recall", "roc_auc", "brier_score"))
     hits = [
-        (f1 < s.min_f1, "F1 below threshold: ", f1),
-        (recall < s.min_recall, "Recall below threshold: ", recall),
-        (auc < s.min_roc_auc, "ROC AUC below threshold: ", auc),
-        (brier > s.max_brier_score, "Brier score above threshold: ", brier),
+        (f1 < s.min_f1, "F1", f1, s.min_f1),
+        (recall < s.min_recall, "Recall", recall, s.min_recall),
+        (auc < s.min_roc_auc, "ROC AUC", auc, s.min_roc_auc),
+        (brier > s.max_brier_score, "Brier score", brier, s.max_brier_score),
     ]
     few = F.coalesce(n, F.lit(0)) < s.min_samples
     retrain = F.when(few, False)
-    reason = F.when(few, "Not enough labeled samples yet.")
-    for hit, text, value in hits:
+    reason = F.when(few, "Too few labels to judge by.")
+    for hit, name, value, limit in hits:
         retrain = retrain.when(hit, True)
-        reason = reason.when(hit, F.concat(F.lit(text), _three(value)))
+        reason = reason.when(hit, _missed(name, value, limit))
     if flag:
         stored = F.coalesce(F.col(flag), F.lit(False))
         retrain = retrain.when(stored, True)
-        reason = reason.when(stored, "Flagged by monitoring.")
+        reason = reason.when(stored, "An earlier check asked for it.")
     return metrics.withColumns(
-        {"retrain": retrain.otherwise(False), "retrain_reason": reason.otherwise("Model performance is within thresholds.")}
+        {"retrain": retrain.otherwise(False), "retrain_reason": reason.otherwise("Every metric keeps its limit.")}
     )
 
 

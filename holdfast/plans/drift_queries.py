@@ -142,8 +142,10 @@ def unseen_categories(spark, sf):
 
 @query(
     "quality_status",
-    f"""WITH {_UNSEEN} SELECT (SELECT count(*) FROM documents WHERE lang <> 'en') AS row_count, 0::BIGINT AS columns_with_gaps,
-    CAST((SELECT sum(unseen_category_count) FROM summary) AS BIGINT) AS unseen_values, 'warning' AS quality_status""",
+    f"""WITH {_UNSEEN}, counted AS (SELECT count(*) AS row_count, (max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) + max(CASE WHEN lang IS NULL THEN 1 ELSE 0 END)
+    + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END))::BIGINT AS columns_with_gaps FROM documents WHERE lang <> 'en'),
+    found AS (SELECT counted.*, CAST((SELECT sum(unseen_category_count) FROM summary) AS BIGINT) AS unseen_values FROM counted)
+    SELECT *, CASE WHEN row_count = 0 THEN 'empty' WHEN columns_with_gaps > 0 OR unseen_values > 0 THEN 'warning' ELSE 'ok' END AS quality_status FROM found""",
 )
 def quality_status(spark, sf):
     reference, current = _documents(spark, sf)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from holdfast.functions.scalars import round_even
@@ -117,6 +118,19 @@ def correlation(spark, sf):
     return rounded(explore.correlations(rows, _CORR))
 
 
+@query(
+    "target_correlation",
+    "WITH li AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS churned FROM lineitem) SELECT \"column\", corr, row_number() OVER (ORDER BY corr DESC, \"column\") AS place FROM ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS \"column\", round(corr({a}, churned), 6) AS corr FROM li" for a in _CORR if a != "churned")
+    + ")",
+)
+def target_correlation(spark, sf):
+    """Columns by their correlation with the target; the place shows the order."""
+    rows = B.table(spark, sf, "lineitem").withColumn("churned", (F.col("l_returnflag") == "R").cast("int"))
+    found = rounded(explore.target_correlations(rows, "churned", _CORR))
+    return found.withColumn("place", F.row_number().over(W.orderBy(F.desc("corr"), "column")).cast("bigint"))
+
+
 @query(
     "density",
     sql_over(

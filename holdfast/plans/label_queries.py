@@ -106,7 +106,13 @@ def threshold_in_force(spark, sf):
 
 @query("log_readback", sql_over("log", "SELECT prediction_id, prediction, action FROM log WHERE request_id = 'req-19980115'"))
 def log_readback(spark, sf):
-    return B.prediction_log(spark, sf).where(F.col("request_id") == "req-19980115").select("prediction_id", "prediction", "action")
+    """The log is stored, one request is read back from it, and its row count checked."""
+    path = work_dir(spark, "log")
+    # Dated by month: the orders of the small tables are spread over thousands of days.
+    P.append(B.prediction_log(spark, sf).withColumn("prediction_date", F.to_date(F.trunc("prediction_timestamp", "month"))), path)
+    rows = P.read_request(spark, path, "req-19980115")
+    P.check_request(rows, 1)
+    return rows.select("prediction_id", "prediction", "action")
 
 
 @query(
@@ -150,11 +156,11 @@ CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(CASE WHEN y = 1 THEN mid EL
 avg((p - y) * (p - y)) AS brier_score FROM (SELECT *, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS h FROM ranked) GROUP BY month)"""
 _ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in ("f1_score", "recall", "precision", "roc_auc", "brier_score"))
 _RULE = """decided AS (SELECT *, CASE WHEN n_samples < 20 THEN false WHEN f1_score < 0.6 THEN true WHEN recall < 0.65 THEN true WHEN roc_auc < 0.75 THEN true WHEN brier_score > 0.22 THEN true ELSE false END AS retrain,
-CASE WHEN n_samples < 20 THEN 'Not enough labeled samples yet.' WHEN f1_score < 0.6 THEN 'F1' WHEN recall < 0.65 THEN 'Recall' WHEN roc_auc < 0.75 THEN 'ROC AUC' WHEN brier_score > 0.22 THEN 'Brier score' ELSE 'Model performance is within thresholds.' END AS cause FROM history)"""
+CASE WHEN n_samples < 20 THEN 'Too few labels to judge by.' WHEN f1_score < 0.6 THEN 'F1' WHEN recall < 0.65 THEN 'Recall' WHEN roc_auc < 0.75 THEN 'ROC AUC' WHEN brier_score > 0.22 THEN 'Brier score' ELSE 'Every metric keeps its limit.' END AS cause FROM history)"""
 
 
 def _cause():
-    return F.regexp_replace("retrain_reason", " (below|above) threshold: .*", "")
+    return F.regexp_replace("retrain_reason", " is [^,]*, limit .*", "")
 
 
 

@@ -278,12 +278,19 @@ def coalesce_ids(spark, sf):
     return rows.select("o_orderkey", S.first_filled(F.col("id_raw"), F.col("id_request"), F.col("id_log")).alias("customer_id"))
 
 
-@query("training_release", sql_over("customers", 'SELECT "customerID", "TotalCharges", "Churn", CAST(21 AS INTEGER) AS n_columns FROM customers'))
+_RELEASED = ", ".join(
+    f'"{n}"' if n in ("customerID", "gender", "SeniorCitizen", "Partner", "tenure", "InternetService", "Contract", "PaymentMethod", "TotalCharges", "Churn")
+    else 'round("MonthlyCharges", 6) AS "MonthlyCharges"' if n == "MonthlyCharges" else f"'No' AS \"{n}\""
+    for n in validation.RAW_COLUMNS
+)
+
+
+@query("training_release", sql_over("customers", f"SELECT {_RELEASED} FROM customers"))
 def training_release(spark, sf):
     c = B.customers(spark, sf)
     filled = c.withColumns({n: F.lit("No") for n in validation.RAW_COLUMNS if n not in c.columns})
     released = validation.release_columns(filled)
-    return released.select("customerID", "TotalCharges", "Churn", F.lit(len(released.columns)).alias("n_columns"))
+    return rounded(released)
 
 
 @query("version_id", "SELECT DISTINCT strftime(o_orderdate, 'ds_%Y%m%d_%H%M%S') AS version FROM orders")

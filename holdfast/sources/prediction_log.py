@@ -50,8 +50,8 @@ def as_json(log: DataFrame, inputs: list[str]) -> DataFrame:
 
 
 def append(log: DataFrame, path: str) -> None:
-    """Add rows to the log; each day is a folder, so readers prune by date."""
-    log.write.mode("append").partitionBy("prediction_date").parquet(path)
+    """Add rows to the log; each day is a folder, so readers prune by date. Rows of a day meet in few files; a large day is split."""
+    log.hint("rebalance", "prediction_date").write.mode("append").partitionBy("prediction_date").parquet(path)
 
 
 def read_request(spark: SparkSession, path: str, request_id: str) -> DataFrame:

@@ -16,12 +16,11 @@ from holdfast.sources.tables import append_history, path_exists
 from holdfast.streaming import labels as label_streams
 
 
-def log_stream(predictions: DataFrame, path: str, checkpoint: str, ts: str = "prediction_timestamp", available_now: bool = True) -> StreamingQuery:
-    """Append a prediction stream to the date-partitioned log, each row once."""
-    dated = predictions.withColumn("prediction_date", F.to_date(ts))
-    writer = (
-        dated.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("prediction_date")
-    )
+def log_stream(predictions: DataFrame, path: str, checkpoint: str, ts: str = "prediction_timestamp", available_now: bool = True, by_month: bool = False) -> StreamingQuery:
+    """Append a prediction stream to the log, each row once: a folder per day, or per month for a log of few rows and many days."""
+    day, part = F.to_date(ts), "prediction_month" if by_month else "prediction_date"
+    dated = predictions.withColumn(part, F.date_format(day, "yyyy-MM") if by_month else day)
+    writer = dated.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy(part)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

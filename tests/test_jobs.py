@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast import jobs
-from holdfast.config import CostSettings, ModelSettings, ServingSettings
-
+from holdfast.config import CostSettings, FeatureSettings, ModelSettings, ServingSettings
 from holdfast.operators import costs, explain, labels, learning, rules, serving
 from holdfast.operators.validation import stored_batches
 from holdfast.sources import keyed_table, prediction_log, snapshots, tables
@@ -101,14 +100,14 @@ def _history(spark, *rows):
 @pytest.mark.parametrize(
     "row,want,reason",
     [
-        ((1, 19, 0.1, 0.1, 0.1, 0.9, True), False, "Not enough"),
-        ((1, 20, 0.59, 0.7, 0.8, 0.1, False), True, "F1 below threshold: 0.590"),
-        ((1, 20, 0.60, 0.65, 0.75, 0.22, False), False, "within"),
+        ((1, 19, 0.1, 0.1, 0.1, 0.9, True), False, "Too few"),
+        ((1, 20, 0.59, 0.7, 0.8, 0.1, False), True, "F1 is 0.590, limit 0.6"),
+        ((1, 20, 0.60, 0.65, 0.75, 0.22, False), False, "keeps"),
         ((1, 20, None, 0.64, 0.8, 0.1, None), True, "Recall"),
         ((1, 20, 0.9, 0.9, 0.7, 0.1, False), True, "ROC AUC"),
         ((1, 20, 0.9, 0.9, None, 0.23, False), True, "Brier"),
-        ((1, 20, None, None, None, None, True), True, "Flagged"),
-        ((1, None, 0.1, 0.1, 0.1, 0.9, True), False, "Not enough"),
+        ((1, 20, None, None, None, None, True), True, "earlier check"),
+        ((1, None, 0.1, 0.1, 0.1, 0.9, True), False, "Too few"),
     ],
 )
 def test_retrain_rule(spark, row, want, reason):
@@ -409,3 +408,64 @@ def test_every_label_is_matched_or_reconciled(spark):
     rest = label_streams.reconcile_labels(p, l, matched)
     assert [r.prediction_id for r in matched.collect()] == [1]
     assert {(r.prediction_id, r.churn, r.predicted_at is None) for r in rest.collect()} == {(2, 0, False), (3, 1, False), (9, 1, True)}
+
+
+def test_explanations_come_from_the_stored_model(spark, tmp_path):
+    rows = spark.createDataFrame([(i, float(i % 7), "ab"[i % 2], "Yes" if (i * 7 + i % 2) % 5 < 2 else "No") for i in range(200)], "customerid int, tenure double, kind string, churn string")
+    settings = FeatureSettings(cast_to_numeric=(), numeric_columns=("tenure",), categorical_columns=("kind",), drop_columns=("customerid",))
+    encoded, _ = jobs.feature_job(spark, rows, str(tmp_path), settings, keep_id="customerid")
+    columns = ["tenure", "kind_b"]
+    model, run = jobs.training_job(encoded, encoded, str(tmp_path), columns, s=ModelSettings(kind="logistic_irls"))
+    reasons = jobs.explain_job(spark, str(tmp_path), run.first().run_id, encoded, "customerid").collect()
+    weights = learning.linear_coefficients(model, columns)
+    tenure = sum(i % 7 for i in range(200)) / 200
+    for r in reasons:
+        x, mean = (r.customerid % 7, tenure) if r.feature == "tenure" else (r.customerid % 2, 0.5)
+        assert r.impact == pytest.approx(weights["tenure" if r.feature == "tenure" else "kind_b"] * (x - mean))
+    assert {r.feature for r in reasons} == {"tenure", "kind"}
+    with pytest.raises(KeyError):
+        jobs.explain_job(spark, str(tmp_path), run.first().run_id, encoded.drop("tenure"), "customerid")
+
+
+def test_a_run_is_repeated_from_its_manifest(spark, tmp_path):
+    rows = spark.createDataFrame([(i, float(i % 7), "Yes" if (i * 7 + i % 2) % 5 < 2 else "No") for i in range(120)], "id int, tenure double, churn string")
+    for name, part in (("train", rows.where("id % 4 > 0")), ("val", rows.where("id % 4 = 0"))):
+        part.write.parquet(f"{tmp_path}/{name}.parquet")
+    sources = {"split_train": f"{tmp_path}/train.parquet", "split_val": f"{tmp_path}/val.parquet"}
+    snapshots.snapshot(spark, f"{tmp_path}/v", sources, "ds_1", config={"model": {"kind": "logistic_irls"}})
+    _, first = jobs.rerun_job(spark, snapshots.latest_manifest(spark, f"{tmp_path}/v"), f"{tmp_path}/a", ["tenure"])
+    rows.where("id < 10").write.mode("overwrite").parquet(f"{tmp_path}/train.parquet")  # what has changed since does not matter
+    _, again = jobs.rerun_job(spark, snapshots.latest_manifest(spark, f"{tmp_path}/v"), f"{tmp_path}/b", ["tenure"])
+    a, b = first.first(), again.first()
+    assert (a.model_type, a.decision_threshold, a.metrics) == ("logistic_irls", b.decision_threshold, b.metrics)
+    second = snapshots.snapshot(spark, f"{tmp_path}/v", sources, "ds_2")
+    assert "ds_2" in second["snapshots"]["split_train"] and "ds_1" in second["snapshots"]["split_val"]
+
+
+def test_a_monitoring_day_that_broke_off_is_done_again(spark, tmp_path):
+    import shutil
+
+    log = spark.createDataFrame([(i, i / 40.0, "send_email", 1.0, 100.0) for i in range(40)], "prediction_id long, prediction double, action string, expected_value double, customer_value double")
+    log = log.withColumn("prediction_timestamp", F.lit("2024-01-01").cast("timestamp"))
+    due = log.select("prediction_id", (F.col("prediction_id") % 2).cast("int").alias("churn"), F.expr("date_add(DATE '2024-02-01', cast(prediction_id % 2 as int))").alias("due"))
+    due.write.parquet(f"{tmp_path}/in")
+    label_streams.enqueue_labels(spark.readStream.schema(due.schema).parquet(f"{tmp_path}/in"), "due", f"{tmp_path}/waiting", f"{tmp_path}/released", f"{tmp_path}/cp").awaitTermination()
+    calls = []
+
+    def day(until):
+        rows = monitoring.monitoring_day(spark, log, str(tmp_path), until, retrain=lambda: calls.append(until) or True)
+        return {str(r.until): (r.n_samples, r.retrain_triggered, r.champion_promoted) for r in rows.collect()}
+
+    assert day("2024-02-01") == {"2024-02-01": (20, True, True)}
+    both = {"2024-02-01": (20, True, True), "2024-02-02": (40, True, True)}
+    assert day("2024-02-02") == both and day("2024-02-02") == both and calls == ["2024-02-01", "2024-02-02"]
+    shutil.rmtree(f"{tmp_path}/history/until=2024-02-02")
+    shutil.rmtree(f"{tmp_path}/states/until=2024-02-02")
+    assert day("2024-02-02") == both
+
+
+def test_a_join_without_any_label_can_be_an_error(spark):
+    log, none = spark.range(3).withColumnRenamed("id", "prediction_id"), spark.createDataFrame([], "prediction_id long, churn int")
+    assert labels.labeled_predictions(log, none).count() == 0
+    with pytest.raises(ValueError):
+        labels.labeled_predictions(log, none, required=True)
