@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import stored
+from holdfast.operators.joins import join_unique
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -28,9 +29,10 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     while before[0]:
         both = edges.select(F.col("big").alias("u"), F.col("small").alias("v")).unionAll(edges.select(F.col("small").alias("u"), F.col("big").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("big"), F.col("m").alias("small")).distinct()
+        # A node with very many neighbours is spread: only its minimum is copied.
+        large = join_unique(both.where("v > u"), least, "u").where("v != m").select(F.col("v").alias("big"), F.col("m").alias("small")).distinct()
         lowest = large.groupBy("big").agg(F.min("small").alias("m"))
-        across = large.join(lowest, "big").where("small != m").select(F.col("small").alias("big"), F.col("m").alias("small"))
+        across = join_unique(large, lowest, "big").where("small != m").select(F.col("small").alias("big"), F.col("m").alias("small"))
         edges = stored(across.unionAll(lowest.select("big", F.col("m").alias("small"))).distinct(), "links")
         after = _signature(edges)
         if after == before:

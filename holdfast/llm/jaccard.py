@@ -367,7 +367,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay: one of each group of near copies, with all columns."""
-    (name,) = fresh(docs, "_gone")
-    gone = near_copies(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs[id_col].cast("bigint") == gone[name], "left_anti")
+    """The documents that stay: of each group of near copies the one with the smallest id (a missing id comes last), with all columns.
+
+    A document is an id with its text, known by a hash of both: texts that share an id are documents of their own, and one is not dropped for the other's sake. Repeated rows with equal id and text stay
+    as one. Documents without words are no copies of each other. An empty table gives no rows.
+    """
+    key, gone = fresh(docs, "_key", "_gone")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull()))
+    plain = keyed.select(F.col(key).alias("key"), F.col(id_col).cast("bigint").alias("id"))
+    repeated = stored(plain.groupBy("key").agg(F.first("id").alias("id"), F.count("*").alias("rows")), "keys")
+    near = near_copies(keyed.select(F.col(key).alias("_doc"), F.col(text_col).alias("_text")), "_doc", "_text").where("n_links > 0")
+    linked = near.select(F.col("doc_id").alias("key"), "component_id").distinct().join(repeated.select("key", "id"), "key")
+    order = F.struct(F.col("id").isNull().alias("unset"), "id", "key")
+    first = linked.groupBy("component_id").agg(F.min(order).alias("first"))
+    dropped = linked.join(first, "component_id").where(F.col("key") != F.col("first.key")).select(F.col("key").alias(gone))
+    left = keyed.join(dropped, F.col(key) == F.col(gone), "left_anti")
+    # Few rows come twice: only those meet.
+    twice = repeated.where("rows > 1").select(F.col("key").alias(gone))
+    once = left.join(twice, F.col(key) == F.col(gone), "left_anti")
+    again = left.join(twice, F.col(key) == F.col(gone), "left_semi").dropDuplicates([key])
+    return once.unionAll(again).drop(key)

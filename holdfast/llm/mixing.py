@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import WORD, fresh, stored, text_of
+from holdfast.operators.ordering import running_totals
 
 #: Weights that the sources take in turn, share of all words that the mix takes, and how often a document is used at most.
 WEIGHTS = (3, 1, 2)
@@ -57,8 +58,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the same id and text get one key; ties are taken together and share what is left of the budget, rounded down. Other columns are not read. An empty
     table gives no rows.
 
-    Texts are read once. A source is never sorted: keys are exponential, so 1 - exp(-key) cuts them into ``CELLS`` cells; sums per cell, made before
-    the shuffle, tell the cell in which the budget ends, and only its documents are put in order.
+    Texts are read once. Keys are exponential over quality, so 1 - exp(-key) cuts them into ``CELLS`` cells; sums per cell, made before
+    the shuffle, tell the cell in which the budget ends, and only its documents are put in order. Documents of low quality crowd the last cells, so a cell may hold much of a source: it is
+    summed up in pieces of its range, whose cuts come from the keys themselves.
     """
     text = text_of(text_col)
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 11)
@@ -92,8 +94,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = rows.join(plan, "of")
     inside = placed.where(F.col("cell") == F.col("end_cell"))
     by_key = inside.groupBy("of", "key").agg(F.sum("size").alias("words"), F.first("room").alias("room"), F.count_if(F.col("size") > 0).alias("ties"))
-    order = Window.partitionBy("of").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = by_key.select("of", "key", "words", "ties", (F.col("room") - F.sum("words").over(order) + F.col("words")).alias("room_here"))
+    # However many documents a cell holds, they are summed up in pieces of the key's range.
+    summed = running_totals(by_key, "key", ["words"], ["of"])
+    filled = summed.select("of", "key", "words", "ties", (F.col("room") - F.col("cum_words") + F.col("words")).alias("room_here"))
     if whole_docs:
         use = F.when(F.col("room_here") * 2 > F.col("words"), F.col("words")).otherwise(F.lit(0))
     else:

@@ -235,3 +235,12 @@ def test_no_link_is_lost_where_differences_share_directions(spark, kind, monkeyp
     got = {r["vec_id"]: r["n_links"] for r in near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
     units = points / np.linalg.norm(points, axis=1, keepdims=True)
     assert [got[i] for i in range(len(points))] == ((units @ units.T >= 0.95).sum(1) - 1).tolist()
+
+
+def test_keep_one_goes_by_id_and_text(spark):
+    """A text is not dropped because another one with its id is a copy; the smallest id of a group stays, repeated rows stay once."""
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, base), (2, base + " x"), (2, other), (3, None), (4, ""), (None, base + " y"), (5, other + " z"), (6, "one of a kind"), (6, "one of a kind")]
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_one(docs_of(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, base), (2, other), (3, None), (4, ""), (6, "one of a kind")], key=str)
