@@ -117,19 +117,21 @@ class Index:
     def near(self, queries: np.ndarray, units: np.ndarray, number: int, codes: np.ndarray, errors: np.ndarray, radius: float, least: float, homes: np.ndarray | None = None):
         """Pairs (query, row of list ``number``) whose cosine is at least ``least``; with ``homes``, the lists of the queries, those that count ``here``.
 
-        Distances to the codes come from the vectors that they stand for, by one product of matrices for some queries at a time. A real distance differs from that to the code by the code's error at most, so
-        nothing is lost by dropping pairs whose coded distance is above radius + error.
+        A query keeps one table per part of the vector: its squared distance to each of the code words there. The distance to a code is the sum of what its bytes point at, so no
+        vector of the list is looked at. A real distance differs from that to the code by the code's error at most, so nothing is lost by dropping pairs whose coded distance is above radius + error; the
+        others are reranked by their exact cosine.
         """
         homes = np.full(len(queries), number) if homes is None else homes
         rest = queries - self.centres[number]
-        decoded = np.empty((len(units), units.shape[1]))
-        for k, (c, book) in enumerate(zip(self.columns, self.books)):
-            decoded[:, c] = book[codes[:, k]]
         limits = (radius + errors + _SLACK) ** 2
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         step = max(1, 4_000_000 // max(1, len(units)))
         for first in range(0, len(rest), step):
-            i, j = np.nonzero(_squares(rest[first : first + step], decoded) <= limits)
+            part = rest[first : first + step]
+            coded = np.zeros((len(part), len(units)))
+            for k, (c, book) in enumerate(zip(self.columns, self.books)):
+                coded += np.take(_squares(part[:, c], book), codes[:, k], axis=1)
+            i, j = np.nonzero(coded <= limits)
             for start in range(0, len(i), 100_000):
                 x, y = i[start : start + 100_000] + first, j[start : start + 100_000]
                 keep = np.einsum("ij,ij->i", queries[x], units[y]) >= least
