@@ -155,6 +155,29 @@ def test_secrets_match_plain_patterns(spark):
     assert secrets.scan_secrets(docs_of(spark, SECRETS).limit(0)).collect() == []
 
 
+def test_a_text_with_very_many_secrets(spark):
+    """A text of 200,000 hashes: places are found in about linear time, and no value is written down."""
+    import time
+
+    values = [hashlib.md5(str(i).encode()).hexdigest() for i in range(200_000)]
+    text = " ".join(values)
+    began = time.monotonic()
+    got = secrets.scan_secrets(docs_of(spark, [(1, text)])).first()
+    assert time.monotonic() - began < 120
+    assert got["n_hex"] == sum(v is not None for v in values)
+    want = ",".join(f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{24,}", text))
+    assert got["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_values_live_by_owners_and_repositories(spark):
+    """Two columns: a value in many repositories of one owner is a copied one, too."""
+    key, other = "AKIA" + "Q" * 16, "AKIA" + "R" * 16
+    rows = [(i, key, "me", f"repo{i}") for i in range(4)] + [(10, other, "me", "a"), (11, other, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, owner string, repo string")
+    got = {r["doc_id"]: (r["n_live"], r["n_copied"]) for r in secrets.scan_secrets(docs, owner_col="owner", repository_col="repo").collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (0, 1), 3: (0, 1), 10: (1, 0), 11: (1, 0)}
+
+
 def test_secrets_plan_has_no_python(spark):
     plan = secrets.scan_secrets(docs_of(spark, SECRETS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
