@@ -377,7 +377,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     plain = keyed.select(F.col(key).alias("key"), F.col(id_col).cast("bigint").alias("id"))
     repeated = stored(plain.groupBy("key").agg(F.first("id").alias("id"), F.count("*").alias("rows")), "keys")
     near = near_copies(keyed.select(F.col(key).alias("_doc"), F.col(text_col).alias("_text")), "_doc", "_text").where("n_links > 0")
-    linked = near.select(F.col("doc_id").alias("key"), "component_id").distinct().join(repeated.select("key", "id"), "key")
+    linked = stored(near.select(F.col("doc_id").alias("key"), "component_id").distinct().join(repeated.select("key", "id"), "key"), "linked")
     order = F.struct(F.col("id").isNull().alias("unset"), "id", "key")
     first = linked.groupBy("component_id").agg(F.min(order).alias("first"))
     dropped = linked.join(first, "component_id").where(F.col("key") != F.col("first.key")).select(F.col("key").alias(gone))
