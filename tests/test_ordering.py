@@ -94,3 +94,15 @@ def test_seeded_sample_is_stable(spark):
     a = {r.id for r in seeded_sample(df, "id", 50).collect()}
     assert a == {r.id for r in seeded_sample(df.repartition(9), "id", 50).collect()}
     assert len(a) == 50
+
+
+@pytest.mark.parametrize("limit", [{"k": 1}, {"k": 4}, {"k": 9}, {"k": 30}, {"share": 0.5}, {"k": 0}])
+@pytest.mark.parametrize("positive_only", [True, False])
+def test_a_cut_among_values_of_any_size(spark, limit, positive_only):
+    """Huge, tiny, negative, infinite, missing and equal values: the cells keep their order."""
+    values = [float("inf"), 1e300, 5.0, 5.0, 5.0, 4.999999, 1e-300, 5e-324, 0.0, -0.0, -1e-300, -5.0, -5.0, -1e300, float("-inf"), None, float("nan"), 2.0, 3.0, 1.0]
+    rows = [(i, v) for i, v in enumerate(values)]
+    marked = {r.id for r in top_flag(spark.createDataFrame(rows, "id int, v double"), "v", "id", "top", positive_only=positive_only, **limit).where("top").collect()}
+    ranked = sorted((-v, i) for i, v in rows if v is not None and v == v)
+    n = limit["k"] if "k" in limit else int(len(rows) * limit["share"])
+    assert marked == {i for v, i in ranked[:n] if -v > 0 or not positive_only}
