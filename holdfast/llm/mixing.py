@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import WORD, fresh, stored, text_of
+from holdfast.operators.joins import join_unique
 from holdfast.operators.ordering import running_totals
 
 #: Weights that the sources take in turn, share of all words that the mix takes, and how often a document is used at most.
@@ -77,10 +78,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cell = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(CELLS)).cast("int")
     rows = stored(sized.withColumn("cell", F.least(cell, F.lit(CELLS - 1))), "mix")
 
-    cells = rows.groupBy("source", "of", "cell").agg(F.sum("size").alias("words"))
-    budget = targets(cells.groupBy("source", "of").agg(F.sum("words").alias("source_size"))).drop("source")
+    cells = rows.groupBy("source", "of", "cell").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+    totals = cells.groupBy("source", "of").agg(F.sum("words").alias("source_size"), F.sum("docs").alias("_rows"))
+    budget = targets(totals).drop("source")
     share = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(F.lit(0))
-    budget = budget.select("of", "source_size", "target", share.cast("bigint").alias("epochs"))
+    budget = budget.select("of", "source_size", "_rows", "target", share.cast("bigint").alias("epochs"))
     # Rounded down, so that no source goes above its target.
     budget = budget.withColumn("rest", F.greatest(F.lit(0), F.floor(F.col("target") + F.lit(1e-6)).cast("bigint") - F.col("epochs") * F.col("source_size")))
 
@@ -88,10 +90,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     reach = cells.join(budget, "of").select("of", "cell", "rest", F.sum("words").over(running).alias("sum"), "words")
     ends = reach.where((F.col("sum") > F.col("rest")) & (F.col("sum") - F.col("words") <= F.col("rest")) & (F.col("words") > 0))
     ends = ends.groupBy("of").agg(F.min(F.struct(F.col("cell"), (F.col("rest") - F.col("sum") + F.col("words")).alias("room"))).alias("e"))
-    plan = budget.drop("rest").join(ends.select("of", F.col("e.cell").alias("end_cell"), F.col("e.room").alias("room")), "of", "left")
+    planned = stored(budget.drop("rest").join(ends.select("of", F.col("e.cell").alias("end_cell"), F.col("e.room").alias("room")), "of", "left"), "mix-plan")
 
-    # One row per source: small beside the documents, but without a known bound, so the join is left to the planner.
-    placed = rows.join(plan, "of")
+    # One row per source: small beside the documents, but without a known bound. A source may hold most documents, so large ones are spread.
+    placed = join_unique(rows, planned.drop("_rows"), "of", counts=planned.select("of", "_rows"))
     inside = placed.where(F.col("cell") == F.col("end_cell"))
     by_key = inside.groupBy("of", "key").agg(F.sum("size").alias("words"), F.first("room").alias("room"), F.count_if(F.col("size") > 0).alias("ties"))
     # However many documents a cell holds, they are summed up in pieces of the key's range.
