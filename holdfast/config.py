@@ -25,6 +25,8 @@ class DriftSettings:
     min_samples: int = 50
     p_value_threshold: float = 0.01
     stat_threshold: float = 0.10
+    #: The KS p-value is exact while both sample sizes multiply to no more than this, and the large-sample series beyond.
+    exact_cells: int = 1_000_000
 
 
 @dataclass(frozen=True)

@@ -24,6 +24,43 @@ def kolmogorov_tail(statistic: Column, reference_n: Column, current_n: Column) -
     return F.when(z < 0.2, 1.0).otherwise(F.least(F.greatest(terms, F.lit(0.0)), F.lit(1.0)))
 
 
+def with_kolmogorov_exact(df: DataFrame, statistic: str, reference_n: str, current_n: str, output: str, most_cells: int) -> DataFrame:
+    """``df`` with the exact P(D >= statistic) of two samples without ties; null where the statistic is missing, a sample is empty or their sizes multiply to more than ``most_cells``.
+
+    If both samples have one distribution, drawing their values in order is a walk over a lattice that takes the next value from either sample in proportion to what it has
+    left. ``p`` holds the chances of the places, from ``low`` on, whose distance has stayed below the statistic; what steps out of this band is summed up, so small
+    p-values keep their leading digits. A step costs as many operations as the band is wide: 2 * statistic * reference_n * current_n in all.
+    """
+    a, b, gap = F.col("_a"), F.col("_b"), F.col("_gap")
+    out = df.withColumns({"_a": F.least(reference_n, current_n).cast("bigint"), "_b": F.greatest(reference_n, current_n).cast("bigint")})
+    out = out.withColumn("_gap", F.round(F.col(statistic) * a * b).cast("bigint"))
+    usable = (a > 0) & (a * b <= most_cells) & gap.isNotNull()
+
+    def step(state: Column, t: Column) -> Column:
+        left = (a + b - t + 1).cast("double")
+        low = F.greatest(F.lit(0).cast("bigint"), t - b, F.floor((t * a - gap) / (a + b)) + 1)
+        high = F.least(a, t, F.ceil((t * a + gap) / (a + b)) - 1)
+
+        def before(i: Column) -> Column:
+            return F.coalesce(F.get(state.p, (i - state.low).cast("int")), F.lit(0.0))
+
+        inside = F.transform(F.sequence(low, high), lambda i: (before(i - 1) * (a - i + 1) + before(i) * (b - t + 1 + i)) / left)
+        top = state.low + F.size(state.p) - 1
+        over = F.when(top + 1 > high, before(top) * (a - top) / left).otherwise(0.0)
+        under = F.when(state.low < low, before(state.low) * (b - t + 1 + state.low) / left).otherwise(0.0)
+        return F.struct(
+            low.alias("low"),
+            F.when(high >= low, inside).otherwise(F.array().cast("array<double>")).alias("p"),
+            (state.outside + over + under).alias("outside"),
+        )
+
+    start = F.struct(F.lit(0).cast("bigint").alias("low"), F.array(F.lit(1.0)).alias("p"), F.lit(0.0).alias("outside"))
+    steps = F.when(usable & (gap > 0), F.sequence(F.lit(1).cast("bigint"), a + b)).otherwise(F.array().cast("array<bigint>"))
+    walked = F.aggregate(steps, start, step, lambda state: state.outside)
+    found = F.when(usable, F.when(gap > 0, F.least(walked, F.lit(1.0))).otherwise(1.0))
+    return out.select(*df.columns, found.alias(output))
+
+
 def _erfc(z: Column) -> Column:
     """Complementary error function for z >= 0: power series below 2.5, continued fraction above."""
     gauss = F.exp(-z * z)

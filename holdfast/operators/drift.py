@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast.config import DriftSettings
 from holdfast.functions.scalars import number_column
-from holdfast.functions.stats import kolmogorov_tail, with_chi_square_tail
+from holdfast.functions.stats import kolmogorov_tail, with_chi_square_tail, with_kolmogorov_exact
 from holdfast.operators.features import long_rows, long_text, names_frame
 from holdfast.operators.ordering import collapse, running_totals
 
@@ -32,6 +32,7 @@ def _result(tests: DataFrame, kind: str, metric: str, threshold: float, drift: C
         F.lit(metric).alias("metric_type"),
         F.when(enough, F.col("statistic")).otherwise(0.0).alias("score"),
         F.when(enough, F.col("p")).otherwise(1.0).alias("p_value"),
+        F.when(enough, F.col("p_method")).otherwise("").alias("p_method"),
         F.lit(threshold).alias("threshold"),
         F.coalesce(enough & drift, F.lit(False)).alias("drift_detected"),
         "reference_n",
@@ -43,7 +44,8 @@ def _result(tests: DataFrame, kind: str, metric: str, threshold: float, drift: C
 def numeric_drift(sides: DataFrame, features: Sequence[str], s: DriftSettings = DriftSettings()) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test for each feature of :func:`both_sides`.
 
-    Drift needs a small p-value and a large distance. Values that are not numbers are left out.
+    Drift needs a small p-value and a large distance. Values that are not numbers are left out. ``p_method`` says whether the p-value is exact
+    or the large-sample one; samples with ties are treated as if they had none, which makes the exact one cautious.
     """
     rows = long_rows(sides, {c: number_column(sides, c) for c in features}, keep=[SIDE])
     counted = collapse(rows, "value", {"ref": F.col(SIDE).cast("int"), "cur": (~F.col(SIDE)).cast("int")}, ["feature"])
@@ -60,8 +62,13 @@ def numeric_drift(sides: DataFrame, features: Sequence[str], s: DriftSettings =
         F.coalesce("current_n", F.lit(0)).cast("bigint").alias("current_n"),
     )
     usable = (F.col("reference_n") > 0) & (F.col("current_n") > 0)
-    tests = tests.withColumn(
-        "p", F.when(usable, kolmogorov_tail(F.col("statistic"), F.greatest("reference_n", F.lit(1)), F.greatest("current_n", F.lit(1)))).otherwise(1.0)
+    tests = with_kolmogorov_exact(tests, "statistic", "reference_n", "current_n", "_exact", s.exact_cells)
+    large = kolmogorov_tail(F.col("statistic"), F.greatest("reference_n", F.lit(1)), F.greatest("current_n", F.lit(1)))
+    tests = tests.withColumns(
+        {
+            "p": F.when(usable, F.coalesce("_exact", large)).otherwise(1.0),
+            "p_method": F.when(F.col("_exact").isNotNull(), "exact").otherwise("large_sample"),
+        }
     )
     drift = (F.col("p") < s.p_value_threshold) & (F.col("statistic") > s.stat_threshold)
     return _result(tests, "numeric", "ks", s.stat_threshold, drift, s)
@@ -89,7 +96,7 @@ def categorical_drift(sides: DataFrame, features: Sequence[str], s: DriftSetting
             F.max("current_n").alias("current_n"),
         )
     )
-    tests = with_chi_square_tail(tests, "statistic", "dof", "p")
+    tests = with_chi_square_tail(tests, "statistic", "dof", "p").withColumn("p_method", F.lit("large_sample"))
     return _result(tests, "categorical", "chisquare", s.p_value_threshold, F.col("p") < s.p_value_threshold, s)
 
 

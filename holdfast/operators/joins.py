@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
@@ -21,15 +21,19 @@ def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     limit = counts.agg(F.greatest(F.sum("_rows") / halves, F.lit(1)).alias("_limit"))
     hot = counts.join(F.broadcast(limit)).where(F.col("_rows") > F.col("_limit")).select(on, F.ceil(F.col("_rows") / F.col("_limit")).cast("int").alias("_salts"))
 
-    hashable = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    hashable = [F.col(f"`{f.name}`") for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
     row_hash = F.xxhash64(*hashable)
+
+    def named(df: DataFrame) -> list[Column]:
+        return [F.col(f"`{c}`") for c in df.columns]
+
     spread = (
         F.when(F.col("_salts").isNotNull(), F.pmod(row_hash, F.col("_salts")).cast("int"))
         # A missing key matches nothing, so its rows may go anywhere.
         .when(F.col(on).isNull(), F.pmod(row_hash, F.lit(1 << 20)).cast("int"))
         .otherwise(0)
     )
-    salted = left.join(F.broadcast(hot), on, "left").select(*left.columns, spread.alias("_salt"))
+    salted = left.join(F.broadcast(hot), on, "left").select(*named(left), spread.alias("_salt"))
     copies = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
-    copied = right.join(F.broadcast(hot), on, "left").select(*right.columns, F.explode(copies).alias("_salt"))
+    copied = right.join(F.broadcast(hot), on, "left").select(*named(right), F.explode(copies).alias("_salt"))
     return salted.join(copied, [on, "_salt"], how).drop("_salt")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from holdfast import jobs
-from holdfast.operators import drift, features, quality
+from holdfast.config import DriftSettings
+from holdfast.operators import drift, features, quality, wide
 from holdfast.plans import bindings as B
 from holdfast.plans.bindings import sql_over
 from holdfast.plans.registry import query, rounded
@@ -33,10 +34,8 @@ def _halves(spark, sf):
 _HALVES = f"""li AS (SELECT l_quantity, l_extendedprice, CASE WHEN l_shipdate < TIMESTAMP '{CUT}' THEN l_discount ELSE l_discount + 0.02::DOUBLE END AS l_discount,
 l_returnflag, CASE WHEN l_partkey % 20 <> 0 THEN l_linestatus END AS l_linestatus, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(l_partkey AS VARCHAR) AS l_partkey,
 CASE WHEN l_shipdate < TIMESTAMP '{CUT}' THEN 1 ELSE 0 END AS r FROM lineitem)"""
-_KS = (
-    "long AS ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, r FROM li" for c in NUMERIC)
-    + """), cum AS (SELECT feature, sum(r) OVER w AS cr, sum(1 - r) OVER w AS cc, sum(r) OVER (PARTITION BY feature) AS n, sum(1 - r) OVER (PARTITION BY feature) AS m
+_KS_OF = (
+    """long AS ({long}), cum AS (SELECT feature, sum(r) OVER w AS cr, sum(1 - r) OVER w AS cc, sum(r) OVER (PARTITION BY feature) AS n, sum(1 - r) OVER (PARTITION BY feature) AS m
 FROM long WINDOW w AS (PARTITION BY feature ORDER BY value)),
 stat AS (SELECT feature, max(abs(cr::DOUBLE / n - cc::DOUBLE / m)) AS d, CAST(max(n) AS BIGINT) AS n, CAST(max(m) AS BIGINT) AS m FROM cum GROUP BY feature),
 z AS (SELECT *, sqrt(n::DOUBLE * m / (n + m)) * d AS z FROM stat),
@@ -44,6 +43,13 @@ ks AS (SELECT feature, d, n, m, CASE WHEN z < 0.2 THEN 1.0 ELSE least(greatest(l
 )
 
 
+def _ks_of(columns):
+    return _KS_OF.replace("{long}", " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, r FROM li" for c in columns))
+
+
+_KS = _ks_of(NUMERIC)
+
+
 def _chi_of(columns):
     return _CHI_OF.replace("{tail}", CHI_TAIL).replace("{cat}", " UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce({c}, 'MISSING') AS value, r FROM li" for c in columns))
 
@@ -59,8 +65,8 @@ CHI_TAIL = """CASE WHEN dof % 2 = 0 THEN list_sum([exp(-d / 2 + i * ln(d / 2) -
 ELSE CASE WHEN d > 80 THEN 0 ELSE 1 - 2 / sqrt(pi()) * exp(-d / 2) * list_sum([exp((2 * i + 1) * ln(sqrt(d / 2)) + 2 * i * ln(2) + lgamma(i + 1) - lgamma(2 * i + 2)) for i in range(0, 200)]) END
  + coalesce(list_sum([exp(-d / 2 + (i - 0.5) * ln(d / 2) - lgamma(i + 0.5)) for i in range(1, CAST((dof - 1) // 2 AS BIGINT) + 1)]), 0) END"""
 _CHI = _chi_of(CATEGORICAL)
-_KS_ROWS = """SELECT feature, 'numeric' AS feature_type, 'ks' AS metric_type, round(d, 6) AS score, round(p, 6) AS p_value, 0.1::DOUBLE AS threshold, p < 0.01 AND d > 0.1 AS drift_detected, n AS reference_n, m AS current_n, '' AS reason FROM ks"""
-_CHI_ROWS = """SELECT feature, 'categorical' AS feature_type, 'chisquare' AS metric_type, round(d, 6) AS score, round(p, 6) AS p_value, 0.01::DOUBLE AS threshold, p < 0.01 AS drift_detected, n AS reference_n, m AS current_n, '' AS reason FROM chip"""
+_KS_ROWS = """SELECT feature, 'numeric' AS feature_type, 'ks' AS metric_type, round(d, 6) AS score, round(p, 6) AS p_value, CASE WHEN n * m <= 1000000 THEN 'exact' ELSE 'large_sample' END AS p_method, 0.1::DOUBLE AS threshold, p < 0.01 AND d > 0.1 AS drift_detected, n AS reference_n, m AS current_n, '' AS reason FROM ks"""
+_CHI_ROWS = """SELECT feature, 'categorical' AS feature_type, 'chisquare' AS metric_type, round(d, 6) AS score, round(p, 6) AS p_value, 'large_sample' AS p_method, 0.01::DOUBLE AS threshold, p < 0.01 AS drift_detected, n AS reference_n, m AS current_n, '' AS reason FROM chip"""
 
 
 @query("ks_drift", f"WITH {_HALVES}, {_KS} {_KS_ROWS}")
@@ -68,6 +74,29 @@ def ks_drift(spark, sf):
     return rounded(drift.numeric_drift(drift.both_sides(*_halves(spark, sf), NUMERIC), NUMERIC))
 
 
+# The whole lattice, place by place: what is left inside at its end. Beyond a million places the large-sample series of ``ks``.
+_KS_SMALL = f"""WITH RECURSIVE li AS (SELECT s_acctbal, CASE WHEN s_nationkey < 12 THEN s_acctbal ELSE s_acctbal + 900 END AS shifted, CASE WHEN s_nationkey < 12 THEN 1 ELSE 0 END AS r FROM supplier),
+{_ks_of(['s_acctbal', 'shifted'])},
+lat AS (SELECT feature, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, CAST(round(d * n * m) AS BIGINT) AS gap FROM stat WHERE n * m <= 1000000 AND d > 0),
+walk AS (SELECT feature, n, m, gap, 0::BIGINT AS t, [CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END for i in range(0, n + 1)] AS p FROM lat
+UNION ALL SELECT feature, n, m, gap, t + 1, [CASE WHEN t + 1 < i OR t + 1 - i > m OR abs(i * m - (t + 1 - i) * n) >= gap THEN 0.0::DOUBLE
+ELSE (CASE WHEN i > 0 THEN p[i] * (n - i + 1) ELSE 0.0::DOUBLE END + p[i + 1] * (m - t + i)) / (n + m - t) END for i in range(0, n + 1)] FROM walk WHERE t < n + m),
+walked AS (SELECT feature, 1 - p[n + 1] AS exact_p FROM walk WHERE t = n + m)
+SELECT feature, round(d, 6) AS score, round(CASE WHEN n * m <= 1000000 THEN coalesce(exact_p, 1) ELSE p END, 6) AS p_value, CASE WHEN n * m <= 1000000 THEN 'exact' ELSE 'large_sample' END AS p_method,
+n AS reference_n, m AS current_n FROM ks LEFT JOIN walked USING (feature)"""
+
+
+@query("ks_small_samples", _KS_SMALL)
+def ks_small_samples(spark, sf):
+    """Balances of suppliers in two groups of nations, as they are and shifted: samples small enough for an exact p-value."""
+    rows = B.table(spark, sf, "supplier")
+    first = F.col("s_nationkey") < 12
+    rows = rows.select("s_nationkey", "s_acctbal", F.when(first, F.col("s_acctbal")).otherwise(F.col("s_acctbal") + 900).alias("shifted"))
+    names = ["s_acctbal", "shifted"]
+    report = drift.numeric_drift(drift.both_sides(rows.where(first), rows.where(~first), names), names, DriftSettings(min_samples=1))
+    return rounded(report.select("feature", "score", "p_value", "p_method", "reference_n", "current_n"))
+
+
 @query("chi2_drift", f"WITH {_HALVES}, {_CHI} {_CHI_ROWS}")
 def chi2_drift(spark, sf):
     return rounded(drift.categorical_drift(drift.both_sides(*_halves(spark, sf), CATEGORICAL), CATEGORICAL))
@@ -189,6 +218,25 @@ def one_hot(spark, sf):
     return rounded(features.build_features(raw, settings), totalcharges=2)
 
 
+_WIDE = ("o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query(
+    "wide_one_hot",
+    f"""WITH long AS ({" UNION ALL ".join(f"SELECT o_orderkey, {k} AS k, CAST({c} AS VARCHAR) AS v, o_orderdate < TIMESTAMP '{CUT}' AS fitted FROM orders" for k, c in enumerate(_WIDE))}),
+codes AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) - 1 AS code FROM (SELECT DISTINCT k, v FROM long WHERE fitted AND v IS NOT NULL)),
+widths AS (SELECT k, max(code) AS w FROM codes GROUP BY k), starts AS (SELECT k, sum(w) OVER (ORDER BY k) - w AS start FROM widths)
+SELECT o_orderkey, coalesce(string_agg(CAST(CAST(start + code - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (code > 0), '') AS slots, (SELECT CAST(sum(w) AS BIGINT) FROM widths) AS n_columns
+FROM long LEFT JOIN codes USING (k, v) LEFT JOIN starts USING (k) GROUP BY o_orderkey""",
+)
+def wide_one_hot(spark, sf):
+    """A level for each customer, fitted on earlier orders: later orders may hold customers without a slot."""
+    orders = B.table(spark, sf, "orders")
+    model = wide.fit_wide(orders.where(F.col("o_orderdate") < F.lit(CUT).cast("timestamp_ntz")), _WIDE)
+    coded = wide.encode_slots(orders.select("o_orderkey", *_WIDE), model)
+    return coded.select("o_orderkey", F.array_join(F.col("slots").cast("array<string>"), ",").alias("slots"), F.lit(model.size()).cast("bigint").alias("n_columns"))
+
+
 @query(
     "standardize",
     """SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER (), 5) AS o_totalprice FROM orders""",
