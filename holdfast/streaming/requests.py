@@ -33,53 +33,78 @@ def live_summary(events: DataFrame, ts: str = "ts", window: str = "15 minutes",
         .agg(F.count("*").alias("n"))
     )
     counts = panes.groupBy(F.window(F.window_time("pane"), window, slide).alias("window")).agg(F.collect_list(F.struct("value", "n", "status", "path")).alias("cells"))
-    return counts.select(F.col("window.start").alias("window_start"), *_summary_of("cells"))
+    return _summary_of(counts.select(F.col("window.start").alias("window_start"), "cells"))
 
 
-def _summary_of(cells: str) -> list[Column]:
-    """The fields of a summary from an array of (value, n, status, path): latency in hundredths and how many requests had it."""
+def _summary_of(windows: DataFrame) -> DataFrame:
+    """Summary rows from windows with an array of cells (value, n, status, path): latency in hundredths and how many requests had it.
 
-    def total(of: Column) -> Column:
-        return F.aggregate(of, F.lit(0).cast("bigint"), lambda acc, c: acc + c.n)
-
-    every = F.col(cells)
-    n = total(every)
-    good = total(F.filter(every, lambda c: is_success(c.status)))
-    timed = F.array_sort(F.filter(every, lambda c: c.value.isNotNull()))  # by value, the first field
-    m = total(timed)
-    places = [F.bround((m - 1) * F.lit(p)).cast("bigint") for p in PERCENTILES]
+    The work on a window grows with its cells, but for their sorting: each array is read by one pass that carries what it needs, and what later fields share is a
+    column of its own. Nothing but the current cell and the running state stands inside a pass, as Spark evaluates that once for each cell; the state, which Spark copies
+    each time, has no arrays.
+    """
     names = [f"p{round(p * 100)}" for p in PERCENTILES]
-    unset = F.lit(None).cast("bigint")
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), *[unset.alias(x) for x in names])
+    zero, unset = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    cells = F.col("cells")
+
+    def count(acc: Column, c: Column) -> Column:
+        good, timed = F.when(is_success(c.status), c.n).otherwise(0), F.when(c.value.isNotNull(), c.n).otherwise(0)
+        return F.struct((acc.n + c.n).alias("n"), (acc.good + good).alias("good"), (acc.timed + timed).alias("timed"))
+
+    counted = windows.select(
+        "window_start",
+        F.aggregate(cells, F.struct(zero.alias("n"), zero.alias("good"), zero.alias("timed")), count).alias("all"),
+        F.sort_array(F.transform(F.filter(cells, lambda c: c.value.isNotNull()), lambda c: F.struct(c.value.alias("value"), c.n.alias("n")))).alias("by_value"),
+        *[_sorted_by("cells", x).alias(f"by_{x}") for x in ("status", "path")],
+    ).select("*", *[_starts("by_" + x).alias(f"{x}_starts") for x in ("status", "path")])
+
+    places = {x: F.bround((F.col("all.timed") - 1) * F.lit(p)).cast("bigint") for x, p in zip(names, PERCENTILES)}
+    start = F.struct(
+        zero.alias("seen"), zero.alias("weighted"), unset.alias("largest"), *[place.alias(f"{x}_place") for x, place in places.items()], *[unset.alias(x) for x in names]
+    )
 
     def step(acc: Column, c: Column) -> Column:
         # The value that holds the place is the first one whose running total passes it.
         seen = acc.seen + c.n
-        return F.struct(seen.alias("seen"), *[F.when(acc[x].isNull() & (seen > place), c.value).otherwise(acc[x]).alias(x) for x, place in zip(names, places)])
-
-    ranked = F.aggregate(timed, start, step)
-    weighted = F.aggregate(timed, F.lit(0).cast("bigint"), lambda acc, c: acc + c.value * c.n)
-
-    def by(field: str) -> Column:
-        # A missing value cannot be a key of a map.
-        def text(c: Column) -> Column:
-            return F.coalesce(c[field].cast("string"), F.lit(""))
-
-        keys = F.array_sort(F.array_distinct(F.transform(every, text)))
-        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, total(F.filter(every, lambda c: text(c) == k)))))
-
-    return [
+        held = [F.when(acc[x].isNull() & (seen > acc[f"{x}_place"]), c.value).otherwise(acc[x]).alias(x) for x in names]
+        return F.struct(
+            seen.alias("seen"), (acc.weighted + c.value * c.n).alias("weighted"), c.value.alias("largest"), *[acc[f"{x}_place"].alias(f"{x}_place") for x in names], *held
+        )
+
+    ranked = counted.withColumn("ranked", F.aggregate("by_value", start, step))
+    n, good, found = F.col("all.n"), F.col("all.good"), F.col("ranked")
+    return ranked.select(
+        "window_start",
         n.alias("requests_total"),
         good.alias("success_total"),
         (n - good).alias("error_total"),
         round_even(good / n, 4).alias("success_rate"),
         round_even((n - good) / n, 4).alias("error_rate"),
-        *[(ranked[x] / 100).alias(x) for x in names],
-        round_even(F.try_divide(weighted, m) / 100, 2).alias("avg_ms"),
-        (F.array_max(F.transform(timed, lambda c: c.value)) / 100).alias("max_ms"),
-        by("status").alias("requests_by_status"),
-        by("path").alias("requests_by_path"),
-    ]
+        *[(found[x] / 100).alias(x) for x in names],
+        round_even(F.try_divide(found.weighted, F.col("all.timed")) / 100, 2).alias("avg_ms"),
+        (found.largest / 100).alias("max_ms"),
+        *[_counts("by_" + x, f"{x}_starts").alias(f"requests_by_{x}") for x in ("status", "path")],
+    )
+
+
+def _sorted_by(cells: str, field: str) -> Column:
+    """(key, n) of each cell by key, the field's value as text. A missing value cannot be a key of a map."""
+    return F.sort_array(F.transform(cells, lambda c: F.struct(F.coalesce(c[field].cast("string"), F.lit("")).alias("key"), c.n.alias("n"))))
+
+
+def _starts(pairs: str) -> Column:
+    """Where in sorted pairs a key begins, from 0."""
+    return F.filter(F.transform(pairs, lambda c, i: F.when((i == 0) | ~F.get(pairs, i - 1).key.eqNullSafe(c.key), i)), lambda i: i.isNotNull())
+
+
+def _counts(pairs: str, starts: str) -> Column:
+    """Requests by key as a map in the keys' order; both arguments are names of columns, so that nothing is computed again for each key."""
+
+    def entry(start: Column, i: Column) -> Column:
+        run = F.slice(pairs, start + 1, F.coalesce(F.get(starts, i + 1), F.size(pairs)) - start)
+        return F.struct(F.get(pairs, start).key.alias("key"), F.aggregate(run, F.lit(0).cast("bigint"), lambda n, c: n + c.n).alias("n"))
+
+    return F.map_from_entries(F.transform(starts, entry))
 
 
 def watch_quality(

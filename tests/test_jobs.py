@@ -1,7 +1,9 @@
 """Sources, streams, rules, costs and model jobs."""
 
+import collections
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -363,6 +365,27 @@ def test_live_summary_drops_only_events_past_the_watermark(spark, tmp_path):
     assert first.requests_by_status == {"200": 1, "500": 1} and first.requests_by_path == {"/a": 1, "": 1}
 
 
+def test_live_summary_of_a_window_with_many_values_and_paths(spark):
+    n = 10_000
+    told = [(i % 1800, (500, 404, 200, None)[i % 4], None if i % 50 == 7 else (i * 7919 % n) / 100, None if i % 1000 == 3 else f"/{i % 6000}") for i in range(n)]
+    events = spark.createDataFrame(told, "s int, status_code int, latency_ms double, path string").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("s")))
+    began = time.monotonic()
+    rows = {r.at: r for r in requests.live_summary(events.coalesce(1)).withColumn("at", F.unix_timestamp("window_start") - 1704067200).collect()}
+    # Totals and sorting inside each step of a pass did not end within five minutes here.
+    assert time.monotonic() - began < 45
+    assert sorted(rows) == [-600, -300, 0, 300, 600, 900, 1200, 1500]
+    for at, row in rows.items():
+        inside = [x for x in told if at <= x[0] < at + 900]
+        values = sorted(x[2] for x in inside if x[2] is not None)
+        assert row.requests_total == len(inside) and row.success_total == sum(x[1] == 200 for x in inside) and row.error_total == row.requests_total - row.success_total
+        assert [row.p50, row.p95, row.p99, row.max_ms] == [*(values[round((len(values) - 1) * p)] for p in (0.5, 0.95, 0.99)), values[-1]]
+        assert row.avg_ms == pytest.approx(sum(values) / len(values), abs=0.0051)
+        assert row.requests_by_status == collections.Counter("" if x[1] is None else str(x[1]) for x in inside)
+        assert row.requests_by_path == collections.Counter(x[3] or "" for x in inside)
+    untimed = requests.live_summary(events.where("latency_ms is null")).first()
+    assert untimed.requests_total > 0 and (untimed.p50, untimed.p99, untimed.avg_ms, untimed.max_ms) == (None, None, None, None)
+
+
 def test_quality_stream_never_stops_requests(spark, tmp_path):
     from holdfast.operators.quality import category_reference
 
